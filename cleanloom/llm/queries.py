@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import _shared as sh
-from . import bpe, dedup, packing, quality, sharding
+from . import bpe, dedup, near_dup, packing, quality, sharding
 
 
 def vocabulary(name: str) -> str:
@@ -29,6 +29,10 @@ def op5_stratified_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op6_lsh_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dup.near_duplicates(sh.table(spark, sf_dir, "documents"))
+
+
 def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip_digests(sh.table(spark, sf_dir, "documents"), vocabulary("byte_bpe_multi_50k.tiktoken"))
 
@@ -38,7 +42,7 @@ def op8_quality_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(docs, quality.fit(docs, sh.table(spark, sf_dir, "labels")))
 
 
-QUERIES = {f.__name__: f for f in (op2_exact_dedup, op3_vector_packing, op5_stratified_shards, op7_byte_bpe, op8_quality_trees)}
+QUERIES = {f.__name__: f for f in (op2_exact_dedup, op3_vector_packing, op5_stratified_shards, op6_lsh_forest, op7_byte_bpe, op8_quality_trees)}
 
 _NORM = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 

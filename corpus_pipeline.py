@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from cleanloom.llm import _shared as sh
-from cleanloom.llm import dedup, packing, quality
+from cleanloom.llm import dedup, near_dup, packing, quality
 from cleanloom.llm.queries import vocabulary
 
 
@@ -23,12 +23,17 @@ def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return dedup.deduplicated(docs)
 
 
+def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near copies the document with the smallest id stays."""
+    return near_dup.one_of_each(docs)
+
+
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The ids of all documents, in sequences."""
     return packing.pack(docs, vocabulary("byte_bpe_50k.json"))
 
 
-STAGES = [("quality_trees", quality_stage), ("exact_dedup", exact_stage), ("vector_packing", packing_stage)]
+STAGES = [("quality_trees", quality_stage), ("exact_dedup", exact_stage), ("lsh_forest", near_stage), ("vector_packing", packing_stage)]
 
 #: Trees, signatures and packing have no form in SQL; tests hold the pipeline against plain versions.
 ORACLE_SQL = None
