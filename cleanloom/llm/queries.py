@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import _shared as sh
-from . import bpe, dedup, licenses, near_dup, packing, quality, sharding, url_filter
+from . import bpe, dedup, licenses, near_dup, packing, quality, sharding, topk, url_filter, warc
 
 
 def vocabulary(name: str) -> str:
@@ -16,6 +16,11 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_threshold_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = topk.quantised(sh.table(spark, sf_dir, "embeddings"))
+    return topk.nearest(vectors, vectors.where("vec_id % 100 = 0"))
+
+
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup.exact_duplicates(sh.table(spark, sf_dir, "documents"))
 
@@ -24,6 +29,10 @@ def op3_vector_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(sh.table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
 
 
+def op4_warc_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archived(spark, sh.table(spark, sf_dir, "pages"))
+
+
 def op5_stratified_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = sharding.interleaved(sh.table(spark, sf_dir, "documents"))
     return found.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
@@ -73,13 +82,22 @@ def op10_temporal_url_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.evaluated(pages, entries)
 
 
-QUERIES = {f.__name__: f for f in (op2_exact_dedup, op3_vector_packing, op5_stratified_shards, op6_lsh_forest, op7_byte_bpe, op8_quality_trees, op9_license_scan, op10_temporal_url_list)}
+QUERIES = {f.__name__: f for f in (op1_threshold_topk, op2_exact_dedup, op3_vector_packing, op4_warc_index, op5_stratified_shards, op6_lsh_forest, op7_byte_bpe, op8_quality_trees, op9_license_scan, op10_temporal_url_list)}
 
 _NORM = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 _ORACLE_ENTRIES = " UNION ALL ".join(f"SELECT {p} AS pattern, DATE '2024-01-01' + CAST({d} AS INTEGER) AS since, {a} AS action FROM hosts WHERE {w}" for p, d, a, w in _ENTRIES)
 
 ORACLE_SQL = {
+    "op1_threshold_topk": """
+        WITH kept AS (
+            SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+            WHERE embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+        pairs AS (
+            SELECT q.vec_id AS query_id, c.vec_id, CAST(list_sum(list_transform(list_zip(q.v, c.v), lambda p: p[1] * p[2])) AS BIGINT) AS score
+            FROM kept q JOIN kept c ON q.vec_id <> c.vec_id AND len(q.v) = len(c.v) WHERE q.vec_id % 100 = 0)
+        SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score
+        FROM pairs QUALIFY rank <= 10""",
     "op2_exact_dedup": f"""
         SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, doc_id = max(doc_id) OVER w AS kept, sha256(norm) AS text_sha256
         FROM (SELECT doc_id, {_NORM} AS norm FROM documents) WINDOW w AS (PARTITION BY norm)""",
