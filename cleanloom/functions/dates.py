@@ -8,6 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .. import vocabulary as V
+from . import let
 from . import text as T
 
 _EMBEDDED = r"\d{1,4}[/.\-]\d{1,2}[/.\-]\d{1,4}"
@@ -42,9 +43,12 @@ def listed(c: Column, formats: tuple[str, ...] = V.DATE_FORMATS) -> Column:
 
 def parse(c: Column) -> Column:
     """A date of a cell: listed formats, Arabic months, a serial of 4 to 6 digits."""
-    v = T.western_digits(T.squeeze(c))
-    months = arabic_months(v)
-    return F.coalesce(listed(v), F.when(months != v, listed(F.regexp_replace(months, r"\s+", " "), ("d M y", "y M d", "d/M/y", "y-M-d"))), F.when(F.rlike(v, F.lit(r"^\d{4,6}$")), excel_serial(v)))
+
+    def read(v: Column) -> Column:
+        words = F.when(F.rlike(v, F.lit(V.ARABIC)), let(F.regexp_replace(arabic_months(v), r"\s+", " "), lambda m: listed(m, ("d M y", "y M d", "d/M/y", "y-M-d"))))
+        return F.when(F.rlike(v, F.lit(r"^\d{4,6}$")), excel_serial(v)).when(F.length(v) >= 6, F.coalesce(listed(v), words))
+
+    return let(T.western_digits(T.squeeze(c)), read)
 
 
 def separators(c: Column) -> Column:
@@ -64,9 +68,8 @@ def full_year(three: Column, as_of_year: int) -> Column:
 def repair_years(c: Column, as_of_year: int) -> Column:
     """d/m/yyy gets a year of four digits."""
     pattern = r"\b(\d{1,2})/(\d{1,2})/(\d{3})\b"
-    year = full_year(F.regexp_extract(c, pattern, 3), as_of_year)
-    fixed = F.regexp_replace(c, F.lit(pattern), F.concat(F.lit("$1/$2/"), year.cast("string")))
-    return F.when(year.isNotNull(), fixed).otherwise(c)
+    fixed = lambda v, year: F.when(year.isNotNull(), F.regexp_replace(v, F.lit(pattern), F.concat(F.lit("$1/$2/"), year.cast("string")))).otherwise(v)
+    return let(c, lambda v: let(full_year(F.regexp_extract(v, pattern, 3), as_of_year), lambda year: fixed(v, year)))
 
 
 def embedded(c: Column) -> Column:
@@ -76,27 +79,33 @@ def embedded(c: Column) -> Column:
 
 def clean_cell(c: Column, as_of_year: int) -> Column:
     """struct(date, action): how a date came out of the cell, or that none did."""
-    raw = T.strip(c)
-    norm = separators(raw)
-    fixed = repair_years(norm, as_of_year)
-    without_time = F.regexp_replace(raw, r"[T ]\d{1,2}:\d{2}(:\d{2})?.*$", "")
-    direct = F.coalesce(parse(raw), parse(without_time), parse(fixed))
-    inner = parse(embedded(norm))
-    typo, timed = (fixed != norm), F.rlike(raw, F.lit(r"\d{1,2}:\d{2}"))
-    action = F.when(raw.isNull() | (raw == ""), "").when(direct.isNotNull(), F.when(typo, "Corrected Year Typo").when(timed, "Stripped Time").otherwise("")).when(inner.isNotNull(), "Extracted Embedded Date").otherwise("Coerced Text to Null")
-    return F.struct(F.coalesce(direct, inner).alias("date"), action.alias("action"))
+    without_time = lambda raw: F.regexp_replace(raw, r"[T ]\d{1,2}:\d{2}(:\d{2})?.*$", "")
+
+    def decide(raw: Column, norm: Column, fixed: Column) -> Column:
+        direct = F.coalesce(*(parse(x) for x in (raw, without_time(raw), fixed)))
+        timed = F.rlike(raw, F.lit(r"\d{1,2}:\d{2}"))
+        told = F.when(fixed != norm, "Corrected Year Typo").when(timed, "Stripped Time").otherwise("")
+
+        def outcome(d: Column) -> Column:
+            inner = parse(embedded(norm))
+            return F.when(d.isNotNull(), F.struct(d.alias("date"), told.alias("action"))).otherwise(let(inner, lambda i: F.struct(i.alias("date"), F.when(F.coalesce(raw, F.lit("")) == "", "").when(i.isNotNull(), "Extracted Embedded Date").otherwise("Coerced Text to Null").alias("action"))))
+
+        return let(direct, outcome)
+
+    return let(T.strip(c), lambda raw: let(separators(raw), lambda norm: let(repair_years(norm, as_of_year), lambda fixed: decide(raw, norm, fixed))))
 
 
 def within_bounds(c: Column, as_of: str, min_year: int = 1900, max_future_years: int = 1) -> Column:
     """The parsed date if its year is min_year or later and it's no later than as_of plus 365 days a year."""
-    d = parse(c)
-    return F.when((F.year(d) >= min_year) & (d <= F.date_add(F.lit(as_of).cast("date"), 365 * max_future_years)), d)
+    last = F.date_add(F.lit(as_of).cast("date"), 365 * max_future_years)
+    return let(parse(c), lambda d: F.when((F.year(d) >= min_year) & (d <= last), d))
 
 
 def bound_failure(c: Column, as_of: str, min_year: int = 1900, max_future_years: int = 1) -> Column:
     """invalid, future, ancient, or null for what is empty or within bounds."""
-    d = parse(c)
-    return F.when(c.isNull() | (T.strip(c) == ""), None).when(d.isNull(), "invalid").when(F.year(d) < min_year, "ancient").when(d > F.date_add(F.lit(as_of).cast("date"), 365 * max_future_years), "future")
+    last = F.date_add(F.lit(as_of).cast("date"), 365 * max_future_years)
+    why = let(parse(c), lambda d: F.when(d.isNull(), "invalid").when(F.year(d) < min_year, "ancient").when(d > last, "future"))
+    return F.when(T.strip(c) != "", why)
 
 
 def smart(c: Column) -> Column:

@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .. import vocabulary as V
+from . import let
 from . import text as T
 
 _PLAIN = r"^-?\d*\.?\d+\.?$|^-?\d+\.$"
@@ -23,23 +24,25 @@ def mixed_number(c: Column, strict_suffix: bool = False) -> Column:
     strict_suffix: K, M and B count only right after a digit and at the end of the cell; otherwise letters of units that
     happen to be k, m or b count too ("12 kg" is 12000).
     """
-    v = F.translate(T.western_digits(T.strip(c)), "٫٬", ".")
-    negative = F.rlike(v, F.lit(r"(?s)^\(.*\)$"))
-    v = F.when(negative, F.regexp_replace(v, r"(?s)^\(-?(.*)\)$", "$1")).otherwise(v)
-    v = F.regexp_replace(v, V.CURRENCY_SIGNS, "")
-    v = F.regexp_replace(v, r"(?iU)\b(?:" + "|".join(V.CURRENCY_WORDS) + r")\b", "")
-    v = F.regexp_replace(v, r"(?<=\d)\s+(?=\d)", "")
-    if strict_suffix:
-        v = F.regexp_replace(v, r"(?i)(?<!\d)[kmb]|[kmb](?!\s*%?$)", "")
-    v = F.regexp_replace(v, V.NUMERIC_JUNK, "")
-    percent = v.endswith("%")
-    v = F.when(percent, F.regexp_replace(v, "%$", "")).otherwise(v)
-    last = F.upper(F.right(v, F.lit(1)))
-    factor = F.when(last == "K", 1e3).when(last == "M", 1e6).when(last == "B", 1e9).otherwise(1.0)
-    v = F.when(last.isin("K", "M", "B"), F.regexp_replace(v, "[KMBkmb]$", "")).otherwise(v)
-    n = F.when(F.rlike(v, F.lit(_PLAIN)), v.try_cast("double")) * factor
-    n = F.when(percent, n / 100.0).otherwise(n)
-    return F.when(negative, -F.abs(n)).otherwise(n)
+
+    def scaled(v: Column, percent: Column, negative: Column) -> Column:
+        last = F.upper(F.right(v, F.lit(1)))
+        factor = F.when(last == "K", 1e3).when(last == "M", 1e6).when(last == "B", 1e9).otherwise(1.0)
+        n = let(F.regexp_replace(v, "[KMBkmb]$", ""), lambda d: F.when(F.rlike(d, F.lit(_PLAIN)), d.try_cast("double"))) * factor
+        return let(F.when(percent, n / 100.0).otherwise(n), lambda x: F.when(negative, -F.abs(x)).otherwise(x))
+
+    def stripped(v: Column) -> Column:
+        negative = F.rlike(v, F.lit(r"(?s)^\(.*\)$"))
+        x = F.when(negative, F.regexp_replace(v, r"(?s)^\(-?(.*)\)$", "$1")).otherwise(v)
+        x = F.regexp_replace(x, V.CURRENCY_SIGNS, "")
+        x = F.regexp_replace(x, r"(?iU)\b(?:" + "|".join(V.CURRENCY_WORDS) + r")\b", "")
+        x = F.regexp_replace(x, r"(?<=\d)\s+(?=\d)", "")
+        if strict_suffix:
+            x = F.regexp_replace(x, r"(?i)(?<!\d)[kmb]|[kmb](?!\s*%?$)", "")
+        x = F.regexp_replace(x, V.NUMERIC_JUNK, "")
+        return let(x, lambda y: scaled(F.regexp_replace(y, "%$", ""), y.endswith("%"), negative))
+
+    return let(F.translate(T.western_digits(T.strip(c)), "٫٬", "."), stripped)
 
 
 def boolean_text(c: Column) -> Column:
@@ -60,17 +63,20 @@ def phone(c: Column, default_country: str = "+20", compat: bool = True) -> Colum
 
     compat: an Egyptian 010... gets the code before its zero and is then too long; without it the zero goes.
     """
-    d = F.regexp_replace(T.western_digits(T.strip(c)), r"[^\d+]", "")
-    d = F.when(d.startswith("00"), F.concat(F.lit("+"), F.substring(d, 3, 100))).otherwise(d)
-    n, tail = F.length(d), F.substring(d, 2, 100)
-    full = F.when(d.startswith("20") & (n >= 11), F.concat(F.lit("+"), d)).when(d.startswith("966") & (n >= 12), F.concat(F.lit("+"), d)).when(d.startswith("971") & (n >= 12), F.concat(F.lit("+"), d))
-    full = full.when(d.startswith("1") & (n == 11), F.concat(F.lit("+20"), tail)).when(d.startswith("5") & (n == 9), F.concat(F.lit("+966"), d)).when(d.startswith("05") & (n == 10), F.concat(F.lit("+966"), tail))
-    if not compat:
-        full = full.when(d.startswith("01") & (n == 11), F.concat(F.lit("+20"), tail))
-    full = full.when(~d.startswith("+"), F.concat(F.lit(default_country), d)).otherwise(d)
-    size, checked = F.length(full), None
-    for code, (least, most) in V.COUNTRY_LENGTHS.items():
-        fits = F.when(size.between(least, most), full).otherwise("")
-        checked = F.when(full.startswith(code), fits) if checked is None else checked.when(full.startswith(code), fits)
-    checked = checked.when(full.startswith("+") & size.between(10, 15), full).otherwise("")
-    return F.when(c.isNull(), "").otherwise(checked)
+
+    def with_code(d: Column) -> Column:
+        n, tail, plus = F.length(d), F.substring(d, 2, 100), F.concat(F.lit("+"), d)
+        out = F.when(d.startswith("20") & (n >= 11), plus).when((d.startswith("966") | d.startswith("971")) & (n >= 12), plus)
+        out = out.when(d.startswith("1") & (n == 11), F.concat(F.lit("+20"), tail)).when(d.startswith("5") & (n == 9), F.concat(F.lit("+966"), d)).when(d.startswith("05") & (n == 10), F.concat(F.lit("+966"), tail))
+        if not compat:
+            out = out.when(d.startswith("01") & (n == 11), F.concat(F.lit("+20"), tail))
+        return out.when(~d.startswith("+"), F.concat(F.lit(default_country), d)).otherwise(d)
+
+    def checked(full: Column) -> Column:
+        size, out = F.length(full), F.when(full.isNull(), "")
+        for code, (least, most) in V.COUNTRY_LENGTHS.items():
+            out = out.when(full.startswith(code), F.when(size.between(least, most), full).otherwise(""))
+        return out.when(full.startswith("+") & size.between(10, 15), full).otherwise("")
+
+    digits = F.regexp_replace(T.western_digits(T.strip(c)), r"[^\d+]", "")
+    return F.coalesce(let(F.regexp_replace(digits, "^00", "+"), lambda d: let(with_code(d), checked)), F.lit(""))

@@ -64,7 +64,8 @@ def evidence(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
         facts = df.agg(*(_facts(F.col(c)).alias(c) for c in part))
         long = facts.select(F.explode(F.array(*(F.struct(F.lit(c).alias("column"), F.col(f"`{c}`").alias("f")) for c in part))).alias("x")).select("x.column", "x.f.*")
         out = long if out is None else out.unionByName(long)
-    return out
+    counts = rows.cells(df, [], columns).where("value IS NOT NULL").groupBy("column", "value").agg(F.lit(1)).groupBy("column").agg(F.count(F.lit(1)).alias("__distinct"))
+    return out.join(counts, "column", "left").select("column", "total", "filled", F.coalesce("__distinct", F.lit(0)).alias("distinct_values"), *out.columns[3:])
 
 
 def _facts(c: Column) -> Column:
@@ -72,7 +73,7 @@ def _facts(c: Column) -> Column:
     there = c.isNotNull()
     low = F.lower(s)
     return F.struct(
-        F.count(F.lit(1)).alias("total"), F.count(c).alias("filled"), F.count_distinct(c).alias("distinct_values"),
+        F.count(F.lit(1)).alias("total"), F.count(c).alias("filled"),
         share(dates.parse(s).isNotNull(), there).alias("dates"), share(F.rlike(s, F.lit(V.NUMBER)), there).alias("numbers"),
         share(numeric.plain_double(F.regexp_replace(s, "[, ]", "")).isNotNull(), there).alias("castable"),
         share(low.isin(*V.BOOLEANS), there).alias("booleans"), F.avg(F.length(s)).alias("mean_length"), F.avg(F.when(there, F.size(F.regexp_extract_all(s, F.lit(r"(?U)\w+"), F.lit(0))))).alias("mean_words"),
