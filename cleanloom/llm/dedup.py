@@ -50,7 +50,9 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     """A row for each row of docs: doc_id, keep_id, group_size, kept, text_sha256."""
     norm = normalised(F.col(text_col))
     members = docs.select(F.col(id_col).alias("doc_id"), F.unhex(F.sha2(norm, 256)).alias("__key"), F.octet_length(norm).alias("__bytes"), F.xxhash64(norm).alias("__second"))
-    found = members.join(classes(docs, id_col, text_col, salts), ["__key", "__bytes", "__second"], "left")
+    # As a table, so that both sides of the join are plain exchanges and a hot digest's members can be split.
+    own = sh.written(classes(docs, id_col, text_col, salts), "dedup-classes")
+    found = members.join(own, ["__key", "__bytes", "__second"], "left")
     kept = F.coalesce(F.col("doc_id") == F.col("keep_id"), F.col("keep_id").isNull())
     return found.select("doc_id", "keep_id", "group_size", kept.alias("kept"), F.lower(F.hex("__key")).alias("text_sha256"))
 
