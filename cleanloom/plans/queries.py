@@ -54,7 +54,7 @@ def dirty_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _money(c: str) -> Column:
-    return F.sum(F.col(c).cast("decimal(18,4)"))
+    return F.sum(F.col(c).cast("decimal(18,4)")).cast("double")
 
 
 # Functions of text.
@@ -341,7 +341,7 @@ def relation_detect(spark, sf_dir):
 @query
 def relation_repair(spark, sf_dir):
     out = outliers.repair_products(_related(spark, sf_dir), [("a", "b", "c")])
-    return out.groupBy(F.col("c_calculation_status").alias("status")).agg(F.count(F.lit(1)).alias("n"), F.sum(F.round("c", 4).cast("decimal(18,4)")).alias("total"))
+    return out.groupBy(F.col("c_calculation_status").alias("status")).agg(F.count(F.lit(1)).alias("n"), F.sum(F.round("c", 4).cast("decimal(18,4)")).cast("double").alias("total"))
 
 
 # Imputation.
