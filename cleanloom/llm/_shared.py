@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -13,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that a Python worker turns into numpy arrays at a time.
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = "abcdefghijklmnopqrstuvwxyz"
@@ -74,6 +76,36 @@ def slices(batch: pa.RecordBatch, text: int, most: int = SLICE_BYTES) -> Iterato
         first = last
 
 
+#: What a worker holds between tasks: an owner, and how to drop it.
+_held: dict[str, Callable[[], None]] = {}
+
+
+def held(owner: str, drop: Callable[[], None]) -> None:
+    """Tells that this worker now holds something of the owner's for its later tasks."""
+    _held[owner] = drop
+
+
+def _release() -> None:
+    """Gives free memory back to the system."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
+def frugal(run: Callable[[Iterator], Iterator], owner: str = "") -> Callable[[Iterator], Iterator]:
+    """run, for a worker that serves tasks of several operators: what others hold goes first, and free memory goes back after the task."""
+
+    def task(batches: Iterator) -> Iterator:
+        for other in [x for x in _held if x != owner]:
+            _held.pop(other)()
+        try:
+            yield from run(batches)
+        finally:
+            _release()
+
+    return task
+
+
 def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """The positions starts[0], starts[0] + 1, ... (lengths[0] of them), then those of starts[1], ..."""
     total = int(lengths.sum())

@@ -33,7 +33,7 @@ from . import _shared as sh
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 #: Distinct words that a worker remembers before it forgets them all.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 250_000
 
 LETTER, NUMBER, SPACE, OTHER = range(4)
 
@@ -163,6 +163,7 @@ def from_json(path: str) -> Encoder:
     """The encoder of a tokenizer file of the tokenizers library."""
     from tokenizers import Tokenizer
 
+    sh.held("bpe", forget_all)
     return Encoder(Tokenizer.from_file(path))
 
 
@@ -187,9 +188,16 @@ def from_ranks(path: str, offsets: bool = False) -> Encoder:
     ranks, shown = read_ranks(path), byte_characters()
     name = lambda token: "".join(map(shown.__getitem__, token))
     model = models.BPE(vocab={name(t): r for t, r in ranks.items()}, merges=[(name(a), name(b)) for a, b in merges_of(ranks)], ignore_merges=True)
+    sh.held("bpe", forget_all)
     return Encoder(Tokenizer(model), offsets)
 
 
+def forget_all() -> None:
+    """Drops the encoders of this process, with the words that they know."""
+    from_json.cache_clear()
+    from_ranks.cache_clear()
+
+
 class Decoder:
     """Turns ids into bytes by the reversed byte table."""
 
@@ -242,7 +250,7 @@ def encode(df: DataFrame, ranks_path: str, id_col: str = "doc_id", text_col: str
                 lists = [pa.ListArray.from_arrays(ends, pa.array(x.astype(np.int32))) for x in (found[0], *found[2:])]
                 yield pa.RecordBatch.from_arrays([part.column(0), *lists], names=schema.names)
 
-    return df.select(id_col, text_col).mapInArrow(run, schema)
+    return df.select(id_col, text_col).mapInArrow(sh.frugal(run, "bpe"), schema)
 
 
 def decode(df: DataFrame, ranks_path: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
@@ -257,7 +265,7 @@ def decode(df: DataFrame, ranks_path: str, id_col: str = "doc_id", ids_col: str
             data = [decoder(np.asarray(x.values if x.is_valid else [], np.int64)) for x in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(data, pa.binary())], names=schema.names)
 
-    return df.select(id_col, ids_col).mapInArrow(run, schema)
+    return df.select(id_col, ids_col).mapInArrow(sh.frugal(run, "bpe"), schema)
 
 
 def round_trip_digests(df: DataFrame, ranks_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -276,7 +284,7 @@ def round_trip_digests(df: DataFrame, ranks_path: str, id_col: str = "doc_id", t
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(counts), pa.array(first, pa.string()), pa.array(second, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     kind = df.schema[id_col].dataType.simpleString()
-    return df.select(id_col, text_col).mapInArrow(run, f"doc_id {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string")
+    return df.select(id_col, text_col).mapInArrow(sh.frugal(run, "bpe"), f"doc_id {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string")
 
 
 def vocabulary_names(path: str) -> dict[int, str]:

@@ -44,6 +44,8 @@ NEAREST = 3
 LEAST_EQUAL = 33
 #: Rows of an order in a range, about.
 RANGE_ROWS = 50_000
+#: Sets that are unpacked at a time.
+SOME_SETS = 500
 #: Ids that may be broadcast (8 bytes each).
 BROADCAST_IDS = 1_000_000
 
@@ -100,7 +102,7 @@ def signatures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
                     keys[k], sigs[k] = xxhash.xxh3_128_digest(sets[k].tobytes()), row.tobytes()
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(list(map(len, sets)), pa.int64()), pa.array(keys, pa.binary()), pa.array(sigs, pa.binary())], names=["doc_id", "n_shingles", "key", "sig"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), text_col).mapInArrow(run, "doc_id bigint, n_shingles bigint, key binary, sig binary")
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), text_col).mapInArrow(sh.frugal(run), "doc_id bigint, n_shingles bigint, key binary, sig binary")
 
 
 def region_pairs(values: np.ndarray, tree: np.ndarray, region: int = REGION, nearest: int = NEAREST) -> tuple[np.ndarray, np.ndarray]:
@@ -195,7 +197,7 @@ def candidates(classes: DataFrame) -> DataFrame:
         a, b = _passing(*region_pairs(values, tree), bits, ids, n)
         return pa.table({"a": a, "b": b})
 
-    found = sh.written(entries.repartitionByRange(ranges, *order).sortWithinPartitions(*order).mapInArrow(run, f"a bigint, b bigint, part int, head boolean, {_ENTRY}"), "near-candidates")
+    found = sh.written(entries.repartitionByRange(ranges, *order).sortWithinPartitions(*order).mapInArrow(sh.frugal(run), f"a bigint, b bigint, part int, head boolean, {_ENTRY}"), "near-candidates")
     edges = found.where(F.col("part").isNotNull())
     # The range before each one that has rows.
     before = edges.select("part").distinct().withColumn("__before", F.lag("part").over(Window.orderBy("part")))
@@ -214,7 +216,7 @@ def sets_of(docs: DataFrame, ids: DataFrame, id_col: str, text_col: str) -> Data
             for part in sh.slices(batch, 1):
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([x.tobytes() for x in shingle_sets(part.column(1))], pa.binary())], names=["id", "items"])
 
-    return mine.select("id", "text").mapInArrow(run, "id bigint, items binary")
+    return mine.select("id", "text").mapInArrow(sh.frugal(run), "id bigint, items binary")
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int = 75) -> DataFrame:
@@ -225,7 +227,7 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int = 75) -> DataFrame
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         head, mine = None, None
-        for batch in batches:
+        for batch in (b.slice(k, SOME_SETS) for b in batches for k in range(0, len(b), SOME_SETS)):
             kept = []
             for a, member, b, items in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 x = np.frombuffer(items, np.uint64)
@@ -238,7 +240,7 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int = 75) -> DataFrame
                         kept.append((a, b))
             yield pa.RecordBatch.from_arrays([pa.array([k[i] for k in kept], pa.int64()) for i in (0, 1)], names=["a", "b"])
 
-    return rows.repartition("a").sortWithinPartitions("a", "member").mapInArrow(run, "a bigint, b bigint")
+    return rows.repartition("a").sortWithinPartitions("a", "member").mapInArrow(sh.frugal(run), "a bigint, b bigint")
 
 
 def _print(df: DataFrame) -> tuple:
@@ -325,7 +327,7 @@ def _with_bits(classes: DataFrame) -> DataFrame:
             packed = low[:, ::2] << 4 | low[:, 1::2]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([row.tobytes() for row in packed], pa.binary())], names=[*batch.schema.names, "bits"])
 
-    return classes.mapInArrow(run, "key binary, n bigint, rep bigint, sig binary, bits binary")
+    return classes.mapInArrow(sh.frugal(run), "key binary, n bigint, rep bigint, sig binary, bits binary")
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -163,4 +163,4 @@ def pack(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str
         yield _batch(packer.flush(), kind)
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(*columns).mapInArrow(run, f"doc_id {kind}, {SCHEMA}")
+    return docs.select(*columns).mapInArrow(sh.frugal(run, "bpe"), f"doc_id {kind}, {SCHEMA}")

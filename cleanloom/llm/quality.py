@@ -203,7 +203,7 @@ def _with_statistics(df: DataFrame, keep: list[str]) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([*(part.column(i) for i in range(len(keep))), lists], names=names)
 
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in df.schema if f.name in keep)
-    return df.mapInArrow(run, f"{schema}, stats array<double>")
+    return df.mapInArrow(sh.frugal(run), f"{schema}, stats array<double>")
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", id_col: str = "doc_id", text_col: str = "text", rows: int = SAMPLE_ROWS) -> Trees:
@@ -232,7 +232,7 @@ def score(docs: DataFrame, model: Trees, id_col: str = "doc_id", text_col: str =
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(p), pa.array((p >= threshold).astype(np.int32))], names=["doc_id", "held_out", "score", "predicted"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(id_col, held_out(F.col(id_col)).alias("__held"), text_col).mapInArrow(run, f"doc_id {kind}, held_out boolean, score double, predicted int")
+    return docs.select(id_col, held_out(F.col(id_col)).alias("__held"), text_col).mapInArrow(sh.frugal(run), f"doc_id {kind}, held_out boolean, score double, predicted int")
 
 
 def keep_good(docs: DataFrame, model: Trees, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
@@ -244,4 +244,4 @@ def keep_good(docs: DataFrame, model: Trees, text_col: str = "text", threshold:
             for part in sh.slices(batch, where):
                 yield part.filter(pa.array(model(statistics(part.column(where))) >= threshold))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(sh.frugal(run), docs.schema)
