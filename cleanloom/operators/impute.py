@@ -193,12 +193,16 @@ def text_by_siblings(df: DataFrame, target: str, contexts: Sequence[str], descri
     best = F.array_max(F.array(*options))["v"] if options else F.lit(None).cast("string")
     named = F.lit(None).cast("string")
     if descriptive:
-        # The vocabulary of one column; a categorical one is small, and a larger one goes by a join of words.
+        # Distinct descriptions meet the words of known values, and come back by the descriptions themselves.
         known = base.where(F.col(target).isNotNull()).select(F.explode(T.keywords(F.col(target))).alias("__w")).distinct()
         words = F.array_distinct(F.flatten(F.array(*(F.coalesce(T.keywords(F.col(d)), F.array().cast("array<string>")) for d in descriptive))))
-        out = rows.with_row_id(out)
-        hit = out.where(F.col(target).isNull()).select(rows.ROW_ID, F.explode(words).alias("__w")).join(known, "__w").groupBy(rows.ROW_ID).agg(F.min("__w").alias("__named"))
-        out = out.join(hit, rows.ROW_ID, "left")
+        own = [F.col(d).alias(f"__d_{i}") for i, d in enumerate(descriptive)]
+        asked = base.where(F.col(target).isNull()).select(*own, words.alias("__words")).distinct().withColumn("__w", F.explode("__words"))
+        hit = asked.join(known, "__w").groupBy(*(f"__d_{i}" for i in range(len(descriptive)))).agg(F.min("__w").alias("__named"))
+        same = F.lit(True)
+        for i, d in enumerate(descriptive):
+            same = same & F.col(d).eqNullSafe(F.col(f"__d_{i}"))
+        out = out.join(hit, same, "left")
         named = F.initcap("__named")
     value = F.coalesce(F.col(target), best, named, *([F.lit(V.SENTINEL)] if with_sentinel else []))
     predicted = F.col(target).isNull() & F.coalesce(best, named).isNotNull()

@@ -44,8 +44,8 @@ def drop_duplicates(df: DataFrame, order_by: Sequence[str] | None = None, subset
 
 def duplicate_count(df: DataFrame, subset: Sequence[str] | None = None) -> DataFrame:
     """One row: total, distinct_rows, duplicates."""
-    counts = df.groupBy(*(subset or visible(df))).agg(F.count(F.lit(1)).alias("n"))
-    return counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("total"), F.count(F.lit(1)).alias("distinct_rows")).withColumn("duplicates", F.col("total") - F.col("distinct_rows"))
+    counts = df.groupBy(*(subset or visible(df))).agg(F.count(F.lit(1)).alias("__n"))
+    return counts.agg(F.coalesce(F.sum("__n"), F.lit(0)).alias("total"), F.count(F.lit(1)).alias("distinct_rows")).withColumn("duplicates", F.col("total") - F.col("distinct_rows"))
 
 
 def preview(df: DataFrame, order_by: Sequence[str], n: int = 100) -> DataFrame:
