@@ -7,7 +7,7 @@
    that no common passage and no large group of copies meets in one task. Neighbours that share a prefix form regions; a region
    with more than REGION members is entered one value deeper, as far as its own members reach, and each pair within a region
    of REGION members or fewer is a candidate. Members of larger regions are candidates with their NEAREST next ones in the
-   order, whose common prefixes are the longest. The rows at the edges of a range meet once more with those of the next range.
+   order, whose common prefixes are the longest; those of regions that share all values of an order are also remembered. The rows at the edges of a range meet once more with those of the next range.
    Candidates pass by the sizes of their sets (exact) and by four bits of every minimum (LEAST_EQUAL of MINIMA).
 3. Links. Candidates are confirmed on full sets. First each document meets its smallest candidate; what that links, by
    pointer jumping, needs no more comparison within. Then all candidates across what is still apart meet. Components of the
@@ -105,13 +105,14 @@ def signatures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), text_col).mapInArrow(sh.frugal(run), "doc_id bigint, n_shingles bigint, key binary, sig binary")
 
 
-def region_pairs(values: np.ndarray, tree: np.ndarray, region: int = REGION, nearest: int = NEAREST) -> tuple[np.ndarray, np.ndarray]:
-    """Index pairs of candidates among sorted rows."""
+def region_pairs(values: np.ndarray, tree: np.ndarray, region: int | None = None, nearest: int | None = None) -> tuple[np.ndarray, np.ndarray, list[tuple[int, int]]]:
+    """Index pairs of candidates among sorted rows, and the ranges that are too large and share all values."""
+    region, nearest = region or REGION, nearest or NEAREST
     equal = np.logical_and.accumulate(values[1:] == values[:-1], axis=1)
     common = np.where(tree[1:] == tree[:-1], equal.sum(1), 0)
     cut = np.flatnonzero(np.concatenate([[True], common == 0, [True]]))
     runs = [(a, b) for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True) if b - a > 1]
-    left, right = [], []
+    left, right, large = [], [], []
     upper = {}
     while runs:
         a, b = runs.pop()
@@ -128,9 +129,19 @@ def region_pairs(values: np.ndarray, tree: np.ndarray, region: int = REGION, nea
         if least < values.shape[1]:
             cut = a + np.flatnonzero(np.concatenate([[True], inner == least, [True]]))
             runs += [(c, d) for c, d in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True) if d - c > 1]
+        else:
+            large.append((a, b))
     if not left:
-        return np.empty(0, np.int64), np.empty(0, np.int64)
-    return np.concatenate(left), np.concatenate(right)
+        return np.empty(0, np.int64), np.empty(0, np.int64), []
+    return np.concatenate(left), np.concatenate(right), large
+
+
+def _members(large: list[tuple[int, int]], tree: np.ndarray, values: np.ndarray, ids: np.ndarray) -> tuple[list[int], np.ndarray]:
+    """A key of each row in the ranges, by its order and values, and the rows' ids."""
+    import xxhash
+
+    keys = [xxhash.xxh3_64_intdigest(values[a].tobytes(), int(tree[a])) - (1 << 63) for a, _ in large]
+    return [k for k, (a, b) in zip(keys, large, strict=True) for _ in range(b - a)], np.concatenate([ids[a:b] for a, b in large] or [ids[:0]])
 
 
 def _rows(table: pa.Table) -> tuple[np.ndarray, ...]:
@@ -166,44 +177,52 @@ _ENTRY = "tree int, prefix binary, bits binary, rep bigint, n bigint"
 _ENTRY_NAMES = ["tree", "prefix", "bits", "rep", "n"]
 
 
-def candidates(classes: DataFrame) -> DataFrame:
-    """Distinct pairs a < b of classes (rep, n, sig) that the forest names."""
+def candidates(classes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Distinct pairs a < b of classes (rep, n, sig) that the forest names; and region, id of the members of regions that it couldn't enter far enough."""
     step, width = MINIMA // TREES, 4 * DEPTH
     doubled = F.concat("sig", F.substring("sig", 1, width))
     wide = classes.select("rep", "n", doubled.alias("__sig"), "bits").withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))))
     entries = wide.select("tree", F.expr(f"substring(__sig, tree * {4 * step} + 1, {width})").alias("prefix"), "bits", "rep", "n")
     order = ["tree", "prefix", "rep"]
     ranges = max(1, classes.count() * TREES // RANGE_ROWS)
+    kinds = {"a": pa.int64(), "b": pa.int64(), "region": pa.int64(), "part": pa.int32(), "head": pa.bool_(), "tree": pa.int32(), "prefix": pa.binary(), "bits": pa.binary(), "rep": pa.int64(), "n": pa.int64()}
+    size, nearest = REGION, NEAREST
+
+    def told(**columns) -> pa.RecordBatch:
+        """Rows with these columns; the others are null."""
+        m = len(next(iter(columns.values())))
+        return pa.RecordBatch.from_arrays([pa.array(columns[c], t) if isinstance(columns.get(c), (list, np.ndarray)) else columns[c].combine_chunks().cast(t) if c in columns else pa.nulls(m, t) for c, t in kinds.items()], names=list(kinds))
+
+    def found_in(rows: pa.Table) -> Iterator[pa.RecordBatch]:
+        tree, values, bits, ids, n = _rows(rows)
+        i, j, large = region_pairs(values, tree, size, nearest)
+        a, b = _passing(i, j, bits, ids, n)
+        yield told(a=a, b=b)
+        regions, members = _members(large, tree, values, ids)
+        yield told(region=regions, rep=members)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         got = [b for b in batches if len(b)]
-        if not got:
-            return
-        rows = pa.Table.from_batches(got)
-        tree, values, bits, ids, n = _rows(rows)
-        a, b = _passing(*region_pairs(values, tree), bits, ids, n)
-        none = [pa.nulls(len(a), t) for t in (pa.int32(), pa.bool_(), pa.int32(), pa.binary(), pa.binary(), pa.int64(), pa.int64())]
-        names = ["a", "b", "part", "head", *_ENTRY_NAMES]
-        yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), *none], names=names)
-        for head, edge in ((True, rows.slice(0, REGION)), (False, rows.slice(max(0, len(rows) - REGION)))):
-            edge, m = edge.combine_chunks(), len(edge)
-            edge = [edge[c].combine_chunks().cast(t) for c, t in zip(_ENTRY_NAMES, (pa.int32(), pa.binary(), pa.binary(), pa.int64(), pa.int64()), strict=True)]
-            part = TaskContext.get().partitionId()
-            yield pa.RecordBatch.from_arrays([pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64()), pa.array([part] * m, pa.int32()), pa.array([head] * m, pa.bool_()), *edge], names=names)
+        if got:
+            rows = pa.Table.from_batches(got)
+            yield from found_in(rows)
+            for head, edge in ((True, rows.slice(0, size)), (False, rows.slice(max(0, len(rows) - size)))):
+                m = len(edge)
+                yield told(part=[TaskContext.get().partitionId()] * m, head=[head] * m, **{c: edge[c] for c in _ENTRY_NAMES})
 
     def across(rows: pa.Table) -> pa.Table:
         rows = rows.sort_by([("tree", "ascending"), ("prefix", "ascending"), ("rep", "ascending")])
-        tree, values, bits, ids, n = _rows(rows)
-        a, b = _passing(*region_pairs(values, tree), bits, ids, n)
-        return pa.table({"a": a, "b": b})
+        return pa.Table.from_batches(found_in(rows)).select(["a", "b", "region", "rep"])
 
-    found = sh.written(entries.repartitionByRange(ranges, *order).sortWithinPartitions(*order).mapInArrow(sh.frugal(run), f"a bigint, b bigint, part int, head boolean, {_ENTRY}"), "near-candidates")
+    schema = f"a bigint, b bigint, region bigint, part int, head boolean, {_ENTRY}"
+    found = sh.written(entries.repartitionByRange(ranges, *order).sortWithinPartitions(*order).mapInArrow(sh.frugal(run), schema), "near-candidates")
     edges = found.where(F.col("part").isNotNull())
     # The range before each one that has rows.
     before = edges.select("part").distinct().withColumn("__before", F.lag("part").over(Window.orderBy("part")))
     edges = edges.join(before, "part").withColumn("__border", F.when(F.col("head"), F.col("__before")).otherwise(F.col("part"))).where(F.col("__border").isNotNull())
-    met = edges.select("__border", *_ENTRY_NAMES).groupBy("__border").applyInArrow(across, "a bigint, b bigint")
-    return found.where(F.col("part").isNull()).select("a", "b").unionByName(met).distinct()
+    met = edges.select("__border", *_ENTRY_NAMES).groupBy("__border").applyInArrow(across, "a bigint, b bigint, region bigint, rep bigint")
+    every = sh.written(found.where(F.col("part").isNull()).select("a", "b", "region", "rep").unionByName(met), "near-found")
+    return every.where(F.col("a").isNotNull()).select("a", "b").distinct(), every.where(F.col("region").isNotNull()).select("region", F.col("rep").alias("id")).distinct()
 
 
 def sets_of(docs: DataFrame, ids: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -280,26 +299,41 @@ def _roots(parents: DataFrame) -> DataFrame:
 
 def linked(docs: DataFrame, classes: DataFrame, id_col: str, text_col: str) -> DataFrame | None:
     """id, root for each class that is linked with a smaller one. None: no candidates."""
-    pairs = sh.written(candidates(classes), "near-pairs")
+    pairs, members = candidates(classes)
+    pairs = sh.written(pairs, "near-pairs")
     ids = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
     ids = sh.written(ids, "near-ids")
-    if ids.isEmpty():
+    if ids.isEmpty() and members.isEmpty():
         return None
     sets = sh.written(sets_of(docs, ids, id_col, text_col), "near-sets")
     first = pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
-    trees = _roots(confirmed(first, sets).select(F.col("b").alias("id"), F.col("a").alias("parent")))
-    of = lambda end: trees.select(F.col("id").alias(end), F.col("root").alias(f"__root_{end}"))
-    apart = pairs.join(first.withColumn("__met", F.lit(True)), ["a", "b"], "left").where(F.col("__met").isNull()).drop("__met")
-    apart = apart.join(of("a"), "a", "left").join(of("b"), "b", "left")
+    roots = _roots(confirmed(first, sets).select(F.col("b").alias("id"), F.col("a").alias("parent")))
+    roots = _merged(roots, pairs.join(first, ["a", "b"], "left_anti"), sets)
+    # What large regions still hold apart: their members outside the region's main component, against all its members.
+    labelled = sh.written(members.join(roots, "id", "left").select("region", "id", F.coalesce("root", "id").alias("root")), "near-members")
+    main = labelled.groupBy("region").agg(F.mode("root", True).alias("__main"), (F.min("root") < F.max("root")).alias("__mixed")).where("__mixed").select("region", "__main")
+    others = labelled.join(main, "region").where("root <> __main").select("region", F.col("id").alias("__id"), F.col("root").alias("__root"))
+    apart = others.join(labelled, "region").where("root <> __root").select(F.least("id", "__id").alias("a"), F.greatest("id", "__id").alias("b")).distinct()
+    apart = sh.written(apart.join(pairs, ["a", "b"], "left_anti"), "near-rest")
+    if apart.isEmpty():
+        return roots
+    ids = sh.written(apart.select(F.col("a").alias("id")).unionByName(apart.select(F.col("b").alias("id"))).distinct(), "near-ids")
+    return _merged(roots, apart, sh.written(sets_of(docs, ids, id_col, text_col), "near-sets"))
+
+
+def _merged(roots: DataFrame, pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The roots after the links among those pairs whose ends are still apart."""
+    of = lambda end: roots.select(F.col("id").alias(end), F.col("root").alias(f"__root_{end}"))
+    apart = pairs.join(of("a"), "a", "left").join(of("b"), "b", "left")
     apart = apart.select("a", "b", F.coalesce("__root_a", "a").alias("u"), F.coalesce("__root_b", "b").alias("v")).where("u != v")
     apart = sh.written(apart, "near-apart")
     if apart.isEmpty():
-        return trees
+        return roots
     more = sh.written(confirmed(apart.select("a", "b"), sets), "near-links")
-    roots = components(apart.join(more, ["a", "b"]).select("u", "v"))
-    merged = trees.join(roots.select(F.col("id").alias("root"), F.col("root").alias("__root")), "root", "left").select("id", F.coalesce("__root", "root").alias("root"))
+    new = sh.written(components(apart.join(more, ["a", "b"]).select("u", "v")), "near-new")
+    merged = roots.join(new.select(F.col("id").alias("root"), F.col("root").alias("__root")), "root", "left").select("id", F.coalesce("__root", "root").alias("root"))
     # Roots, and documents without a first link, have labels of their own.
-    return merged.unionByName(roots.select("id", "root")).groupBy("id").agg(F.min("root").alias("root"))
+    return sh.written(merged.unionByName(new.select("id", "root")).groupBy("id").agg(F.min("root").alias("root")), "near-roots")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -237,10 +237,11 @@ def test_regions_are_whole_where_small():
     rng = np.random.default_rng(0)
     v = np.sort(rng.integers(0, 3, (200, 3)).view(np.int64).astype(np.uint32), axis=0)
     v = v[np.lexsort(v.T[::-1])]
-    i, j = near_dup.region_pairs(v, np.zeros(200, int), region=1000)
+    i, j, _ = near_dup.region_pairs(v, np.zeros(200, int), region=1000)
     want = {(a, b) for a in range(200) for b in range(a + 1, 200) if v[a, 0] == v[b, 0]}
     assert set(zip(i.tolist(), j.tolist(), strict=True)) == want
-    i, j = near_dup.region_pairs(v, np.zeros(200, int), region=4, nearest=1)
+    i, j, large = near_dup.region_pairs(v, np.zeros(200, int), region=4, nearest=1)
+    assert all(b - a > 4 and len({tuple(x) for x in v[a:b]}) == 1 for a, b in large)
     assert {(a, a + 1) for a in range(199) if v[a, 0] == v[a + 1, 0]} <= set(zip(i.tolist(), j.tolist(), strict=True))
 
 
@@ -250,6 +251,14 @@ def test_borders_between_ranges(spark, corpus, monkeypatch):
     assert got == plain_components(corpus)
 
 
+def test_large_regions_lose_nothing(spark, corpus, monkeypatch):
+    """With tiny regions and orders of one value, links come from the exact last step."""
+    for name, value in (("REGION", 2), ("NEAREST", 1), ("DEPTH", 1), ("RANGE_ROWS", 100)):
+        monkeypatch.setattr(near_dup, name, value)
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in near_dup.near_duplicates(docs(spark, corpus)).collect()}
+    assert got == plain_components(corpus)
+
+
 def test_bpe(spark, corpus):
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
     reference = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=bpe.read_ranks(path), special_tokens={})
