@@ -273,10 +273,11 @@ def components(edges: DataFrame) -> DataFrame:
     last = None
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+        # Minima as tables: both sides of a join are then plain exchanges, and the rows of a star's centre can be split.
+        least = sh.written(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "near-least")
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        down = large.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u != v").distinct()
-        least = down.groupBy("u").agg(F.min("v").alias("m"))
+        down = sh.written(large.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u != v").distinct(), "near-edges")
+        least = sh.written(down.groupBy("u").agg(F.min("v").alias("m")), "near-least")
         small = down.join(least, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
         edges = sh.written(small.where("u != v").distinct(), "near-edges")
         now = _print(edges)
