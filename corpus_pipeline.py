@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from cleanloom import on_workers
 from cleanloom.llm import _shared as sh
 from cleanloom.llm import dedup, near_dup, packing, quality
 from cleanloom.llm.queries import vocabulary
@@ -15,21 +16,25 @@ from cleanloom.llm.queries import vocabulary
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier rejects go."""
+    on_workers(spark)
     return quality.keep_good(docs, quality.fit(docs, sh.table(spark, sf_dir, "labels")))
 
 
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts the document with the largest id stays."""
+    on_workers(spark)
     return dedup.deduplicated(docs)
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near copies the document with the smallest id stays."""
+    on_workers(spark)
     return near_dup.one_of_each(docs)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The ids of all documents, in sequences."""
+    on_workers(spark)
     return packing.pack(docs, vocabulary("byte_bpe_50k.json"))
 
 
