@@ -46,7 +46,7 @@ def parse(c: Column) -> Column:
 
     def read(v: Column) -> Column:
         words = F.when(F.rlike(v, F.lit(V.ARABIC)), let(F.regexp_replace(arabic_months(v), r"\s+", " "), lambda m: listed(m, ("d M y", "y M d", "d/M/y", "y-M-d"))))
-        return F.when(F.rlike(v, F.lit(r"^\d{4,6}$")), excel_serial(v)).when(F.length(v) >= 6, F.coalesce(listed(v), words))
+        return F.when(F.rlike(v, F.lit(r"^\d{4,6}$")), excel_serial(v)).when(F.length(v).between(6, 40) & F.rlike(v, F.lit(r"\d")), F.coalesce(listed(v), words))
 
     return let(T.western_digits(T.squeeze(c)), read)
 

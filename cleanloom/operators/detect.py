@@ -74,7 +74,8 @@ def _facts(c: Column) -> Column:
     low = F.lower(s)
     return F.struct(
         F.count(F.lit(1)).alias("total"), F.count(c).alias("filled"),
-        share(dates.parse(s).isNotNull(), there).alias("dates"), share(F.rlike(s, F.lit(V.NUMBER)), there).alias("numbers"),
+        share(dates.parse(s).isNotNull() & ~F.rlike(s, F.lit(V.NUMBER)), there).alias("dates"),  # a number may be a serial, which doesn't make a column of dates
+        share(F.rlike(s, F.lit(V.NUMBER)), there).alias("numbers"),
         share(numeric.plain_double(F.regexp_replace(s, "[, ]", "")).isNotNull(), there).alias("castable"),
         share(low.isin(*V.BOOLEANS), there).alias("booleans"), F.avg(F.length(s)).alias("mean_length"), F.avg(F.when(there, F.size(F.regexp_extract_all(s, F.lit(r"(?U)\w+"), F.lit(0))))).alias("mean_words"),
         share(F.rlike(s, F.lit(V.EMAIL)), there).alias("emails"), share(F.rlike(s, F.lit(V.PHONE)) & (F.length(F.regexp_replace(s, r"\D", "")) >= 7), there).alias("phones"),

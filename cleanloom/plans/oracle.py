@@ -159,6 +159,8 @@ _SPELT = "p AS (SELECT p_partkey, CASE p_partkey % 5 WHEN 0 THEN ' ' || upper(p_
 _EVENTS4 = lambda cond: f"e AS (SELECT event_id, user_id, ts, CASE WHEN {cond} THEN value END AS value FROM events)"
 _CUST = lambda values: f"SELECT c_custkey, {_picked('c_custkey', values)} AS v FROM customer"
 
+_QUANTILE_MODES = f"WITH {_DIRTY_ORDERS}, q AS (SELECT list_distinct(quantile_cont(coalesce(o_totalprice, 0.0), [0.0, 0.2, 0.4, 0.6, 0.8, 1.0])) AS edges FROM o), x AS (SELECT o.*, greatest(len(list_filter(edges, lambda e: e < coalesce(o_totalprice, 0.0))) - 1, 0) AS bin FROM o, q), {_mode('x', 'o_custkey', 'o_orderstatus', 'm1')}, {_mode('x', 'bin', 'o_orderstatus', 'm2')}, t AS (SELECT x.*, m1.m AS a, m2.m AS b, coalesce(o_orderstatus, m1.m, m2.m) AS v, {_MODE_OF_ALL('o', 'o_orderstatus')} AS g FROM x LEFT JOIN m1 USING (o_custkey) LEFT JOIN m2 USING (bin)), t3 AS (SELECT *, coalesce(v, {{near}}, {{after}}) AS c FROM t WINDOW w AS (PARTITION BY o_orderpriority ORDER BY o_orderkey))"
+
 ORACLE_SQL: dict[str, str] = {
     "text_missing": f"SELECT c_custkey, {_missing('v', V.MISSING_VALUES)} AS app, {_missing('v', V.IMPUTATION_MISSING)} AS imputer, {_has('v', _PLACEHOLDER)} AS placeholder, CASE WHEN {_strip('v')} = '' OR {_has('v', _PLACEHOLDER)} THEN NULL ELSE v END AS kept, CASE WHEN v IN {_in(V.READER_NA)} THEN NULL ELSE v END AS reader FROM ({_CUST(Q.MISSING)})",
     "text_arabic": f"SELECT c_custkey, {_DIGITS('v')} AS digits, {_arabic('v')} AS arabic, {_ARABIC_PLAIN} AS plain, {_squeeze(f'''translate({_arabic('v')}, 'ؤئ', 'وي')''')} AS sanitised, {_squeeze(f'''translate({_DIGITS('v')}, 'أإآٱةى', 'ااااهي')''')} AS matching, {_language('v')} AS language FROM ({_CUST(Q.NAMES)})",
@@ -218,4 +220,15 @@ ORACLE_SQL: dict[str, str] = {
     "impute_transactions": f"WITH {_DIRTY_LINEITEM}, f AS (SELECT l_partkey, median(l_quantity) AS a FROM li GROUP BY 1), g AS (SELECT grade, median(l_quantity) AS b FROM li WHERE grade IS NOT NULL GROUP BY 1), t AS (SELECT *, coalesce(lag(l_quantity) OVER w, lead(l_quantity) OVER w) AS c FROM li WINDOW w AS (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey)) SELECT CASE WHEN l_quantity IS NOT NULL THEN 'Original' WHEN a IS NOT NULL THEN 'Filled by Item Context' WHEN b IS NOT NULL THEN 'Filled by Category Context' WHEN c IS NOT NULL THEN 'Filled by Transaction Neighbor' ELSE 'Filled Globally' END AS status, count(*) AS n FROM t LEFT JOIN f USING (l_partkey) LEFT JOIN g USING (grade) GROUP BY 1",
     "impute_carried": f"WITH e AS (SELECT event_id, user_id, ts, event_type, CASE WHEN event_id % 10 <> 3 THEN value END AS value, CASE WHEN event_id % 7 <> 0 THEN event_type END AS kind FROM events), f AS (SELECT user_id, median(value) AS a FROM e GROUP BY 1), g AS (SELECT event_type, median(value) AS b FROM e GROUP BY 1), {_mode('e', 'user_id', 'kind', 'm')} SELECT CASE WHEN value IS NOT NULL THEN 'Original Value' WHEN a IS NOT NULL THEN 'Filled by Item Context' ELSE 'Filled by Category Context' END AS value_status, CASE WHEN kind IS NOT NULL THEN 'Original Value' ELSE 'Filled by Item Context' END AS kind_status, coalesce(kind, m) AS kind, count(*) AS n, {_sum('coalesce(value, a, b)')} AS total FROM e LEFT JOIN f USING (user_id) LEFT JOIN g USING (event_type) LEFT JOIN m USING (user_id) GROUP BY 1, 2, 3",
     "quality_score": f"WITH {_DIRTY_ORDERS}, c AS (SELECT count(*) AS n, 2 * count(*) FILTER (o_orderstatus IS NULL) + count(*) FILTER (o_orderpriority IS NULL) AS gone FROM o), d AS (SELECT count(*) AS k FROM (SELECT DISTINCT o_orderstatus, o_orderpriority, o_custkey FROM o)), s AS (SELECT round(gone / (n * 4), 6) AS missing, gone / (n * 4) AS a, (n - k) / n AS b FROM c, d) SELECT round(40 * (1 - a) + 20 * (1 - b) + 10 * 0.75 + 30 * 0.75, 1) AS score, missing, round(b, 6) AS duplicates, 0.25::DOUBLE AS duplicate_columns, 0.25::DOUBLE AS numbers_as_text FROM s",
+    "impute_quantile_modes": f"{_QUANTILE_MODES.format(near='lag(v) OVER w', after='lead(v) OVER w')} SELECT o_orderkey, coalesce(v, c, g) AS o_orderstatus, CASE WHEN o_orderstatus IS NOT NULL THEN 'Populated' WHEN a IS NOT NULL THEN 'Filled by Item Context' WHEN b IS NOT NULL THEN 'Filled by Numeric Bin' WHEN c IS NOT NULL THEN 'Filled by Sequential Neighbor' ELSE 'Filled by Global Mode' END AS status FROM t3",
+    "impute_number_bins": f"{_QUANTILE_MODES.format(near='CASE WHEN o_orderpriority IS NOT NULL THEN lag(o_orderstatus) OVER w END', after='CASE WHEN o_orderpriority IS NOT NULL THEN lead(o_orderstatus) OVER w END')} SELECT o_orderkey, coalesce(v, c, g) AS o_orderstatus, CASE WHEN o_orderstatus IS NOT NULL THEN 'Populated' WHEN a IS NOT NULL THEN 'Filled by Item Context' WHEN b IS NOT NULL THEN 'Filled by Numeric Bin' WHEN c IS NOT NULL THEN 'Filled by Sequential Neighbor' ELSE 'Filled by Global Mode' END AS status FROM t3",
+    "impute_by_features": f"WITH {_DIRTY_ORDERS}, t AS (SELECT *, coalesce(o_orderpriority, CASE WHEN lag(o_orderstatus) OVER w IS NOT DISTINCT FROM o_orderstatus THEN lag(o_orderpriority) OVER w END, CASE WHEN lead(o_orderstatus) OVER w IS NOT DISTINCT FROM o_orderstatus AND lead(o_custkey) OVER w IS NOT NULL THEN lead(o_orderpriority) OVER w END) AS n FROM o WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderkey)), {_mode('o', 'o_custkey, o_orderstatus', 'o_orderpriority', 'm0')}, {_mode('o', 'o_orderstatus', 'o_orderpriority', 'm1')}, f AS (SELECT t.o_orderpriority AS v, n, m0.m AS a, m1.m AS b, {_MODE_OF_ALL('o', 'o_orderpriority')} || '_Estimated' AS g FROM t LEFT JOIN m0 ON t.o_custkey = m0.o_custkey AND t.o_orderstatus IS NOT DISTINCT FROM m0.o_orderstatus LEFT JOIN m1 ON t.o_orderstatus IS NOT DISTINCT FROM m1.o_orderstatus) SELECT coalesce(n, a, b, g) AS o_orderpriority, CASE WHEN v IS NOT NULL THEN 'Original' WHEN n IS NOT NULL THEN 'Neighbor Match' WHEN a IS NOT NULL THEN 'Multi-Feature Matrix' WHEN b IS NOT NULL THEN 'Relaxed Feature Match' ELSE 'Global Mode Fallback' END AS how, count(*) AS n FROM f GROUP BY 1, 2",
+    "impute_highlighted": f"WITH {_DIRTY_ORDERS}, {_mode('o', 'o_custkey', 'o_orderpriority', 'm1')} SELECT o_orderkey, CASE WHEN o_orderpriority IS NULL AND m IS NOT NULL THEN 'o_orderpriority' ELSE '' END AS highlight FROM o LEFT JOIN m1 USING (o_custkey)",
+    "schema_types": " UNION ALL ".join([f"SELECT '{c}' AS \"column\", '{k}' AS type, CASE WHEN max({c}) <= 127 AND min({c}) >= -128 THEN 'tinyint' WHEN max({c}) <= 32767 AND min({c}) >= -32768 THEN 'smallint' WHEN max({c}) <= 2147483647 THEN 'int' ELSE 'bigint' END AS recommended FROM lineitem" for c, k in (("l_orderkey", "bigint"), ("l_partkey", "bigint"), ("l_suppkey", "bigint"), ("l_linenumber", "int"))] + [f"SELECT '{c}', 'double', CASE WHEN bool_and(CAST(CAST({c} AS FLOAT) AS DOUBLE) = {c}) THEN 'float' ELSE 'double' END FROM lineitem" for c in ("l_quantity", "l_extendedprice", "l_discount", "l_tax")] + [f"SELECT '{c}', 'string', CASE WHEN count(DISTINCT {c}) <= 0.2 * count(*) THEN 'dictionary_candidate' ELSE 'string' END FROM lineitem" for c in ("l_returnflag", "l_linestatus")]),
+    "detect_roles": f"WITH {_DIRTY_ORDERS}, c AS (" + " UNION ALL ".join(f"SELECT '{c}' AS \"column\", lower(CAST({c} AS VARCHAR)) AS v, count(*) AS n FROM o WHERE {c} IS NOT NULL GROUP BY 2" for c in ("o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority", "o_totalprice")) + ") SELECT \"column\", CASE WHEN \"column\" IN ('o_orderkey', 'o_custkey', 'o_totalprice') THEN 'numeric' ELSE 'categorical' END AS role, CAST(sum(n) AS BIGINT) AS filled, round(count(*) / sum(n), 6) AS distinct_ratio, round(max(n) / sum(n), 6) AS top_share FROM c GROUP BY 1",
+    "detect_types": "SELECT * FROM (VALUES ('o_orderkey', 'numeric', 'numeric', 'other'), ('shipped', 'date', 'date', 'other'), ('o_totalprice', 'numeric', 'numeric', 'other'), ('o_orderpriority', 'text', 'text', 'en'), ('flag', 'boolean', 'text', 'other')) t(\"column\", type, engine_type, language)",
+    "phone_log": f"WITH digits AS (SELECT c_custkey, v, regexp_replace(regexp_replace({_DIGITS('v')}, '[^\\d+]', '', 'g'), '^00', '+') AS d FROM ({_CUST((*Q.PHONES, ''))})), a AS ({_phone(True)}) SELECT count(*) FILTER (p <> v) AS phones_standardized, count(*) FILTER (p = '' AND v <> '') AS invalid_phones, count(*) FILTER (v = '') AS empty_phones FROM a JOIN digits USING (c_custkey)",
+    "schema_empty_cells": f"SELECT c_custkey, nullif({_picked('c_custkey', ('100', '', '', '', '500'))}, '') AS quantity, nullif({_picked('c_custkey', ('a', '', 'N/A'))}, '') AS label FROM customer",
+    "rows_filter_outliers": "SELECT event_id, user_id, value FROM events, (SELECT quantile_cont(value, 0.25) AS q1, quantile_cont(value, 0.75) AS q3 FROM events) WHERE value < q1 - 1.5 * (q3 - q1) OR value > q3 + 1.5 * (q3 - q1)",
+    "cluster_phones": f"SELECT CASE WHEN v = '+201012345678' THEN '+20101234567' ELSE v END AS phone, count(*) AS n FROM ({_CUST(('+201012345678', '+201012345678', '+20101234567', '+966512345678', 'none'))}) GROUP BY 1",
 }

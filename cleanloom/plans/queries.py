@@ -435,9 +435,47 @@ def bins_quantile(spark, sf_dir):
     return o.groupBy("bin", "band").agg(F.count(F.lit(1)).alias("n"), F.min("o_totalprice").alias("low"), F.max("o_totalprice").alias("high"))
 
 
+@query
+def impute_number_bins(spark, sf_dir):
+    o = dirty_orders(spark, sf_dir).withColumn("o_totalprice", F.coalesce("o_totalprice", F.lit(0.0)))
+    out = impute.by_bins(o, "o_orderstatus", "o_custkey", "o_totalprice", ["o_orderpriority"], ["o_orderkey"], ["o_orderpriority"])
+    return out.select("o_orderkey", "o_orderstatus", F.col("o_orderstatus_imputation_status").alias("status"))
+
+
+@query
+def impute_highlighted(spark, sf_dir):
+    out = impute.categorical_by_context(dirty_orders(spark, sf_dir), ["o_orderpriority"], ["o_custkey"])
+    return audit.highlighted(out, ["o_orderpriority_imputation_status"]).select("o_orderkey", F.array_join("_highlight", ",").alias("highlight"))
+
+
 # Audit.
 
 
+@query
+def phone_log(spark, sf_dir):
+    c = table(spark, sf_dir, "customer").select("c_custkey", picked("c_custkey", (*PHONES, "")).alias("phone"))
+    return pipelines.clean_phones(c, "phone")[1]
+
+
+@query
+def schema_empty_cells(spark, sf_dir):
+    c = table(spark, sf_dir, "customer").select("c_custkey", picked("c_custkey", ("100", "N/A", "غير محدد", "", "500")).alias("quantity"), picked("c_custkey", ("a", "", "N/A")).alias("label"))
+    return schema.standard_empty(c, ["quantity"])
+
+
+@query
+def rows_filter_outliers(spark, sf_dir):
+    """Rows with a value beyond the quartiles, without a limit."""
+    e = outliers.flag(table(spark, sf_dir, "events").select("event_id", "user_id", "value"), ["value"], "beyond")
+    return e.where("beyond").select("event_id", "user_id", "value")
+
+
+@query
+def cluster_phones(spark, sf_dir):
+    c = table(spark, sf_dir, "customer").select(picked("c_custkey", ("+201012345678", "+201012345678", "+20101234567", "+966512345678", "none")).alias("phone"))
+    return fuzzy.apply_mapping(c, fuzzy.phone_mapping(c, "phone", 95)).groupBy("phone").agg(F.count(F.lit(1)).alias("n"))
+
+
 @query
 def audit_changes(spark, sf_dir):
     before = dirty_orders(spark, sf_dir).select("o_orderkey", "o_orderstatus", "o_orderpriority")

@@ -16,5 +16,8 @@ def spark(tmp_path_factory):
         .config("spark.ui.showConsoleProgress", "false").config("spark.sql.warehouse.dir", str(base / "warehouse")).config("spark.checkpoint.dir", f"file://{base}/checkpoints").getOrCreate()
     )
     session.sparkContext.setLogLevel("ERROR")
+    from cleanloom import on_workers
+
+    on_workers(session)
     yield session
     session.stop()
