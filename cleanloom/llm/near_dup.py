@@ -4,16 +4,19 @@
    there are fewer), as 64-bit hashes; MINIMA minima of hash functions sign it. Documents with equal sets form a class; its
    smallest id stands for it from here on.
 2. Forest. TREES rotations of the signature give as many sorted orders. An order is dealt out by range, ties split by id, so
-   that no common passage and no large group of copies meets in one task. Neighbours that share a prefix form regions; a region
-   with more than REGION members is entered one value deeper, as far as its own members reach, and each pair within a region
-   of REGION members or fewer is a candidate. Members of larger regions are candidates with their NEAREST next ones in the
-   order, whose common prefixes are the longest; those of regions that share all values of an order are also remembered. The rows at the edges of a range meet once more with those of the next range.
-   Candidates pass by the sizes of their sets (exact) and by four bits of every minimum (LEAST_EQUAL of MINIMA).
-3. Links. Candidates are confirmed on full sets. First each document meets its smallest candidate; what that links, by
-   pointer jumping, needs no more comparison within. Then all candidates across what is still apart meet. Components of the
-   links are found by alternating large and small stars. Ids and labels stay distributed; each round is a written table.
-
-A pair at the threshold is missed by a tree with probability 0.25 where regions are small, so by the forest with 0.25 ** 16;
+   that no common passage and no large group of copies meets in one task; the rows at the edges of a range meet once more with
+   those of the next. Candidates pass by the sizes of their sets (exact) and by four bits of every minimum (LEAST_EQUAL of
+   MINIMA). They are taken in two rounds.
+   First, each row and its NEAREST next ones with a common prefix, which is longest there.
+   Then, among what the first round left apart: neighbours that share a prefix form regions; a region with more than REGION
+   members, not all linked yet, is entered one value deeper, and each pair of a region of REGION members or fewer is a
+   candidate. Members of larger regions that share all values of an order are remembered.
+3. Links. Candidates are confirmed on full sets; what is linked already isn't compared again, so a large group of near copies
+   costs its members' nearest neighbours, not its pairs. Last, members of a remembered region that are outside its main
+   component meet all its other members, so no bound on a region loses a link. Components of the links are found by pointer
+   jumping and by alternating large and small stars. Ids and labels stay distributed; each round is a written table.
+
+A pair at the threshold is missed by a tree with probability 0.25 where its regions are small, so by the forest with 0.25 ** 16;
 where the first value of half of the trees lies in a passage that more than REGION documents share, with about 1e-7.
 
 Defined results: null and empty texts, and texts without words, have 0 shingles and are linked with nothing;
@@ -34,14 +37,15 @@ from pyspark.sql import functions as F
 from . import _shared as sh
 
 WORDS = 5
-MINIMA = 64
+MINIMA = 128
 TREES = 16
 #: Values of a signature that an order compares.
 DEPTH = 8
-REGION = 32
-NEAREST = 3
-#: Of MINIMA four-bit values, so many are equal at a similarity of 0.75 but for a chance of about 1e-5.
-LEAST_EQUAL = 33
+#: Members of a region whose pairs are all candidates, at most; and rows at the edge of a range that meet the next one.
+REGION = 128
+NEAREST = 2
+#: Of MINIMA four-bit values, so many are equal at a similarity of 0.75 but for a chance of about 5e-6.
+LEAST_EQUAL = 76
 #: Rows of an order in a range, about.
 RANGE_ROWS = 50_000
 #: Sets that are unpacked at a time.
@@ -105,25 +109,35 @@ def signatures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), text_col).mapInArrow(sh.frugal(run), "doc_id bigint, n_shingles bigint, key binary, sig binary")
 
 
-def region_pairs(values: np.ndarray, tree: np.ndarray, region: int | None = None, nearest: int | None = None) -> tuple[np.ndarray, np.ndarray, list[tuple[int, int]]]:
-    """Index pairs of candidates among sorted rows, and the ranges that are too large and share all values."""
-    region, nearest = region or REGION, nearest or NEAREST
+def next_pairs(values: np.ndarray, tree: np.ndarray, nearest: int) -> tuple[np.ndarray, np.ndarray]:
+    """Index pairs of sorted rows with the `nearest` next ones that share the first value."""
+    left, right = [], []
+    for s in range(1, nearest + 1):
+        i = np.flatnonzero((values[s:, 0] == values[:-s, 0]) & (tree[s:] == tree[:-s])) if len(values) > s else np.empty(0, np.int64)
+        left.append(i)
+        right.append(i + s)
+    return np.concatenate(left), np.concatenate(right)
+
+
+def region_pairs(values: np.ndarray, tree: np.ndarray, roots: np.ndarray, region: int) -> tuple[np.ndarray, np.ndarray, list[tuple[int, int]]]:
+    """Index pairs of sorted rows, of different roots, in regions of at most `region` members; and the ranges that are larger and share all values."""
     equal = np.logical_and.accumulate(values[1:] == values[:-1], axis=1)
     common = np.where(tree[1:] == tree[:-1], equal.sum(1), 0)
     cut = np.flatnonzero(np.concatenate([[True], common == 0, [True]]))
     runs = [(a, b) for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True) if b - a > 1]
-    left, right, large = [], [], []
+    left, right, large = [np.empty(0, np.int64)], [np.empty(0, np.int64)], []
     upper = {}
     while runs:
         a, b = runs.pop()
+        own = roots[a:b]
+        if (own == own[0]).all():
+            continue
         if b - a <= region:
             i, j = upper.setdefault(b - a, np.triu_indices(b - a, 1))
-            left.append(a + i)
-            right.append(a + j)
+            apart = own[i] != own[j]
+            left.append(a + i[apart])
+            right.append(a + j[apart])
             continue
-        for s in range(1, nearest + 1):
-            left.append(np.arange(a, b - s))
-            right.append(np.arange(a + s, b))
         inner = common[a : b - 1]
         least = int(inner.min())
         if least < values.shape[1]:
@@ -131,8 +145,6 @@ def region_pairs(values: np.ndarray, tree: np.ndarray, region: int | None = None
             runs += [(c, d) for c, d in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True) if d - c > 1]
         else:
             large.append((a, b))
-    if not left:
-        return np.empty(0, np.int64), np.empty(0, np.int64), []
     return np.concatenate(left), np.concatenate(right), large
 
 
@@ -145,9 +157,9 @@ def _members(large: list[tuple[int, int]], tree: np.ndarray, values: np.ndarray,
 
 
 def _rows(table: pa.Table) -> tuple[np.ndarray, ...]:
-    """tree, values, nibbles, id and n of entries."""
+    """tree, values, nibbles, id, n and root of entries."""
     fixed = lambda name, kind: np.frombuffer(sh_join(table[name]), kind).reshape(len(table), -1)
-    return table["tree"].to_numpy(), fixed("prefix", ">u4"), fixed("bits", np.uint8), table["rep"].to_numpy(), table["n"].to_numpy()
+    return table["tree"].to_numpy(), fixed("prefix", ">u4"), fixed("bits", np.uint8), table["rep"].to_numpy(), table["n"].to_numpy(), table["root"].to_numpy()
 
 
 def sh_join(column: pa.ChunkedArray) -> bytes:
@@ -173,20 +185,21 @@ def _passing(i: np.ndarray, j: np.ndarray, bits: np.ndarray, ids: np.ndarray, n:
     return pairs[:, 0], pairs[:, 1]
 
 
-_ENTRY = "tree int, prefix binary, bits binary, rep bigint, n bigint"
-_ENTRY_NAMES = ["tree", "prefix", "bits", "rep", "n"]
+_ENTRY = "tree int, prefix binary, bits binary, rep bigint, n bigint, root bigint"
+_ENTRY_NAMES = ["tree", "prefix", "bits", "rep", "n", "root"]
 
 
-def candidates(classes: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Distinct pairs a < b of classes (rep, n, sig) that the forest names; and region, id of the members of regions that it couldn't enter far enough."""
+def candidates(classes: DataFrame, whole: bool) -> tuple[DataFrame, DataFrame]:
+    """Distinct pairs a < b of classes (rep, n, sig, bits, root) that the forest names: of next rows, or (whole) of regions, across roots; and region, id of the members of regions that it couldn't enter far enough."""
     step, width = MINIMA // TREES, 4 * DEPTH
     doubled = F.concat("sig", F.substring("sig", 1, width))
-    wide = classes.select("rep", "n", doubled.alias("__sig"), "bits").withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))))
-    entries = wide.select("tree", F.expr(f"substring(__sig, tree * {4 * step} + 1, {width})").alias("prefix"), "bits", "rep", "n")
+    wide = classes.select("rep", "n", doubled.alias("__sig"), "bits", "root").withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))))
+    entries = wide.select("tree", F.expr(f"substring(__sig, tree * {4 * step} + 1, {width})").alias("prefix"), "bits", "rep", "n", "root")
     order = ["tree", "prefix", "rep"]
     ranges = max(1, classes.count() * TREES // RANGE_ROWS)
-    kinds = {"a": pa.int64(), "b": pa.int64(), "region": pa.int64(), "part": pa.int32(), "head": pa.bool_(), "tree": pa.int32(), "prefix": pa.binary(), "bits": pa.binary(), "rep": pa.int64(), "n": pa.int64()}
+    kinds = {"a": pa.int64(), "b": pa.int64(), "region": pa.int64(), "part": pa.int32(), "head": pa.bool_(), "tree": pa.int32(), "prefix": pa.binary(), "bits": pa.binary(), "rep": pa.int64(), "n": pa.int64(), "root": pa.int64()}
     size, nearest = REGION, NEAREST
+    edge_rows = size if whole else nearest
 
     def told(**columns) -> pa.RecordBatch:
         """Rows with these columns; the others are null."""
@@ -194,8 +207,8 @@ def candidates(classes: DataFrame) -> tuple[DataFrame, DataFrame]:
         return pa.RecordBatch.from_arrays([pa.array(columns[c], t) if isinstance(columns.get(c), (list, np.ndarray)) else columns[c].combine_chunks().cast(t) if c in columns else pa.nulls(m, t) for c, t in kinds.items()], names=list(kinds))
 
     def found_in(rows: pa.Table) -> Iterator[pa.RecordBatch]:
-        tree, values, bits, ids, n = _rows(rows)
-        i, j, large = region_pairs(values, tree, size, nearest)
+        tree, values, bits, ids, n, roots = _rows(rows)
+        i, j, large = region_pairs(values, tree, roots, size) if whole else (*next_pairs(values, tree, nearest), [])
         a, b = _passing(i, j, bits, ids, n)
         yield told(a=a, b=b)
         regions, members = _members(large, tree, values, ids)
@@ -206,7 +219,7 @@ def candidates(classes: DataFrame) -> tuple[DataFrame, DataFrame]:
         if got:
             rows = pa.Table.from_batches(got)
             yield from found_in(rows)
-            for head, edge in ((True, rows.slice(0, size)), (False, rows.slice(max(0, len(rows) - size)))):
+            for head, edge in ((True, rows.slice(0, edge_rows)), (False, rows.slice(max(0, len(rows) - edge_rows)))):
                 m = len(edge)
                 yield told(part=[TaskContext.get().partitionId()] * m, head=[head] * m, **{c: edge[c] for c in _ENTRY_NAMES})
 
@@ -298,28 +311,27 @@ def _roots(parents: DataFrame) -> DataFrame:
         now = now.select("id", "root")
 
 
-def linked(docs: DataFrame, classes: DataFrame, id_col: str, text_col: str) -> DataFrame | None:
-    """id, root for each class that is linked with a smaller one. None: no candidates."""
-    pairs, members = candidates(classes)
-    pairs = sh.written(pairs, "near-pairs")
-    ids = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
-    ids = sh.written(ids, "near-ids")
-    if ids.isEmpty() and members.isEmpty():
-        return None
-    sets = sh.written(sets_of(docs, ids, id_col, text_col), "near-sets")
+def linked(docs: DataFrame, classes: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """id, root for each class that is linked with a smaller one."""
+    sets = lambda pairs: sh.written(sets_of(docs, sh.written(pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct(), "near-ids"), id_col, text_col), "near-sets")
+    pairs = sh.written(candidates(classes.withColumn("root", F.col("rep")), False)[0], "near-pairs")
+    met = sets(pairs)
     first = pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
-    roots = _roots(confirmed(first, sets).select(F.col("b").alias("id"), F.col("a").alias("parent")))
-    roots = _merged(roots, pairs.join(first, ["a", "b"], "left_anti"), sets)
+    roots = _roots(confirmed(first, met).select(F.col("b").alias("id"), F.col("a").alias("parent")))
+    roots = _merged(roots, pairs.join(first, ["a", "b"], "left_anti"), met)
+
+    labelled = classes.join(roots.select(F.col("id").alias("rep"), F.col("root").alias("__root")), "rep", "left").select(*classes.columns, F.coalesce("__root", "rep").alias("root"))
+    across, members = candidates(sh.written(labelled, "near-classes"), True)
+    across = sh.written(across.join(pairs, ["a", "b"], "left_anti"), "near-pairs")
+    if not across.isEmpty():
+        roots = _merged(roots, across, sets(across))
     # What large regions still hold apart: their members outside the region's main component, against all its members.
     labelled = sh.written(members.join(roots, "id", "left").select("region", "id", F.coalesce("root", "id").alias("root")), "near-members")
     main = labelled.groupBy("region").agg(F.mode("root", True).alias("__main"), (F.min("root") < F.max("root")).alias("__mixed")).where("__mixed").select("region", "__main")
     others = labelled.join(main, "region").where("root <> __main").select("region", F.col("id").alias("__id"), F.col("root").alias("__root"))
     apart = others.join(labelled, "region").where("root <> __root").select(F.least("id", "__id").alias("a"), F.greatest("id", "__id").alias("b")).distinct()
-    apart = sh.written(apart.join(pairs, ["a", "b"], "left_anti"), "near-rest")
-    if apart.isEmpty():
-        return roots
-    ids = sh.written(apart.select(F.col("a").alias("id")).unionByName(apart.select(F.col("b").alias("id"))).distinct(), "near-ids")
-    return _merged(roots, apart, sh.written(sets_of(docs, ids, id_col, text_col), "near-sets"))
+    apart = sh.written(apart.join(pairs.unionByName(across), ["a", "b"], "left_anti"), "near-rest")
+    return roots if apart.isEmpty() else _merged(roots, apart, sets(apart))
 
 
 def _merged(roots: DataFrame, pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -345,8 +357,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     classes = sh.written(_with_bits(classes), "near-classes")
     roots = linked(docs, classes, id_col, text_col)
     rep = classes.select("key", F.col("n").alias("n_shingles"), "rep")
-    if roots is not None:
-        rep = rep.join(roots.select(F.col("id").alias("rep"), "root"), "rep", "left").select("key", "n_shingles", F.coalesce("root", "rep").alias("rep"))
+    rep = rep.join(roots.select(F.col("id").alias("rep"), "root"), "rep", "left").select("key", "n_shingles", F.coalesce("root", "rep").alias("rep"))
     found = signed.select("doc_id", "n_shingles", "key").join(rep, ["key", "n_shingles"], "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("rep", "doc_id"))
     return found.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"))

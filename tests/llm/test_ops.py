@@ -235,14 +235,15 @@ def test_near_duplicates(spark, corpus):
 
 def test_regions_are_whole_where_small():
     rng = np.random.default_rng(0)
-    v = np.sort(rng.integers(0, 3, (200, 3)).view(np.int64).astype(np.uint32), axis=0)
+    v = rng.integers(0, 3, (200, 3)).astype(np.uint32)
     v = v[np.lexsort(v.T[::-1])]
-    i, j, _ = near_dup.region_pairs(v, np.zeros(200, int), region=1000)
-    want = {(a, b) for a in range(200) for b in range(a + 1, 200) if v[a, 0] == v[b, 0]}
-    assert set(zip(i.tolist(), j.tolist(), strict=True)) == want
-    i, j, large = near_dup.region_pairs(v, np.zeros(200, int), region=4, nearest=1)
-    assert all(b - a > 4 and len({tuple(x) for x in v[a:b]}) == 1 for a, b in large)
-    assert {(a, a + 1) for a in range(199) if v[a, 0] == v[a + 1, 0]} <= set(zip(i.tolist(), j.tolist(), strict=True))
+    roots = rng.integers(0, 40, 200)
+    i, j, large = near_dup.region_pairs(v, np.zeros(200, int), roots, 1000)
+    assert not large and set(zip(i.tolist(), j.tolist(), strict=True)) == {(a, b) for a in range(200) for b in range(a + 1, 200) if v[a, 0] == v[b, 0] and roots[a] != roots[b]}
+    i, j, large = near_dup.region_pairs(v, np.zeros(200, int), roots, 4)
+    assert large and all(b - a > 4 and len({tuple(x) for x in v[a:b]}) == 1 for a, b in large)
+    i, j = near_dup.next_pairs(v, np.zeros(200, int), 2)
+    assert set(zip(i.tolist(), j.tolist(), strict=True)) == {(a, b) for a in range(200) for b in (a + 1, a + 2) if b < 200 and v[a, 0] == v[b, 0]}
 
 
 def test_borders_between_ranges(spark, corpus, monkeypatch):
