@@ -10,14 +10,15 @@
    First, each row and its NEAREST next ones with a common prefix, which is longest there.
    Then, among what the first round left apart: neighbours that share a prefix form regions; a region with more than REGION
    members, not all linked yet, is entered one value deeper, and each pair of a region of REGION members or fewer is a
-   candidate. Members of larger regions that share all values of an order are remembered.
+   candidate.
 3. Links. Candidates are confirmed on full sets; what is linked already isn't compared again, so a large group of near copies
-   costs its members' nearest neighbours, not its pairs. Last, members of a remembered region that are outside its main
-   component meet all its other members, so no bound on a region loses a link. Components of the links are found by pointer
+   costs its members' nearest neighbours, not its pairs. Last, the members of all regions of one first value, counted over
+   all ranges, that have more than REGION members and are still of several components are joined exactly: by a prefix filter
+   on their full sets, rare shingles first, so no bound on a region loses a link. Components of the links are found by pointer
    jumping and by alternating large and small stars. Ids and labels stay distributed; each round is a written table.
 
-A pair at the threshold is missed by a tree with probability 0.25 where its regions are small, so by the forest with 0.25 ** 16;
-where the first value of half of the trees lies in a passage that more than REGION documents share, with about 1e-7.
+A pair at the threshold is missed by a tree with probability 0.25, its first value being another one, so by the forest with
+0.25 ** 16, whatever the size of its regions.
 
 Defined results: null and empty texts, and texts without words, have 0 shingles and are linked with nothing;
 a null id has a null component and is kept; repeated rows get equal results; an id is to name one text;
@@ -48,6 +49,10 @@ NEAREST = 2
 LEAST_EQUAL = 76
 #: Rows of an order in a range, about.
 RANGE_ROWS = 50_000
+#: The prefix filter orders shingles by how often those with the same first bits occur; only the most frequent bits are
+#: counted exactly. Any order gives the same links.
+SKETCH_BITS = 20
+COMMON = 1 << 16
 #: Sets that are unpacked at a time.
 SOME_SETS = 500
 #: Ids that may be broadcast (8 bytes each).
@@ -148,14 +153,6 @@ def region_pairs(values: np.ndarray, tree: np.ndarray, roots: np.ndarray, region
     return np.concatenate(left), np.concatenate(right), large
 
 
-def _members(large: list[tuple[int, int]], tree: np.ndarray, values: np.ndarray, ids: np.ndarray) -> tuple[list[int], np.ndarray]:
-    """A key of each row in the ranges, by its order and values, and the rows' ids."""
-    import xxhash
-
-    keys = [xxhash.xxh3_64_intdigest(values[a].tobytes(), int(tree[a])) - (1 << 63) for a, _ in large]
-    return [k for k, (a, b) in zip(keys, large, strict=True) for _ in range(b - a)], np.concatenate([ids[a:b] for a, b in large] or [ids[:0]])
-
-
 def _rows(table: pa.Table) -> tuple[np.ndarray, ...]:
     """tree, values, nibbles, id, n and root of entries."""
     fixed = lambda name, kind: np.frombuffer(sh_join(table[name]), kind).reshape(len(table), -1)
@@ -189,15 +186,15 @@ _ENTRY = "tree int, prefix binary, bits binary, rep bigint, n bigint, root bigin
 _ENTRY_NAMES = ["tree", "prefix", "bits", "rep", "n", "root"]
 
 
-def candidates(classes: DataFrame, whole: bool) -> tuple[DataFrame, DataFrame]:
-    """Distinct pairs a < b of classes (rep, n, sig, bits, root) that the forest names: of next rows, or (whole) of regions, across roots; and region, id of the members of regions that it couldn't enter far enough."""
+def candidates(classes: DataFrame, whole: bool) -> DataFrame:
+    """Distinct pairs a < b of classes (rep, n, sig, bits, root) that the forest names: of next rows, or (whole) of regions, across roots."""
     step, width = MINIMA // TREES, 4 * DEPTH
     doubled = F.concat("sig", F.substring("sig", 1, width))
     wide = classes.select("rep", "n", doubled.alias("__sig"), "bits", "root").withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))))
     entries = wide.select("tree", F.expr(f"substring(__sig, tree * {4 * step} + 1, {width})").alias("prefix"), "bits", "rep", "n", "root")
     order = ["tree", "prefix", "rep"]
     ranges = max(1, classes.count() * TREES // RANGE_ROWS)
-    kinds = {"a": pa.int64(), "b": pa.int64(), "region": pa.int64(), "part": pa.int32(), "head": pa.bool_(), "tree": pa.int32(), "prefix": pa.binary(), "bits": pa.binary(), "rep": pa.int64(), "n": pa.int64(), "root": pa.int64()}
+    kinds = {"a": pa.int64(), "b": pa.int64(), "part": pa.int32(), "head": pa.bool_(), "tree": pa.int32(), "prefix": pa.binary(), "bits": pa.binary(), "rep": pa.int64(), "n": pa.int64(), "root": pa.int64()}
     size, nearest = REGION, NEAREST
     edge_rows = size if whole else nearest
 
@@ -208,11 +205,9 @@ def candidates(classes: DataFrame, whole: bool) -> tuple[DataFrame, DataFrame]:
 
     def found_in(rows: pa.Table) -> Iterator[pa.RecordBatch]:
         tree, values, bits, ids, n, roots = _rows(rows)
-        i, j, large = region_pairs(values, tree, roots, size) if whole else (*next_pairs(values, tree, nearest), [])
+        i, j = region_pairs(values, tree, roots, size)[:2] if whole else next_pairs(values, tree, nearest)
         a, b = _passing(i, j, bits, ids, n)
         yield told(a=a, b=b)
-        regions, members = _members(large, tree, values, ids)
-        yield told(region=regions, rep=members)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         got = [b for b in batches if len(b)]
@@ -225,17 +220,79 @@ def candidates(classes: DataFrame, whole: bool) -> tuple[DataFrame, DataFrame]:
 
     def across(rows: pa.Table) -> pa.Table:
         rows = rows.sort_by([("tree", "ascending"), ("prefix", "ascending"), ("rep", "ascending")])
-        return pa.Table.from_batches(found_in(rows)).select(["a", "b", "region", "rep"])
+        return pa.Table.from_batches(found_in(rows)).select(["a", "b"])
 
-    schema = f"a bigint, b bigint, region bigint, part int, head boolean, {_ENTRY}"
+    schema = f"a bigint, b bigint, part int, head boolean, {_ENTRY}"
     found = sh.written(entries.repartitionByRange(ranges, *order).sortWithinPartitions(*order).mapInArrow(sh.frugal(run), schema), "near-candidates")
     edges = found.where(F.col("part").isNotNull())
     # The range before each one that has rows.
     before = edges.select("part").distinct().withColumn("__before", F.lag("part").over(Window.orderBy("part")))
     edges = edges.join(before, "part").withColumn("__border", F.when(F.col("head"), F.col("__before")).otherwise(F.col("part"))).where(F.col("__border").isNotNull())
-    met = edges.select("__border", *_ENTRY_NAMES).groupBy("__border").applyInArrow(across, "a bigint, b bigint, region bigint, rep bigint")
-    every = sh.written(found.where(F.col("part").isNull()).select("a", "b", "region", "rep").unionByName(met), "near-found")
-    return every.where(F.col("a").isNotNull()).select("a", "b").distinct(), every.where(F.col("region").isNotNull()).select("region", F.col("rep").alias("id")).distinct()
+    met = edges.select("__border", *_ENTRY_NAMES).groupBy("__border").applyInArrow(across, "a bigint, b bigint")
+    return found.where(F.col("part").isNull()).select("a", "b").unionByName(met).distinct()
+
+
+def crowded(classes: DataFrame) -> DataFrame:
+    """id, root of the classes (rep, sig, root) that share the first value of an order with more than REGION - 1 others, not all of one root."""
+    step = 4 * (MINIMA // TREES)
+    firsts = classes.select("rep", "root", F.posexplode(F.array(*(F.substring("sig", step * t + 1, 4) for t in range(TREES)))).alias("tree", "first"))
+    regions = firsts.groupBy("tree", "first").agg(F.count(F.lit(1)).alias("__members"), F.min("root").alias("__least"), F.max("root").alias("__last"))
+    regions = regions.where((F.col("__members") > REGION) & (F.col("__least") < F.col("__last"))).select("tree", "first")
+    return firsts.join(regions, ["tree", "first"], "left_semi").select(F.col("rep").alias("id"), "root").distinct()
+
+
+def _weights(sets: DataFrame) -> dict[int, int]:
+    """How often shingles with the most frequent first bits occur in the sets."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = np.zeros(1 << SKETCH_BITS, np.int64)
+        for batch in batches:
+            items = np.frombuffer(sh_join(pa.chunked_array([batch.column(0)])), np.uint64)
+            n += np.bincount((items >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), minlength=len(n))
+        used = np.flatnonzero(n)
+        yield pa.RecordBatch.from_arrays([pa.array(used, pa.int64()), pa.array(n[used], pa.int64())], names=["first", "n"])
+
+    counts = sets.select("items").mapInArrow(sh.frugal(run), "first bigint, n bigint").groupBy("first").agg(F.sum("n").alias("n"))
+    return {r["first"]: r["n"] for r in counts.orderBy(F.desc("n"), "first").limit(COMMON).collect()}
+
+
+def prefixes(sets: DataFrame) -> DataFrame:
+    """item, id, root, n, place of the shingles of each set (id, root, items) of which two sets at 0.75 share one: all but three quarters of it, the rarest first, and one more."""
+    weights = _weights(sets)
+    keys, values = np.array([*weights], np.int64), np.array([*weights.values()], np.int64)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        weight = np.zeros(1 << SKETCH_BITS, np.int64)
+        weight[keys] = values
+        for batch in (b.slice(k, SOME_SETS) for b in batches for k in range(0, len(b), SOME_SETS)):
+            kept, n = [], []
+            for items in batch.column(2).to_pylist():
+                x = np.frombuffer(items, np.uint64)
+                order = np.lexsort((x, weight[(x >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)]))
+                kept.append(x[order[: len(x) // 4 + 1]])
+                n.append(len(x))
+            many = np.array([len(x) for x in kept], np.int64)
+            of = np.repeat(np.arange(len(many)), many)
+            place = sh.ragged(np.zeros(len(many), np.int64), many)
+            item = np.concatenate([*kept, np.empty(0, np.uint64)]).view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(item), batch.column(0).take(pa.array(of)), batch.column(1).take(pa.array(of)), pa.array(np.array(n, np.int32)[of], pa.int32()), pa.array(place.astype(np.int32))], names=["item", "id", "root", "n", "place"])
+
+    return sets.select("id", "root", "items").mapInArrow(sh.frugal(run), "item bigint, id bigint, root bigint, n int, place int")
+
+
+def joined(sets: DataFrame) -> DataFrame:
+    """Distinct pairs a < b of the sets (id, root, items), of different roots: all at 0.75 or more, and others.
+
+    Shingles of one root name no pair. Of the others, the members outside a shingle's main root meet all its members; they pass
+    by what is left of both from that shingle on, which must hold 3 / 7 of both sizes.
+    """
+    rows = sh.written(prefixes(sets), "near-prefixes")
+    of_root = rows.groupBy("item", "root").agg(F.count(F.lit(1)).alias("__n"))
+    main = of_root.groupBy("item").agg(F.max(F.struct("__n", "root")).alias("__top"), F.count(F.lit(1)).alias("__roots")).where("__roots > 1").select("item", F.col("__top.root").alias("__main"))
+    mixed = sh.written(rows.join(main, "item"), "near-mixed")
+    others = mixed.where("root <> __main").select("item", F.col("id").alias("__id"), F.col("root").alias("__root"), F.col("n").alias("__n"), F.col("place").alias("__place"))
+    fits = "root <> __root AND 7 * least(n - place, __n - __place) >= 3 * (n + __n) AND 4 * least(n, __n) >= 3 * greatest(n, __n)"
+    return others.join(mixed.drop("__main"), "item").where(fits).select(F.least("id", "__id").alias("a"), F.greatest("id", "__id").alias("b")).distinct()
 
 
 def sets_of(docs: DataFrame, ids: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -314,24 +371,26 @@ def _roots(parents: DataFrame) -> DataFrame:
 def linked(docs: DataFrame, classes: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """id, root for each class that is linked with a smaller one."""
     sets = lambda pairs: sh.written(sets_of(docs, sh.written(pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct(), "near-ids"), id_col, text_col), "near-sets")
-    pairs = sh.written(candidates(classes.withColumn("root", F.col("rep")), False)[0], "near-pairs")
+    pairs = sh.written(candidates(classes.withColumn("root", F.col("rep")), False), "near-pairs")
     met = sets(pairs)
     first = pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
     roots = _roots(confirmed(first, met).select(F.col("b").alias("id"), F.col("a").alias("parent")))
     roots = _merged(roots, pairs.join(first, ["a", "b"], "left_anti"), met)
 
-    labelled = classes.join(roots.select(F.col("id").alias("rep"), F.col("root").alias("__root")), "rep", "left").select(*classes.columns, F.coalesce("__root", "rep").alias("root"))
-    across, members = candidates(sh.written(labelled, "near-classes"), True)
+    def labelled() -> DataFrame:
+        return classes.join(roots.select(F.col("id").alias("rep"), F.col("root").alias("__root")), "rep", "left").select(*classes.columns, F.coalesce("__root", "rep").alias("root"))
+
+    across = candidates(sh.written(labelled(), "near-classes"), True)
     across = sh.written(across.join(pairs, ["a", "b"], "left_anti"), "near-pairs")
     if not across.isEmpty():
         roots = _merged(roots, across, sets(across))
-    # What large regions still hold apart: their members outside the region's main component, against all its members.
-    labelled = sh.written(members.join(roots, "id", "left").select("region", "id", F.coalesce("root", "id").alias("root")), "near-members")
-    main = labelled.groupBy("region").agg(F.mode("root", True).alias("__main"), (F.min("root") < F.max("root")).alias("__mixed")).where("__mixed").select("region", "__main")
-    others = labelled.join(main, "region").where("root <> __main").select("region", F.col("id").alias("__id"), F.col("root").alias("__root"))
-    apart = others.join(labelled, "region").where("root <> __root").select(F.least("id", "__id").alias("a"), F.greatest("id", "__id").alias("b")).distinct()
-    apart = sh.written(apart.join(pairs.unionByName(across), ["a", "b"], "left_anti"), "near-rest")
-    return roots if apart.isEmpty() else _merged(roots, apart, sets(apart))
+    # What large regions still hold apart.
+    crowd = sh.written(crowded(labelled()), "near-crowd")
+    if crowd.isEmpty():
+        return roots
+    whole = sh.written(sets_of(docs, crowd.select("id"), id_col, text_col).dropDuplicates(["id"]), "near-sets")
+    apart = sh.written(joined(whole.join(crowd, "id")).join(pairs.unionByName(across), ["a", "b"], "left_anti"), "near-rest")
+    return roots if apart.isEmpty() else _merged(roots, apart, whole)
 
 
 def _merged(roots: DataFrame, pairs: DataFrame, sets: DataFrame) -> DataFrame:

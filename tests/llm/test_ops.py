@@ -260,6 +260,27 @@ def test_large_regions_lose_nothing(spark, corpus, monkeypatch):
     assert got == plain_components(corpus)
 
 
+@pytest.fixture(scope="module")
+def passage_pairs():
+    """A passage that all share, and pairs just above 0.75 linked only with each other, which mostly consist of it."""
+    rng = random.Random(9)
+    own = lambda n: [f"u{rng.randrange(10**9)}" for _ in range(n)]
+    passage = own(204)
+    out = [" ".join([*own(rng.randrange(70, 80)), *passage]) for _ in range(150)]
+    for _ in range(40):
+        shared = own(14)
+        out += [" ".join([*own(35), *passage, *shared]) for _ in range(2)]
+    return out
+
+
+def test_split_regions_lose_nothing(spark, passage_pairs, monkeypatch):
+    """Pairs that part within a region too large for all its pairs."""
+    for name, value in (("TREES", 4), ("REGION", 8), ("NEAREST", 1)):
+        monkeypatch.setattr(near_dup, name, value)
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in near_dup.near_duplicates(docs(spark, passage_pairs)).collect()}
+    assert got == plain_components(passage_pairs)
+
+
 def test_bpe(spark, corpus):
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
     reference = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=bpe.read_ranks(path), special_tokens={})
