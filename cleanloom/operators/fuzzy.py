@@ -1,14 +1,15 @@
-"""Fuzzy harmonisation. Only distinct values are compared, never rows, and a column takes part only within its bound of distinct values.
+"""Fuzzy harmonisation. Only distinct values are compared, never rows.
 
-That bound (max_unique) also bounds what reaches the driver: the values with their counts. The leader rule is greedy and so depends
-on order; it runs there, with scores from the functions below. Mappings go back as a join that is broadcast within the same bound.
+Where a function has a bound of distinct values (max_unique, a preset's), it also bounds what reaches the driver: the values with
+their counts. The leader rule is greedy and so depends on order; it runs there, with scores from the functions below. The majority,
+names and phones have no bound: all their distinct values are scored, in distributed passes, and the driver gets those that are mapped.
 """
 
 from __future__ import annotations
 
 import difflib
 from collections import Counter
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -135,27 +136,79 @@ def token_set_mapping(df: DataFrame, column: str, threshold: float = 90, max_uni
     return out
 
 
-def majority_mapping(df: DataFrame, column: str, threshold: float = 85, max_unique: int = 10_000) -> list[tuple]:
+#: Values that the driver takes at a time to find leaders among.
+LEADERS = 500
+
+
+def alike_ratio(a: str, b: str, threshold: float) -> float | None:
+    """sequence_ratio where it reaches the threshold; its upper bounds are looked at first."""
+    m = difflib.SequenceMatcher(None, a, b)
+    if 100.0 * m.real_quick_ratio() < threshold or 100.0 * m.quick_ratio() < threshold:
+        return None
+    score = 100.0 * m.ratio()
+    return score if score >= threshold else None
+
+
+def _scored(values: DataFrame, leaders: Sequence[str], alike: Callable[[str, str], float | None]) -> DataFrame:
+    """value, n, leader, score of all values (value, n): the first leader that each is alike to, or null."""
+
+    def run(batches: Iterator) -> Iterator:
+        import pandas as pd
+
+        for pdf in batches:
+            found = [next(((a, s) for a in leaders if (s := alike(a, v)) is not None), (None, None)) for v in pdf["value"]]
+            yield pd.DataFrame({"value": pdf["value"], "n": pdf["n"], "leader": [x[0] for x in found], "score": pd.Series([x[1] for x in found], dtype="float64")})
+
+    return values.mapInPandas(run, "value string, n bigint, leader string, score double")
+
+
+def greedy_all(df: DataFrame, column: str, alike: Callable[[str, str], float | None]) -> list[list[tuple[str, float | None]]]:
+    """The clusters of greedy over all distinct values by falling n, then value; single ones are left out.
+
+    The driver finds leaders among the next LEADERS values; then all others are scored against these and leave when alike, which is
+    the same rule, as each value still joins the first leader in order.
+    """
+    rest = df.where(F.col(column).isNotNull()).groupBy(F.col(column).alias("value")).agg(F.count(F.lit(1)).alias("n")).repartition(df.sparkSession.sparkContext.defaultParallelism, "value").localCheckpoint()
+    out = []
+    while True:
+        some = rest.orderBy(F.desc("n"), "value").limit(LEADERS).collect()
+        if not some:
+            return [c for c in out if len(c) > 1]
+        clusters = {c[0][0]: c for c in greedy([r["value"] for r in some], alike)}
+        out += clusters.values()
+        if len(some) < LEADERS:
+            return [c for c in out if len(c) > 1]
+        last = some[-1]
+        later = rest.where((F.col("n") < last["n"]) | ((F.col("n") == last["n"]) & (F.col("value") > last["value"])))
+        scored = _scored(later, list(clusters), alike).localCheckpoint()
+        for r in scored.where("leader IS NOT NULL").orderBy(F.desc("n"), "value").collect():
+            clusters[r["leader"]].append((r["value"], r["score"]))
+        rest = scored.where("leader IS NULL").select("value", "n")
+
+
+def majority_mapping(df: DataFrame, column: str, threshold: float = 85) -> list[tuple]:
     """Values alike to the column's mode become it."""
-    counts = [(v.strip(), n) for v, n in value_counts(df, column, max_unique) if v.strip().lower() not in V.MISSING_VALUES]
-    if not counts:
+    values = df.select(T.strip(F.col(column)).alias("value")).where(F.col("value").isNotNull() & (F.col("value") != "") & ~F.lower("value").isin(*V.MISSING_VALUES))
+    values = values.groupBy("value").agg(F.count(F.lit(1)).alias("n"))
+    first = values.orderBy(F.desc("n"), "value").first()
+    if first is None:
         return []
-    mode = min(counts, key=lambda x: (-x[1], x[0]))[0]
-    return [(column, v, mode, "sequence", s) for v, _ in counts if v != mode and (s := sequence_ratio(v, mode)) >= threshold]
+    mode = first["value"]
+    # The score's sides are the other way round than among leaders.
+    found = _scored(values.where(F.col("value") != mode), [mode], lambda a, v: alike_ratio(v, a, threshold)).where("leader IS NOT NULL")
+    return [(column, r["value"], mode, "sequence", r["score"]) for r in found.orderBy(F.desc("n"), "value").collect()]
 
 
-def name_mapping(df: DataFrame, column: str, threshold: float = 86, max_unique: int = 1000) -> list[tuple]:
+def name_mapping(df: DataFrame, column: str, threshold: float = 86) -> list[tuple]:
     """Names (normalised before) that are alike to a more frequent one."""
-    counts = value_counts(df, column, max_unique)[:max_unique]
-    clusters = greedy([v for v, _ in counts], lambda a, b: s if (s := sequence_ratio(a.lower(), b.lower())) >= threshold else None)
+    clusters = greedy_all(df, column, lambda a, b: alike_ratio(a.lower(), b.lower(), threshold))
     return [(column, v, c[0][0], "sequence", s) for c in clusters for v, s in c[1:]]
 
 
-def phone_mapping(df: DataFrame, column: str, threshold: float = 95, max_unique: int = 1000) -> list[tuple]:
+def phone_mapping(df: DataFrame, column: str, threshold: float = 95) -> list[tuple]:
     """International numbers that are alike; the canonical one is the shortest of its cluster, then the smallest."""
-    counts = [v for v, _ in value_counts(df.where(F.col(column).startswith("+")), column, max_unique)[:max_unique]]
     out = []
-    for c in greedy(counts, lambda a, b: s if (s := ratio(a, b)) >= threshold else None):
+    for c in greedy_all(df.where(F.col(column).startswith("+")), column, lambda a, b: s if (s := ratio(a, b)) >= threshold else None):
         best = min((v for v, _ in c), key=lambda v: (len(v), v))
         out += [(column, v, best, "ratio", s or 100.0) for v, s in c if v != best]
     return out
@@ -169,12 +222,13 @@ def exact_clusters(df: DataFrame, column: str, normalise: Callable = T.arabic_pl
     return raw.join(master, "normal").select("raw", "normal", "n", "master")
 
 
-def short_pairs(df: DataFrame, column: str, normalise: Callable = T.arabic_plain, shorter_than: int = 4, most: int = 500) -> DataFrame:
-    """a, b, distance: pairs of normal forms a < b of which one is short, at an edit distance of 1 or less. Takes a column of at most `most` forms."""
-    forms = exact_clusters(df, column, normalise).select("normal").distinct().orderBy("normal").limit(most)
-    near = (F.length("a") < shorter_than) | (F.length("b") < shorter_than)
-    pairs = forms.select(F.col("normal").alias("a")).join(F.broadcast(forms.select(F.col("normal").alias("b"))), F.col("a") < F.col("b"))
-    return pairs.where(near & (F.abs(F.length("a") - F.length("b")) <= 1)).select("a", "b", F.levenshtein("a", "b").alias("distance")).where("distance <= 1")
+def short_pairs(df: DataFrame, column: str, normalise: Callable = T.arabic_plain, shorter_than: int = 4) -> DataFrame:
+    """a, b, distance: pairs of normal forms a < b of which one is short, at an edit distance of 1 or less."""
+    forms = exact_clusters(df, column, normalise).select("normal").distinct().where(F.length("normal") <= shorter_than)
+    short = forms.where(F.length("normal") < shorter_than).select(F.col("normal").alias("__short"))
+    pairs = forms.join(short, (F.col("normal") != F.col("__short")) & (F.abs(F.length("normal") - F.length("__short")) <= 1))
+    pairs = pairs.select(F.least("normal", "__short").alias("a"), F.greatest("normal", "__short").alias("b")).distinct()
+    return pairs.select("a", "b", F.levenshtein("a", "b").alias("distance")).where("distance <= 1")
 
 
 def semantic_mapping(df: DataFrame, column: str, config: V.ClusteringConfig = V.PRESETS["BALANCED"], normalise: Callable = T.arabic_plain) -> list[tuple]:
@@ -212,10 +266,10 @@ def mapping_frame(df: DataFrame, mapping: Sequence[tuple]) -> DataFrame:
 
 
 def apply_mapping(df: DataFrame, mapping: Sequence[tuple]) -> DataFrame:
-    """Replaces the mapped values (stripped ones match). The mapping has a bound of values a column, so it is broadcast."""
+    """Replaces the mapped values (stripped ones match)."""
     for c in dict.fromkeys(m[0] for m in mapping):
         small = mapping_frame(df, [m for m in mapping if m[0] == c]).select(F.col("old_value").alias("__old"), F.col("new_value").alias("__new"))
-        df = df.join(F.broadcast(small), T.strip(F.col(c)) == F.col("__old"), "left").select(*(F.coalesce("__new", x).alias(x) if x == c else x for x in df.columns))
+        df = df.join(small, T.strip(F.col(c)) == F.col("__old"), "left").select(*(F.coalesce("__new", x).alias(x) if x == c else x for x in df.columns))
     return df
 
 

@@ -93,6 +93,18 @@ def test_clustering(spark):
     assert V.preset("nothing") is V.PRESETS["BALANCED"] and V.recommended("ocr").fuzzy_threshold == 75
 
 
+def test_no_bound_on_distinct_values(spark):
+    rare = spark.createDataFrame([("acceptable",)] * 3 + [(f"a{i:05d}",) for i in range(10_050)] * 2 + [("zcceptable",)], "v string")
+    assert ("v", "zcceptable", "acceptable") in [m[:3] for m in fuzzy.majority_mapping(rare, "v")]
+    far = lambda i: "".join(chr(97 + int(c)) * 2 for c in f"{i * 7919 % 10**6:06d}")
+    names = spark.createDataFrame([(far(i),) for i in range(1050)] * 2 + [("zebra crossings north",), ("zebra crossing north",)], "v string")
+    assert ("v", "zebra crossings north", "zebra crossing north") in [m[:3] for m in fuzzy.name_mapping(names, "v")]
+    phones = spark.createDataFrame([(f"+{i * 7_654_321 % 10**11:011d}",) for i in range(1050)] * 2 + [("+999999999999999999998",), ("+99999999999999999999",)], "v string")
+    assert ("v", "+999999999999999999998", "+99999999999999999999") in [m[:3] for m in fuzzy.phone_mapping(phones, "v")]
+    codes = spark.createDataFrame([(f"m{i:05d}",) for i in range(600)] + [("zzy",), ("zzx",)], "v string")
+    assert [tuple(r) for r in fuzzy.short_pairs(codes, "v").collect()] == [("zzx", "zzy", 1)]
+
+
 def test_chronology(spark):
     df = spark.createDataFrame([(1, "2024-01-01", "2024-02-01"), (2, "2024-03-01", "2024-02-01")], "i int, a string, b string")
     out, anomalies = audit.clean_dates(df, ["a", "b"], ["i"], 2025, ["a", "b"])
