@@ -3,14 +3,15 @@
 from __future__ import annotations
 
 import codecs
+import functools
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import vocabulary as V
 
-#: Bytes that the encoding is guessed from.
-PROBE_BYTES = 1 << 20
+#: Bytes at a file's start that a byte-order mark is looked for in.
+PROBE_BYTES = 4
 
 
 def guess_encoding(data: bytes) -> str:
@@ -28,29 +29,63 @@ def guess_encoding(data: bytes) -> str:
     return "utf-8"
 
 
-def detect_encoding(spark: SparkSession, path: str) -> str:
-    """Guesses from the start of one file of the path, read through Spark's file systems."""
+def detect_encodings(spark: SparkSession, path: str) -> dict[str, list[str]]:
+    """The files of the path by encoding. Each file's is the first that reads all its lines strictly, found in a distributed pass; a byte-order mark decides at once."""
     jvm = spark.sparkContext._jvm
     where = jvm.org.apache.hadoop.fs.Path(path)
     fs = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    found = sorted(s.getPath().toString() for s in fs.globStatus(where) or [] if s.isFile()) or sorted(s.getPath().toString() for s in fs.listStatus(where) if s.isFile() and not s.getPath().getName().startswith(("_", ".")))
-    stream = fs.open(jvm.org.apache.hadoop.fs.Path(found[0]))
-    try:
-        return guess_encoding(bytes(stream.readNBytes(PROBE_BYTES)))
-    finally:
-        stream.close()
+    files = sorted(s.getPath().toString() for s in fs.globStatus(where) or [] if s.isFile()) or sorted(s.getPath().toString() for s in fs.listStatus(where) if s.isFile() and not s.getPath().getName().startswith(("_", ".")))
+    found = {}
+    for f in files:
+        stream = fs.open(jvm.org.apache.hadoop.fs.Path(f))
+        try:
+            head = bytes(stream.readNBytes(PROBE_BYTES))
+        finally:
+            stream.close()
+        if head.startswith((codecs.BOM_UTF8, codecs.BOM_UTF16_LE, codecs.BOM_UTF16_BE)):
+            found[f] = "utf-16" if head.startswith((codecs.BOM_UTF16_LE, codecs.BOM_UTF16_BE)) else "utf-8-sig"
+    # Line breaks are the same byte in all the other encodings.
+    for f in [f for f in files if f not in found]:
+        found[f] = _strict(spark, f)
+    out: dict[str, list[str]] = {}
+    for f in files:
+        out.setdefault(found[f], []).append(f)
+    return out
+
+
+def _strict(spark: SparkSession, file: str) -> str:
+    """The first of the encodings that reads all lines of the file."""
+
+    def run(batches):
+        import pandas as pd
+
+        fine = dict.fromkeys(V.READER_ENCODINGS, True)
+        for pdf in batches:
+            for data in pdf["value"]:
+                for name in V.READER_ENCODINGS:
+                    try:
+                        fine[name] and bytes(data).decode(name)
+                    except UnicodeDecodeError:
+                        fine[name] = False
+        yield pd.DataFrame({"name": list(fine), "fine": list(fine.values())})
+
+    lines = spark.read.text(file).select(F.col("value").cast("binary").alias("value"))
+    fine = {r["name"] for r in lines.mapInPandas(run, "name string, fine boolean").groupBy("name").agg(F.bool_and("fine").alias("fine")).where("fine").collect()}
+    return next((n for n in V.READER_ENCODINGS if n in fine), "utf-8")
 
 
 #: Encodings that Spark's CSV reader takes itself.
 _NATIVE = {"utf-8": "UTF-8", "utf-8-sig": "UTF-8", "latin-1": "ISO-8859-1", "utf-16": "UTF-16"}
 
 
-def read_csv(spark: SparkSession, path: str, encoding: str | None = None, na: tuple[str, ...] = V.READER_NA, separator: str = ",") -> DataFrame:
-    """All columns as text; headers stripped; the NA tokens become null. encoding None: guessed from the file's start.
+def read_csv(spark: SparkSession, path: str | list[str], encoding: str | None = None, na: tuple[str, ...] = V.READER_NA, separator: str = ",") -> DataFrame:
+    """All columns as text; headers stripped; the NA tokens become null. encoding None: found from all bytes of each file.
 
     Encodings that Spark's reader doesn't take are decoded line by line before it parses them; such files can't have line breaks within fields.
     """
-    encoding = encoding or detect_encoding(spark, path)
+    if encoding is None:
+        groups = [read_csv(spark, files, name, na, separator) for name, files in detect_encodings(spark, path).items()]
+        return functools.reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), groups)
     if encoding in _NATIVE:
         df = spark.read.option("header", True).option("encoding", _NATIVE[encoding]).option("multiLine", encoding == "utf-16").option("sep", separator).option("nullValue", "").csv(path)
     else:

@@ -151,6 +151,20 @@ def test_files(spark, tmp_path):
     assert kinds["a"] == "numeric" and spark.read.parquet(str(tmp_path / "done/data")).count() == 1
 
 
+def test_encoding_from_all_bytes(spark, tmp_path):
+    from cleanloom.sources import readers
+
+    late = tmp_path / "late.csv"
+    late.write_bytes(b"a,b\n" + b"xxxxxxx,y\n" * 120_000 + "علي,z\n".encode("cp1256"))
+    assert readers.read(spark, str(late)).where("a = 'علي'").count() == 1
+    mixed = tmp_path / "mixed.csv"
+    mixed.mkdir()
+    (mixed / "1.csv").write_bytes(b"a,b\nx,y\n")
+    (mixed / "2.csv").write_bytes("a,b\nعلي,z\n".encode("cp1256"))
+    (mixed / "3.csv").write_bytes("a,b\nمنى,w\n".encode())
+    assert values(readers.read(spark, str(mixed)), "a", "b") == [("x", "y"), ("علي", "z"), ("منى", "w")]
+
+
 def test_stream(spark, tmp_path):
     from cleanloom import streaming
 
