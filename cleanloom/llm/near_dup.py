@@ -45,8 +45,8 @@ DEPTH = 8
 #: Members of a region whose pairs are all candidates, at most; and rows at the edge of a range that meet the next one.
 REGION = 128
 NEAREST = 2
-#: Of MINIMA four-bit values, so many are equal at a similarity of 0.75 but for a chance of about 5e-6.
-LEAST_EQUAL = 76
+#: Of MINIMA four-bit values, so many are equal at a similarity of 0.75 but for a chance of about 2e-11, below that of the forest.
+LEAST_EQUAL = 64
 #: Rows of an order in a range, about.
 RANGE_ROWS = 50_000
 #: The prefix filter orders shingles by how often those with the same first bits occur; only the most frequent bits are
