@@ -1,6 +1,7 @@
 """License scans: a trained paragraph classifier, in DataFrame functions only.
 
-A paragraph is a line. Those that hold one of ANCHORS are turned into the set of their word 1- to 3-grams; a sparse
+A paragraph is a line that holds one of ANCHORS; where the line alone names no licence, it is the line with its neighbours up to a
+blank line (WRAPPED on each side at most), and then the whole block of lines between blank ones, as notices are wrapped. Paragraphs are turned into the set of their word 1- to 3-grams; a sparse
 logistic regression over these names a licence family or `unknown`. The family's probability is calibrated on
 variants that the fit didn't see, and templates of the named family confirm it: enough of the
 shorter side's word pairs must be shared. All of it happens within a document's row, without a shuffle.
@@ -106,6 +107,8 @@ WORD = r"[\p{L}\p{N}]+"
 LEAST_PROBABILITY = 0.5
 #: Of the word pairs of the shorter side, a template that confirms shares so many.
 LEAST_SHARED = 0.6
+#: Lines on each side that a wrapped notice is looked for in before the whole block.
+WRAPPED = 1
 _SALT = ("page", "see", "the", "2024", "notes", "and", "of", "file", "document", "for", "this", "in", "by", "author", "text")
 
 
@@ -228,11 +231,25 @@ def scanned(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     low = sh.ascii_lower(F.coalesce(F.col(text_col), F.lit("")))
     anchored = functools.reduce(lambda a, b: a | b, (F.contains(low, F.lit(a)) for a in ANCHORS))
     pattern = "|".join(map(re.escape, ANCHORS))
-    lines = F.when(anchored, F.filter(F.split(F.col(text_col), "\n"), lambda x: F.rlike(sh.ascii_lower(x), F.lit(pattern)))).otherwise(F.array().cast("array<string>"))
+    holds = lambda x: F.rlike(sh.ascii_lower(x), F.lit(pattern))
+
+    def of_block(block: Column) -> Column:
+        """struct(line, near, block) of each line of a block with an anchor."""
+        around = lambda ls, i: F.array_join(F.slice(ls, F.greatest(i + 1 - WRAPPED, F.lit(1)), i + 1 + WRAPPED - F.greatest(i + 1 - WRAPPED, F.lit(1)) + 1), " ")
+        return _let(F.split(block, "\n"), lambda ls: F.filter(F.transform(ls, lambda x, i: F.when(holds(x), F.struct(x.alias("line"), around(ls, i).alias("near"), block.alias("block")))), lambda x: x.isNotNull()))
+
+    blocks = F.filter(F.split(F.col(text_col), r"\n[ \t\r]*\n"), holds)
+    lines = F.when(anchored, F.flatten(F.transform(blocks, of_block))).otherwise(F.array().cast("array<struct<line:string,near:string,block:string>>"))
     base = docs.select(F.col(id_col).alias("doc_id"), lines.alias("__lines"))
+
+    def widened(x: Column) -> Column:
+        """The line's result; where that isn't confirmed and a wider text is, the wider one's."""
+        wider = lambda alone, y, then: F.when(alone["confirmed"] | (y == x["line"]), alone).otherwise(_let(_paragraph(y, model), lambda w: F.when(w["confirmed"], w).otherwise(then(alone))))
+        return _let(_paragraph(x["line"], model), lambda alone: wider(alone, x["near"], lambda a: wider(a, x["block"], lambda b: b)))
+
     none = F.array().cast("array<struct<probability:double,family:string,confirmed:boolean>>")
     # The lines of most rows are none; what follows is worked out for the rest.
-    base = base.select("doc_id", F.when(F.size("__lines") > 0, F.transform("__lines", lambda x: _paragraph(x, model))).otherwise(none).alias("__found"))
+    base = base.select("doc_id", F.when(F.size("__lines") > 0, F.transform("__lines", widened)).otherwise(none).alias("__found"))
     sure = F.filter("__found", lambda x: x["confirmed"])
     ordered = F.array_sort(F.transform(sure, lambda x: F.struct((-x["probability"]).alias("p"), x["family"].alias("f"))))
     first = F.try_element_at(ordered, F.lit(1))
