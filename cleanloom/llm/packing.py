@@ -61,7 +61,7 @@ class Packer:
         self.size[len(self.waiting)] = end - start, example[2][end] - example[2][start]
         self.waiting.append(piece)
         if len(self.waiting) >= self.most:
-            self._fill()
+            self._deal(self._fill())
 
     def _take(self, k: int) -> tuple:
         """Takes waiting piece k; the last one moves to its place."""
@@ -111,6 +111,10 @@ class Packer:
         last: list[tuple] = []
         while self.waiting:
             last = self._fill()
+        self._deal(last)
+
+    def _deal(self, last: list[tuple]) -> None:
+        """Puts pieces that don't fill a sequence into sequences of powers of two."""
         left = sum(end - start for _, start, end in last)
         while left:
             room, pieces = 1 << (left.bit_length() - 1), []

@@ -357,6 +357,14 @@ def test_wrapped_notices(spark):
     assert got == {0: "mpl-2.0", 1: "mit"}
 
 
+def test_packing_keeps_empty_documents():
+    packer = packing.Packer(2048, 4096, 2048, 0)
+    for k in range(3000):
+        packer.add(k, np.array([1], np.uint32), np.array([False]))
+    packer.finish()
+    assert sorted(r[0] for r in packer.flush()) == list(range(3000))
+
+
 def test_url_filter(spark):
     pages = clashing(spark.createDataFrame([(1, "http://ads.example.com/x", "2024-02-01"), (2, "http://ads.example.com/x", "2024-04-01"), (3, "https://a.ads.example.com/", "2024-02-01"), (4, "http://u:p@EXAMPLE.com:80/ok/1", "2024-02-01"), (5, None, "2024-02-01"), (6, "nothing", "2024-02-01"), (7, "http://example.com/ok", None), (8, "http://notexample.com/", "2024-02-01"), (9, "http://example.com/ok", "2025-02-01"), (1, "http://ads.example.com/x", "2024-02-01")], "page_id bigint, url string, fetched string").withColumn("fetched", F.to_date("fetched")))
     entries = clashing(spark.createDataFrame([("ads.example.com", "2024-01-01", "block"), ("ads.example.com", "2024-03-01", "remove"), ("example.com", "2024-01-15", "block"), ("example.com/ok", "2024-01-20", "allow"), ("example.com/ok", "2024-12-20", None), ("example.com", "2024-03-15", "allow"), ("example.com", "2024-03-15", "remove"), (None, "2024-01-01", "block"), ("x", None, "block")], "pattern string, since string, action string").withColumn("since", F.to_date("since")))
