@@ -5,23 +5,25 @@
    smallest id stands for it from here on.
 2. Forest. TREES rotations of the signature give as many sorted orders. An order is dealt out by range, ties split by id, so
    that no common passage and no large group of copies meets in one task; the rows at the edges of a range meet once more with
-   those of the next. Candidates pass by the sizes of their sets (exact) and by four bits of every minimum (LEAST_EQUAL of
-   MINIMA). They are taken in two rounds.
-   First, each row and its NEAREST next ones with a common prefix, which is longest there.
-   Then, among what the first round left apart: neighbours that share a prefix form regions; a region with more than REGION
-   members, not all linked yet, is entered one value deeper, and each pair of a region of REGION members or fewer is a
-   candidate.
-3. Links. Candidates are confirmed on full sets; what is linked already isn't compared again, so a large group of near copies
-   costs its members' nearest neighbours, not its pairs. Last, the members of all regions of one first value, counted over
-   all ranges, that have more than REGION members and are still of several components are joined exactly: by a prefix filter
-   on their full sets, rare shingles first, so no bound on a region loses a link. Components of the links are found by pointer
-   jumping and by alternating large and small stars. Ids and labels stay distributed; each round is a written table.
+   those of the next. Neighbours that share a first value form a region. Each pair of a region with at most REGION members is a
+   candidate; a larger region is entered one value deeper where its common prefixes are shortest, again and again, and its next
+   neighbours are candidates too. Candidates pass by the sizes of their sets (exact) and by four bits of every minimum
+   (LEAST_EQUAL of MINIMA).
+3. Rounds. Only classes of different components are compared. First FIRST_TREES orders, then all, name of the candidates of a
+   range, the most alike first, those that could join what is apart: fewer than the range has rows. They are confirmed on full sets
+   and join components. Last, all candidates that are still apart are confirmed. So a large group of near copies costs a few pairs
+   for each member.
+4. Large regions. A class that fewer than SAFE_TREES orders have in small regions, counted over all ranges, is joined
+   exactly with the others of its kind: by a prefix filter on full sets, rare shingles first. So no bound on a region loses a link.
+Components of links are contracted in tasks of bounded size, then by alternating large and small stars. Ids and labels stay
+distributed; each round is a written table, removed at the end.
 
 A pair at the threshold is missed by a tree with probability 0.25, its first value being another one, so by the forest with
-0.25 ** 16, whatever the size of its regions.
+0.25 ** 16 where all its regions are small, and with 0.25 ** SAFE_TREES at most otherwise.
 
 Defined results: null and empty texts, and texts without words, have 0 shingles and are linked with nothing;
-a null id has a null component and is kept; repeated rows get equal results; an id is to name one text;
+a null id has a null component and is kept; repeated rows get equal results; rows of one id with several texts are one document,
+linked where one of its texts is;
 an empty table gives an empty result; other columns aren't looked at.
 """
 
@@ -31,6 +33,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -43,8 +46,12 @@ TREES = 16
 #: Values of a signature that an order compares.
 DEPTH = 8
 #: Members of a region whose pairs are all candidates, at most; and rows at the edge of a range that meet the next one.
-REGION = 128
-NEAREST = 2
+REGION = 32
+#: Trees whose regions say what is still apart before all trees do.
+FIRST_TREES = 4
+#: A class that so many trees have in regions of at most REGION members meets all that it is linked with in one of them, but for a
+#: chance of 0.25 ** SAFE_TREES. The others are joined exactly.
+SAFE_TREES = 13
 #: Of MINIMA four-bit values, so many are equal at a similarity of 0.75 but for a chance of about 2e-11, below that of the forest.
 LEAST_EQUAL = 64
 #: Rows of an order in a range, about.
@@ -53,6 +60,10 @@ RANGE_ROWS = 50_000
 #: counted exactly. Any order gives the same links.
 SKETCH_BITS = 20
 COMMON = 1 << 16
+#: Tasks that the pairs of one class are dealt to, at most.
+SLOTS = 32
+#: Edges that a task contracts, about.
+LOCAL_EDGES = 200_000
 #: Sets that are unpacked at a time.
 SOME_SETS = 500
 #: Ids that may be broadcast (8 bytes each).
@@ -114,24 +125,25 @@ def signatures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), text_col).mapInArrow(sh.frugal(run), "doc_id bigint, n_shingles bigint, key binary, sig binary")
 
 
-def next_pairs(values: np.ndarray, tree: np.ndarray, nearest: int) -> tuple[np.ndarray, np.ndarray]:
-    """Index pairs of sorted rows with the `nearest` next ones that share the first value."""
-    left, right = [], []
-    for s in range(1, nearest + 1):
-        i = np.flatnonzero((values[s:, 0] == values[:-s, 0]) & (tree[s:] == tree[:-s])) if len(values) > s else np.empty(0, np.int64)
-        left.append(i)
-        right.append(i + s)
-    return np.concatenate(left), np.concatenate(right)
+def region_pairs(values: np.ndarray, tree: np.ndarray, roots: np.ndarray, region: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of sorted rows: index pairs of different roots, and where the regions of one first value start and end.
 
-
-def region_pairs(values: np.ndarray, tree: np.ndarray, roots: np.ndarray, region: int) -> tuple[np.ndarray, np.ndarray, list[tuple[int, int]]]:
-    """Index pairs of sorted rows, of different roots, in regions of at most `region` members; and the ranges that are larger and share all values."""
+    A region of at most `region` members brings all its pairs. A larger one brings its next neighbours, and each of its parts at
+    the depth of its shortest common prefix is a region again.
+    """
     equal = np.logical_and.accumulate(values[1:] == values[:-1], axis=1)
     common = np.where(tree[1:] == tree[:-1], equal.sum(1), 0)
-    cut = np.flatnonzero(np.concatenate([[True], common == 0, [True]]))
-    runs = [(a, b) for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True) if b - a > 1]
-    left, right, large = [np.empty(0, np.int64)], [np.empty(0, np.int64)], []
+    starts = np.flatnonzero(np.append(True, common == 0)) if len(values) else np.empty(0, np.int64)
+    ends = np.append(starts[1:], len(values)).astype(np.int64)[: len(starts)]
+    left, right = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
     upper = {}
+    mixed = (ends - starts > 1) & (np.minimum.reduceat(roots, starts) < np.maximum.reduceat(roots, starts)) if len(values) else np.empty(0, bool)
+    runs = list(zip(starts[mixed].tolist(), ends[mixed].tolist(), strict=True))
+    for a, b in runs:
+        if b - a > region:
+            i = a + np.flatnonzero(roots[a : b - 1] != roots[a + 1 : b])
+            left.append(i)
+            right.append(i + 1)
     while runs:
         a, b = runs.pop()
         own = roots[a:b]
@@ -148,15 +160,26 @@ def region_pairs(values: np.ndarray, tree: np.ndarray, roots: np.ndarray, region
         if least < values.shape[1]:
             cut = a + np.flatnonzero(np.concatenate([[True], inner == least, [True]]))
             runs += [(c, d) for c, d in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True) if d - c > 1]
-        else:
-            large.append((a, b))
-    return np.concatenate(left), np.concatenate(right), large
+    return np.concatenate(left), np.concatenate(right), starts, ends
+
+
+def spanning(u: np.ndarray, v: np.ndarray, alike: np.ndarray) -> np.ndarray:
+    """Positions of pairs (u, v), the most alike first, that join what the ones before left apart: fewer than there are different ends."""
+    parent: dict[int, int] = {}
 
+    def top(x: int) -> int:
+        while (up := parent.get(x, x)) != x:
+            parent[x] = x = parent.get(up, up)
+        return x
 
-def _rows(table: pa.Table) -> tuple[np.ndarray, ...]:
-    """tree, values, nibbles, id, n and root of entries."""
-    fixed = lambda name, kind: np.frombuffer(sh_join(table[name]), kind).reshape(len(table), -1)
-    return table["tree"].to_numpy(), fixed("prefix", ">u4"), fixed("bits", np.uint8), table["rep"].to_numpy(), table["n"].to_numpy(), table["root"].to_numpy()
+    kept = []
+    order = np.argsort(-alike, kind="stable")
+    for k, x, y in zip(order.tolist(), u[order].tolist(), v[order].tolist(), strict=True):
+        x, y = top(x), top(y)
+        if x != y:
+            parent[max(x, y)] = min(x, y)
+            kept.append(k)
+    return np.array(kept, np.int64)
 
 
 def sh_join(column: pa.ChunkedArray) -> bytes:
@@ -167,36 +190,39 @@ def sh_join(column: pa.ChunkedArray) -> bytes:
     return column.buffers()[2][ends[0] : ends[-1]].to_pybytes()
 
 
-def _passing(i: np.ndarray, j: np.ndarray, bits: np.ndarray, ids: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Ids (smaller, larger) of the distinct index pairs whose sizes and four-bit minima allow a link."""
-    found = []
+def _passing(i: np.ndarray, j: np.ndarray, bits: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The index pairs whose sizes and four-bit minima allow a link, and how many of the minima are equal."""
+    found = [(np.empty(0, np.int64),) * 3]
     for k in range(0, len(i), 200_000):
         a, b = i[k : k + 200_000], j[k : k + 200_000]
-        fits = (100 * np.minimum(n[a], n[b]) >= 75 * np.maximum(n[a], n[b])) & (ids[a] != ids[b])
+        fits = 100 * np.minimum(n[a], n[b]) >= 75 * np.maximum(n[a], n[b])
         a, b = a[fits], b[fits]
         differ = bits[a] ^ bits[b]
         equal = ((differ & 0x0F) == 0).sum(1) + ((differ & 0xF0) == 0).sum(1)
-        a, b = ids[a[equal >= LEAST_EQUAL]], ids[b[equal >= LEAST_EQUAL]]
-        found.append(np.stack([np.minimum(a, b), np.maximum(a, b)], 1))
-    pairs = np.unique(np.concatenate(found), axis=0) if found else np.empty((0, 2), np.int64)
-    return pairs[:, 0], pairs[:, 1]
+        close = equal >= LEAST_EQUAL
+        found.append((a[close], b[close], equal[close]))
+    return tuple(map(np.concatenate, zip(*found, strict=True)))
 
 
 _ENTRY = "tree int, prefix binary, bits binary, rep bigint, n bigint, root bigint"
 _ENTRY_NAMES = ["tree", "prefix", "bits", "rep", "n", "root"]
+_PAIR = ["a", "b", "u", "v"]
 
 
-def candidates(classes: DataFrame, whole: bool) -> DataFrame:
-    """Distinct pairs a < b of classes (rep, n, sig, bits, root) that the forest names: of next rows, or (whole) of regions, across roots."""
+def candidates(classes: DataFrame, folder: str, trees: int, whole: bool) -> tuple[DataFrame, DataFrame]:
+    """What some of the forest's trees, spread over it, name among classes (rep, n, sig, bits, root).
+
+    First: pairs a < b of classes whose roots u, v differ, the more alike ones that suffice to join what a range could join, or
+    (whole) all. Second: tree, first of the regions with more than REGION members of several roots, counted over all ranges.
+    """
     step, width = MINIMA // TREES, 4 * DEPTH
     doubled = F.concat("sig", F.substring("sig", 1, width))
-    wide = classes.select("rep", "n", doubled.alias("__sig"), "bits", "root").withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))))
+    wide = classes.select("rep", "n", doubled.alias("__sig"), "bits", "root").withColumn("tree", F.explode(F.array(*(F.lit(t) for t in range(0, TREES, TREES // trees)))))
     entries = wide.select("tree", F.expr(f"substring(__sig, tree * {4 * step} + 1, {width})").alias("prefix"), "bits", "rep", "n", "root")
     order = ["tree", "prefix", "rep"]
-    ranges = max(1, classes.count() * TREES // RANGE_ROWS)
-    kinds = {"a": pa.int64(), "b": pa.int64(), "part": pa.int32(), "head": pa.bool_(), "tree": pa.int32(), "prefix": pa.binary(), "bits": pa.binary(), "rep": pa.int64(), "n": pa.int64(), "root": pa.int64()}
-    size, nearest = REGION, NEAREST
-    edge_rows = size if whole else nearest
+    ranges = max(1, classes.count() * trees // RANGE_ROWS)
+    kinds = dict.fromkeys(_PAIR, pa.int64()) | {"part": pa.int32(), "head": pa.bool_(), "tree": pa.int32(), "prefix": pa.binary(), "bits": pa.binary(), "rep": pa.int64(), "n": pa.int64(), "root": pa.int64(), "members": pa.int64(), "least": pa.int64(), "last": pa.int64()}
+    size = REGION
 
     def told(**columns) -> pa.RecordBatch:
         """Rows with these columns; the others are null."""
@@ -204,41 +230,54 @@ def candidates(classes: DataFrame, whole: bool) -> DataFrame:
         return pa.RecordBatch.from_arrays([pa.array(columns[c], t) if isinstance(columns.get(c), (list, np.ndarray)) else columns[c].combine_chunks().cast(t) if c in columns else pa.nulls(m, t) for c, t in kinds.items()], names=list(kinds))
 
     def found_in(rows: pa.Table) -> Iterator[pa.RecordBatch]:
-        tree, values, bits, ids, n, roots = _rows(rows)
-        i, j = region_pairs(values, tree, roots, size)[:2] if whole else next_pairs(values, tree, nearest)
-        a, b = _passing(i, j, bits, ids, n)
-        yield told(a=a, b=b)
+        """The pairs; and the regions of several roots that are large, or the first or last of the range."""
+        fixed = lambda name, kind: np.frombuffer(sh_join(rows[name]), kind).reshape(len(rows), -1)
+        tree, values, ids, n, roots = rows["tree"].to_numpy(), fixed("prefix", ">u4"), rows["rep"].to_numpy(), rows["n"].to_numpy(), rows["root"].to_numpy()
+        i, j, starts, ends = region_pairs(values, tree, roots, size)
+        i, j, alike = _passing(i, j, fixed("bits", np.uint8), n)
+        if not whole:
+            some = spanning(roots[i], roots[j], alike)
+            i, j = i[some], j[some]
+        i, j = np.where(ids[i] < ids[j], i, j), np.where(ids[i] < ids[j], j, i)
+        yield told(a=ids[i], b=ids[j], u=roots[i], v=roots[j])
+        if whole:
+            least, last, many = np.minimum.reduceat(roots, starts), np.maximum.reduceat(roots, starts), ends - starts
+            large = (many > size) & (least < last)
+            large[[0, -1]] = True
+            yield told(tree=tree[starts[large]], prefix=[x.tobytes() for x in values[starts[large], :1]], members=many[large], least=least[large], last=last[large])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         got = [b for b in batches if len(b)]
         if got:
             rows = pa.Table.from_batches(got)
             yield from found_in(rows)
-            for head, edge in ((True, rows.slice(0, edge_rows)), (False, rows.slice(max(0, len(rows) - edge_rows)))):
+            for head, edge in ((True, rows.slice(0, size)), (False, rows.slice(max(0, len(rows) - size)))):
                 m = len(edge)
                 yield told(part=[TaskContext.get().partitionId()] * m, head=[head] * m, **{c: edge[c] for c in _ENTRY_NAMES})
 
     def across(rows: pa.Table) -> pa.Table:
         rows = rows.sort_by([("tree", "ascending"), ("prefix", "ascending"), ("rep", "ascending")])
-        return pa.Table.from_batches(found_in(rows)).select(["a", "b"])
+        return pa.Table.from_batches(found_in(rows)).select(_PAIR).filter(pc.is_valid(pc.field("a")))
 
-    schema = f"a bigint, b bigint, part int, head boolean, {_ENTRY}"
-    found = sh.written(entries.repartitionByRange(ranges, *order).sortWithinPartitions(*order).mapInArrow(sh.frugal(run), schema), "near-candidates")
+    pair = ", ".join(f"{c} bigint" for c in _PAIR)
+    schema = f"{pair}, part int, head boolean, {_ENTRY}, members bigint, least bigint, last bigint"
+    found = sh.written(entries.repartitionByRange(ranges, *order).sortWithinPartitions(*order).mapInArrow(sh.frugal(run), schema), "candidates", folder)
     edges = found.where(F.col("part").isNotNull())
     # The range before each one that has rows.
     before = edges.select("part").distinct().withColumn("__before", F.lag("part").over(Window.orderBy("part")))
     edges = edges.join(before, "part").withColumn("__border", F.when(F.col("head"), F.col("__before")).otherwise(F.col("part"))).where(F.col("__border").isNotNull())
-    met = edges.select("__border", *_ENTRY_NAMES).groupBy("__border").applyInArrow(across, "a bigint, b bigint")
-    return found.where(F.col("part").isNull()).select("a", "b").unionByName(met).distinct()
+    met = edges.select("__border", *_ENTRY_NAMES).groupBy("__border").applyInArrow(across, pair)
+    regions = found.where(F.col("members").isNotNull()).groupBy("tree", F.col("prefix").alias("first")).agg(F.sum("members").alias("members"), F.count(F.lit(1)).alias("parts"), F.min("least").alias("least"), F.max("last").alias("last"))
+    # Parts in two ranges meet at the border; those of three don't.
+    regions = regions.where(((F.col("members") > REGION) | (F.col("parts") > 2)) & (F.col("least") < F.col("last"))).select("tree", "first")
+    return found.where(F.col("a").isNotNull()).select(_PAIR).unionByName(met).dropDuplicates(["a", "b"]), regions
 
 
-def crowded(classes: DataFrame) -> DataFrame:
-    """id, root of the classes (rep, sig, root) that share the first value of an order with more than REGION - 1 others, not all of one root."""
+def crowded(classes: DataFrame, regions: DataFrame) -> DataFrame:
+    """id, root of the classes (rep, sig, root) that fewer than SAFE_TREES trees have in small regions."""
     step = 4 * (MINIMA // TREES)
     firsts = classes.select("rep", "root", F.posexplode(F.array(*(F.substring("sig", step * t + 1, 4) for t in range(TREES)))).alias("tree", "first"))
-    regions = firsts.groupBy("tree", "first").agg(F.count(F.lit(1)).alias("__members"), F.min("root").alias("__least"), F.max("root").alias("__last"))
-    regions = regions.where((F.col("__members") > REGION) & (F.col("__least") < F.col("__last"))).select("tree", "first")
-    return firsts.join(regions, ["tree", "first"], "left_semi").select(F.col("rep").alias("id"), "root").distinct()
+    return firsts.join(regions, ["tree", "first"], "left_semi").groupBy(F.col("rep").alias("id"), "root").agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") > TREES - SAFE_TREES).select("id", "root")
 
 
 def _weights(sets: DataFrame) -> dict[int, int]:
@@ -280,23 +319,24 @@ def prefixes(sets: DataFrame) -> DataFrame:
     return sets.select("id", "root", "items").mapInArrow(sh.frugal(run), "item bigint, id bigint, root bigint, n int, place int")
 
 
-def joined(sets: DataFrame) -> DataFrame:
-    """Distinct pairs a < b of the sets (id, root, items), of different roots: all at 0.75 or more, and others.
+def joined(sets: DataFrame, folder: str) -> DataFrame:
+    """Distinct pairs a < b of the sets (id, root, items) whose roots u, v differ: all at 0.75 or more, and others.
 
     Shingles of one root name no pair. Of the others, the members outside a shingle's main root meet all its members; they pass
     by what is left of both from that shingle on, which must hold 3 / 7 of both sizes.
     """
-    rows = sh.written(prefixes(sets), "near-prefixes")
+    rows = sh.written(prefixes(sets), "prefixes", folder)
     of_root = rows.groupBy("item", "root").agg(F.count(F.lit(1)).alias("__n"))
     main = of_root.groupBy("item").agg(F.max(F.struct("__n", "root")).alias("__top"), F.count(F.lit(1)).alias("__roots")).where("__roots > 1").select("item", F.col("__top.root").alias("__main"))
-    mixed = sh.written(rows.join(main, "item"), "near-mixed")
+    mixed = sh.written(rows.join(main, "item"), "mixed", folder)
     others = mixed.where("root <> __main").select("item", F.col("id").alias("__id"), F.col("root").alias("__root"), F.col("n").alias("__n"), F.col("place").alias("__place"))
     fits = "root <> __root AND 7 * least(n - place, __n - __place) >= 3 * (n + __n) AND 4 * least(n, __n) >= 3 * greatest(n, __n)"
-    return others.join(mixed.drop("__main"), "item").where(fits).select(F.least("id", "__id").alias("a"), F.greatest("id", "__id").alias("b")).distinct()
+    ends = F.when(F.col("id") < F.col("__id"), F.struct("id", "__id", "root", "__root")).otherwise(F.struct(F.col("__id").alias("id"), F.col("id").alias("__id"), F.col("__root").alias("root"), F.col("root").alias("__root")))
+    return others.join(mixed.drop("__main"), "item").where(fits).select(ends.alias("e")).select(F.col("e.id").alias("a"), F.col("e.__id").alias("b"), F.col("e.root").alias("u"), F.col("e.__root").alias("v")).dropDuplicates(["a", "b"])
 
 
 def sets_of(docs: DataFrame, ids: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """id, items binary (sorted 64-bit hashes) for each id in ids."""
+    """id, sets array<binary> (the distinct sets, each sorted 64-bit hashes, of the texts under the id) for each id in ids."""
     few = ids.count() <= BROADCAST_IDS
     mine = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).join(F.broadcast(ids) if few else ids, "id", "left_semi" if few else "inner")
 
@@ -305,31 +345,53 @@ def sets_of(docs: DataFrame, ids: DataFrame, id_col: str, text_col: str) -> Data
             for part in sh.slices(batch, 1):
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([x.tobytes() for x in shingle_sets(part.column(1))], pa.binary())], names=["id", "items"])
 
-    return mine.select("id", "text").mapInArrow(sh.frugal(run), "id bigint, items binary")
+    return mine.select("id", "text").mapInArrow(sh.frugal(run), "id bigint, items binary").groupBy("id").agg(F.collect_set("items").alias("sets"))
+
 
+def confirmed(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, folder: str, percent: int = 75) -> DataFrame:
+    """u, v of the pairs (a, b, u, v) with 100 * intersection >= percent * union. Each b's sets travel once a pair; each a's, once
+    to each of SLOTS tasks that its pairs are dealt to, so that an a with many pairs is no task's burden."""
+    pairs = pairs.withColumn("slot", F.pmod(F.xxhash64("b"), F.lit(SLOTS)).cast("int"))
+    ids = sh.written(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "ids", folder)
+    heads = pairs.select("a", "slot", F.col("a").alias("id"), F.lit(None).cast("long").alias("u"), F.lit(None).cast("long").alias("v")).distinct()
+    rows = heads.unionByName(pairs.select("a", "slot", F.col("b").alias("id"), "u", "v")).join(sets_of(docs, ids, id_col, text_col), "id")
+    rows = rows.select("a", "slot", F.col("u").isNotNull().alias("member"), "u", "v", "sets")
 
-def confirmed(pairs: DataFrame, sets: DataFrame, percent: int = 75) -> DataFrame:
-    """The pairs (a, b) with 100 * intersection >= percent * union. Each a's set travels once, each b's once a pair."""
-    once = sets.dropDuplicates(["id"])
-    rows = pairs.select("a", F.col("a").alias("id")).distinct().unionByName(pairs.select("a", F.col("b").alias("id"))).join(once, "id")
-    rows = rows.select("a", (F.col("id") != F.col("a")).alias("member"), "id", "items")
+    def alike(x: np.ndarray, y: np.ndarray) -> bool:
+        if not len(x) or not len(y):
+            return False
+        at = np.searchsorted(x, y)
+        both = int((x[np.minimum(at, len(x) - 1)] == y).sum())
+        return 100 * both >= percent * (len(x) + len(y) - both)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        head, mine = None, None
+        mine: list[np.ndarray] = []
         for batch in (b.slice(k, SOME_SETS) for b in batches for k in range(0, len(b), SOME_SETS)):
             kept = []
-            for a, member, b, items in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                x = np.frombuffer(items, np.uint64)
+            for member, u, v, sets in zip(*(c.to_pylist() for c in batch.columns[2:]), strict=True):
+                sets = [np.frombuffer(x, np.uint64) for x in sets]
                 if not member:
-                    head, mine = a, x
-                elif a == head and len(mine) and len(x):
-                    at = np.searchsorted(mine, x)
-                    both = int((mine[np.minimum(at, len(mine) - 1)] == x).sum())
-                    if 100 * both >= percent * (len(mine) + len(x) - both):
-                        kept.append((a, b))
-            yield pa.RecordBatch.from_arrays([pa.array([k[i] for k in kept], pa.int64()) for i in (0, 1)], names=["a", "b"])
+                    mine = sets
+                elif any(alike(x, y) for x in mine for y in sets):
+                    kept.append((u, v))
+            yield pa.RecordBatch.from_arrays([pa.array([k[i] for k in kept], pa.int64()) for i in (0, 1)], names=["u", "v"])
+
+    return rows.repartition("a", "slot").sortWithinPartitions("a", "slot", "member").mapInArrow(sh.frugal(run), "u bigint, v bigint")
 
-    return rows.repartition("a").sortWithinPartitions("a", "member").mapInArrow(sh.frugal(run), "a bigint, b bigint")
+
+def contracted(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Ends of the edges (u, v), and the smallest end that each reaches; without those that are their own."""
+    ids, at = np.unique(np.concatenate([u, v]), return_inverse=True)
+    x, y, root = at[: len(u)], at[len(u) :], np.arange(len(ids))
+    while len(x):
+        low, high = np.minimum(root[x], root[y]), np.maximum(root[x], root[y])
+        apart = low < high
+        x, y = x[apart], y[apart]
+        np.minimum.at(root, high[apart], low[apart])
+        while not np.array_equal(up := root[root], root):
+            root = up
+    moved = root != np.arange(len(ids))
+    return ids[moved], ids[root[moved]]
 
 
 def _print(df: DataFrame) -> tuple:
@@ -337,75 +399,68 @@ def _print(df: DataFrame) -> tuple:
     return tuple(df.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64(*df.columns))).first())
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """id, root: the smallest id that each end of the edges (u, v) reaches. Alternates large and small stars until nothing changes."""
-    edges = sh.written(edges.where("u != v").distinct(), "near-edges")
+def components(edges: DataFrame, folder: str) -> DataFrame:
+    """id, root: the smallest id that each end of the edges (u, v) reaches, for ends that reach a smaller one.
+
+    Tasks of about LOCAL_EDGES edges contract what they hold. What several of them leave alternates large and small stars until
+    nothing changes.
+    """
+    edges = sh.written(edges.where("u != v"), "edges", folder)
+    tasks = max(1, -(-edges.count() // LOCAL_EDGES))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got = pa.Table.from_batches(list(batches), pa.schema([("u", pa.int64()), ("v", pa.int64())]))
+        u, v = contracted(got["u"].to_numpy(), got["v"].to_numpy())
+        yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], names=["u", "v"])
+
+    edges = sh.written(edges.repartition(tasks).mapInArrow(sh.frugal(run), "u bigint, v bigint"), "edges", folder)
     last = None
-    while True:
+    while tasks > 1:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         # Minima as tables: both sides of a join are then plain exchanges, and the rows of a star's centre can be split.
-        least = sh.written(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "near-least")
+        least = sh.written(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "least", folder)
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        down = sh.written(large.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u != v").distinct(), "near-edges")
-        least = sh.written(down.groupBy("u").agg(F.min("v").alias("m")), "near-least")
+        down = sh.written(large.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u != v").distinct(), "edges", folder)
+        least = sh.written(down.groupBy("u").agg(F.min("v").alias("m")), "least", folder)
         small = down.join(least, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
-        edges = sh.written(small.where("u != v").distinct(), "near-edges")
+        edges = sh.written(small.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u != v").distinct(), "edges", folder)
         now = _print(edges)
         if now == last:
-            return edges.groupBy(F.col("u").alias("id")).agg(F.min("v").alias("root"))
+            break
         last = now
+    return edges.groupBy(F.col("u").alias("id")).agg(F.min("v").alias("root"))
 
 
-def _roots(parents: DataFrame) -> DataFrame:
-    """id, root from id, parent (a smaller id) by pointer jumping."""
-    now = sh.written(parents.select("id", F.col("parent").alias("root")), "near-roots")
-    while True:
-        up = now.select(F.col("id").alias("root"), F.col("root").alias("__up"))
-        moved = now.join(up, "root", "left").select("id", F.coalesce("__up", "root").alias("root"), F.col("__up").isNotNull().alias("__moved"))
-        now = sh.written(moved, "near-roots")
-        if now.where("__moved").isEmpty():
-            return now.select("id", "root")
-        now = now.select("id", "root")
-
-
-def linked(docs: DataFrame, classes: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def linked(docs: DataFrame, classes: DataFrame, id_col: str, text_col: str, folder: str) -> DataFrame:
     """id, root for each class that is linked with a smaller one."""
-    sets = lambda pairs: sh.written(sets_of(docs, sh.written(pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct(), "near-ids"), id_col, text_col), "near-sets")
-    pairs = sh.written(candidates(classes.withColumn("root", F.col("rep")), False), "near-pairs")
-    met = sets(pairs)
-    first = pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
-    roots = _roots(confirmed(first, met).select(F.col("b").alias("id"), F.col("a").alias("parent")))
-    roots = _merged(roots, pairs.join(first, ["a", "b"], "left_anti"), met)
+    roots = docs.sparkSession.createDataFrame([], "id bigint, root bigint")
+    met = None
 
     def labelled() -> DataFrame:
-        return classes.join(roots.select(F.col("id").alias("rep"), F.col("root").alias("__root")), "rep", "left").select(*classes.columns, F.coalesce("__root", "rep").alias("root"))
-
-    across = candidates(sh.written(labelled(), "near-classes"), True)
-    across = sh.written(across.join(pairs, ["a", "b"], "left_anti"), "near-pairs")
-    if not across.isEmpty():
-        roots = _merged(roots, across, sets(across))
+        of = roots.select(F.col("id").alias("rep"), F.col("root").alias("__root"))
+        return sh.written(classes.join(of, "rep", "left").select(*classes.columns, F.coalesce("__root", "rep").alias("root")), "labelled", folder)
+
+    def merged(pairs: DataFrame) -> DataFrame:
+        """The roots after the links among those pairs."""
+        new = sh.written(components(confirmed(pairs, docs, id_col, text_col, folder), folder), "new", folder)
+        moved = roots.join(new.select(F.col("id").alias("root"), F.col("root").alias("__root")), "root", "left").select("id", F.coalesce("__root", "root").alias("root"))
+        # Roots that now have a smaller one have labels of their own.
+        return sh.written(moved.unionByName(new), "roots", folder)
+
+    regions = None
+    for trees, whole in ((FIRST_TREES, False), (TREES, False), (TREES, True)):
+        pairs, regions = candidates(labelled(), folder, trees, whole)
+        pairs = sh.written(pairs if met is None else pairs.join(met, ["a", "b"], "left_anti"), "pairs", folder)
+        met = pairs.select("a", "b") if met is None else met.unionByName(pairs.select("a", "b"))
+        if not pairs.isEmpty():
+            roots = merged(pairs)
     # What large regions still hold apart.
-    crowd = sh.written(crowded(labelled()), "near-crowd")
-    if crowd.isEmpty():
-        return roots
-    whole = sh.written(sets_of(docs, crowd.select("id"), id_col, text_col).dropDuplicates(["id"]), "near-sets")
-    apart = sh.written(joined(whole.join(crowd, "id")).join(pairs.unionByName(across), ["a", "b"], "left_anti"), "near-rest")
-    return roots if apart.isEmpty() else _merged(roots, apart, whole)
-
-
-def _merged(roots: DataFrame, pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The roots after the links among those pairs whose ends are still apart."""
-    of = lambda end: roots.select(F.col("id").alias(end), F.col("root").alias(f"__root_{end}"))
-    apart = pairs.join(of("a"), "a", "left").join(of("b"), "b", "left")
-    apart = apart.select("a", "b", F.coalesce("__root_a", "a").alias("u"), F.coalesce("__root_b", "b").alias("v")).where("u != v")
-    apart = sh.written(apart, "near-apart")
-    if apart.isEmpty():
+    crowd = sh.written(crowded(labelled(), regions), "crowd", folder)
+    if crowd.select("root").distinct().limit(2).count() < 2:
         return roots
-    more = sh.written(confirmed(apart.select("a", "b"), sets), "near-links")
-    new = sh.written(components(apart.join(more, ["a", "b"]).select("u", "v")), "near-new")
-    merged = roots.join(new.select(F.col("id").alias("root"), F.col("root").alias("__root")), "root", "left").select("id", F.coalesce("__root", "root").alias("root"))
-    # Roots, and documents without a first link, have labels of their own.
-    return sh.written(merged.unionByName(new.select("id", "root")).groupBy("id").agg(F.min("root").alias("root")), "near-roots")
+    sets = sets_of(docs, crowd.select("id"), id_col, text_col).join(crowd, "id").select("id", "root", F.explode("sets").alias("items"))
+    rest = sh.written(joined(sh.written(sets, "sets", folder), folder).join(met, ["a", "b"], "left_anti"), "pairs", folder)
+    return roots if rest.isEmpty() else merged(rest)
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -414,7 +469,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     real = signed.where(F.col("doc_id").isNotNull() & F.col("key").isNotNull())
     classes = real.groupBy("key", F.col("n_shingles").alias("n")).agg(F.min("doc_id").alias("rep"), F.min_by("sig", "doc_id").alias("sig"))
     classes = sh.written(_with_bits(classes), "near-classes")
-    roots = linked(docs, classes, id_col, text_col)
+    folder = sh.scratch(docs.sparkSession, "near")
+    roots = sh.written(linked(docs, classes, id_col, text_col, folder), "near-roots")
+    sh.removed(docs.sparkSession, folder)
     rep = classes.select("key", F.col("n").alias("n_shingles"), "rep")
     rep = rep.join(roots.select(F.col("id").alias("rep"), "root"), "rep", "left").select("key", "n_shingles", F.coalesce("root", "rep").alias("rep"))
     found = signed.select("doc_id", "n_shingles", "key").join(rep, ["key", "n_shingles"], "left")

@@ -228,6 +228,8 @@ def test_near_duplicates(spark, corpus):
     assert all(r["kept"] == (i == r["component_id"]) for i, r in got.items())
     kept = near_dup.one_of_each(df)
     assert kept.columns == df.columns and kept.count() == sum(r["kept"] for r in got.values())
+    two = docs(spark, ["a b c d e f", "u v w x y z", "a B c d e f", "u v w x y z", None], [5, 5, 7, 9, 5])
+    assert sorted((r["doc_id"], r["n_shingles"], r["component_id"]) for r in near_dup.near_duplicates(two).collect()) == [(5, 0, 5), (5, 2, 5), (5, 2, 5), (7, 2, 5), (9, 2, 5)]
     odd = near_dup.near_duplicates(docs(spark, ["a b c d e f", "a b c d e f"], [None, 4])).collect()
     assert sorted((str(r["component_id"]), r["kept"]) for r in odd) == [("4", True), ("None", True)]
     assert near_dup.near_duplicates(df.limit(0)).count() == 0
@@ -237,13 +239,37 @@ def test_regions_are_whole_where_small():
     rng = np.random.default_rng(0)
     v = rng.integers(0, 3, (200, 3)).astype(np.uint32)
     v = v[np.lexsort(v.T[::-1])]
-    roots = rng.integers(0, 40, 200)
-    i, j, large = near_dup.region_pairs(v, np.zeros(200, int), roots, 1000)
-    assert not large and set(zip(i.tolist(), j.tolist(), strict=True)) == {(a, b) for a in range(200) for b in range(a + 1, 200) if v[a, 0] == v[b, 0] and roots[a] != roots[b]}
-    i, j, large = near_dup.region_pairs(v, np.zeros(200, int), roots, 4)
-    assert large and all(b - a > 4 and len({tuple(x) for x in v[a:b]}) == 1 for a, b in large)
-    i, j = near_dup.next_pairs(v, np.zeros(200, int), 2)
-    assert set(zip(i.tolist(), j.tolist(), strict=True)) == {(a, b) for a in range(200) for b in (a + 1, a + 2) if b < 200 and v[a, 0] == v[b, 0]}
+    roots, tree = rng.integers(0, 40, 200), np.zeros(200, int)
+    pairs = lambda i, j: set(zip(i.tolist(), j.tolist(), strict=True))
+    i, j, starts, ends = near_dup.region_pairs(v, tree, roots, 1000)
+    assert pairs(i, j) == {(a, b) for a in range(200) for b in range(a + 1, 200) if v[a, 0] == v[b, 0] and roots[a] != roots[b]}
+    assert [tuple(set(v[a:b, 0].tolist())) for a, b in zip(starts, ends, strict=True)] == [(0,), (1,), (2,)]
+    i, j, *_ = near_dup.region_pairs(v, tree, roots, 10)
+    want = {(a, a + 1) for a in range(199) if v[a, 0] == v[a + 1, 0]} | {(a, b) for a in range(200) for b in range(a + 1, 200) if (v[a] == v[b]).all() and (v == v[a]).all(1).sum() <= 10}
+    assert {(a, b) for a, b in want if roots[a] != roots[b]} <= pairs(i, j)
+    assert all(x.size == 0 for x in near_dup.region_pairs(v[:0], tree[:0], roots[:0], 10))
+
+
+def test_spanning_joins_all_that_pairs_join():
+    u, v, alike = np.array([1, 2, 1, 5, 6, 2]), np.array([2, 3, 3, 6, 5, 1]), np.array([5, 9, 7, 1, 2, 9])
+    assert near_dup.spanning(u, v, alike).tolist() == [1, 5, 4]
+
+
+@pytest.mark.parametrize("edges_a_task", [1000, 7])
+def test_components(spark, tmp_path, monkeypatch, edges_a_task):
+    monkeypatch.setattr(near_dup, "LOCAL_EDGES", edges_a_task)
+    rng = random.Random(1)
+    pairs = [(i, i + 1) for i in range(100, 160)] + [(rng.randrange(300, 400), rng.randrange(300, 400)) for _ in range(60)] + [(500, 500 + i) for i in range(30)] + [(9, 9), (160, 7)]
+    parent = {x: x for p in pairs for x in p}
+
+    def find(x):
+        return x if parent[x] == x else find(parent[x])
+
+    for a, b in pairs:
+        a, b = sorted((find(a), find(b)))
+        parent[b] = a
+    got = near_dup.components(spark.createDataFrame(pairs, "u bigint, v bigint"), f"file://{tmp_path}").collect()
+    assert {r["id"]: r["root"] for r in got} == {x: find(x) for x in parent if find(x) != x}
 
 
 def test_borders_between_ranges(spark, corpus, monkeypatch):
@@ -254,7 +280,7 @@ def test_borders_between_ranges(spark, corpus, monkeypatch):
 
 def test_large_regions_lose_nothing(spark, corpus, monkeypatch):
     """With tiny regions and orders of one value, links come from the exact last step."""
-    for name, value in (("REGION", 2), ("NEAREST", 1), ("DEPTH", 1), ("RANGE_ROWS", 100)):
+    for name, value in (("REGION", 2), ("DEPTH", 1), ("RANGE_ROWS", 100), ("FIRST_TREES", 1)):
         monkeypatch.setattr(near_dup, name, value)
     got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in near_dup.near_duplicates(docs(spark, corpus)).collect()}
     assert got == plain_components(corpus)
@@ -275,7 +301,7 @@ def passage_pairs():
 
 def test_split_regions_lose_nothing(spark, passage_pairs, monkeypatch):
     """Pairs that part within a region too large for all its pairs."""
-    for name, value in (("TREES", 4), ("REGION", 8), ("NEAREST", 1)):
+    for name, value in (("TREES", 4), ("REGION", 8), ("FIRST_TREES", 1), ("SAFE_TREES", 4)):
         monkeypatch.setattr(near_dup, name, value)
     got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in near_dup.near_duplicates(docs(spark, passage_pairs)).collect()}
     assert got == plain_components(passage_pairs)
