@@ -95,6 +95,13 @@ def clean_cell(c: Column, as_of_year: int) -> Column:
     return let(T.strip(c), lambda raw: let(separators(raw), lambda norm: let(repair_years(norm, as_of_year), lambda fixed: decide(raw, norm, fixed))))
 
 
+def whole_cell(c: Column) -> Column:
+    """struct(date, action) of a cell that is a date, with a time after it or without; nothing is repaired or extracted."""
+    without_time = lambda raw: F.regexp_replace(raw, r"[T ]\d{1,2}:\d{2}(:\d{2})?.*$", "")
+    timed = lambda raw: F.when(F.rlike(raw, F.lit(r"\d{1,2}:\d{2}")), "Stripped Time").otherwise("")
+    return let(T.strip(c), lambda raw: let(F.coalesce(parse(raw), parse(without_time(raw))), lambda d: F.struct(d.alias("date"), F.when(d.isNotNull(), timed(raw)).otherwise("").alias("action"))))
+
+
 def within_bounds(c: Column, as_of: str, min_year: int = 1900, max_future_years: int = 1) -> Column:
     """The parsed date if its year is min_year or later and it's no later than as_of plus 365 days a year."""
     last = F.date_add(F.lit(as_of).cast("date"), 365 * max_future_years)

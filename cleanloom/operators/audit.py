@@ -11,6 +11,7 @@ from .. import vocabulary as V
 from ..functions import dates
 from ..functions import text as T
 from . import rows
+from .headers import any_header
 
 #: Kinds of cells, the strongest last.
 KINDS = ("missing", "outlier", "median", "imputed")
@@ -37,6 +38,7 @@ class AuditTrail:
         return self.report().groupBy("reason", "column").agg(F.count(F.lit(1)).alias("changes"))
 
 
+@any_header
 def clean_dates(df: DataFrame, columns: Sequence[str], key: Sequence[str], as_of_year: int, sequence: Sequence[str] = (), flag: str = "is_chronology_invalid") -> tuple[DataFrame, DataFrame]:
     """Dates as ISO text, and flag: a later column's date lies before an earlier one's. Anomalies: key..., column_name, original_value, action_taken."""
     if lost := [c for c in [*columns, *sequence] if c not in df.columns]:
@@ -55,6 +57,7 @@ def clean_dates(df: DataFrame, columns: Sequence[str], key: Sequence[str], as_of
     return out, anomalies
 
 
+@any_header
 def bounded_dates(df: DataFrame, columns: Sequence[str], as_of: str, min_year: int = 1900, max_future_years: int = 1) -> tuple[DataFrame, DataFrame]:
     """ISO dates within bounds, others null; and column, invalid, future, ancient, changed."""
     iso = {c: F.date_format(dates.within_bounds(F.col(c).cast("string"), as_of, min_year, max_future_years), "yyyy-MM-dd") for c in columns}
@@ -64,11 +67,13 @@ def bounded_dates(df: DataFrame, columns: Sequence[str], as_of: str, min_year: i
     return df.select(*(iso[c].alias(c) if c in columns else F.col(c) for c in df.columns)), df.agg(F.array(*facts).alias("x")).select(F.explode("x").alias("x")).select("x.*")
 
 
+@any_header
 def fixed_dates(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """ISO text where the cell parses, the cell as it was otherwise."""
     return df.select(*(F.coalesce(F.date_format(dates.parse(F.col(c).cast("string")), "yyyy-MM-dd"), F.col(c).cast("string")).alias(c) if c in columns else c for c in df.columns))
 
 
+@any_header
 def cell_kinds(df: DataFrame, key: Sequence[str], numbers: Sequence[str], texts: Sequence[str]) -> DataFrame:
     """key..., column of missing cells: null numbers, and null, blank or placeholder text."""
     told = [F.struct(F.lit(c).alias("column"), F.col(c).isNull().alias("hit")) for c in numbers]
@@ -88,6 +93,7 @@ def notes(templates: Sequence, existing=None):
     return F.array_join(F.array(*parts), " | ")
 
 
+@any_header
 def row_audit(df: DataFrame, types: dict[str, str], notes_col: str = "Notes") -> DataFrame:
     """Checks each cell against its column's type again (numeric, date) and adds notes of those that fail."""
     from ..functions import numeric
@@ -103,24 +109,28 @@ def row_audit(df: DataFrame, types: dict[str, str], notes_col: str = "Notes") ->
     return df.select(*keep, notes(told or [F.lit(None).cast("string")], old).alias(notes_col))
 
 
+@any_header
 def coverage(df: DataFrame, changes: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """cells_checked, cells_modified, coverage_pct."""
-    checked = df.agg((F.count(F.lit(1)) * len(columns)).alias("cells_checked"))
+    """cells_checked (of the columns that were checked), cells_modified, coverage_pct of all the table's cells."""
+    checked = df.agg((F.count(F.lit(1)) * len(columns)).alias("cells_checked"), (F.count(F.lit(1)) * len(rows.visible(df))).alias("cells"))
     done = changes.agg(F.count(F.lit(1)).alias("cells_modified"))
-    return checked.crossJoin(done).select("cells_checked", "cells_modified", F.lit(100.0).alias("coverage_pct"))
+    return checked.crossJoin(done).select("cells_checked", "cells_modified", F.round(100.0 * F.col("cells_checked") / F.greatest("cells", F.lit(1)), 2).alias("coverage_pct"))
 
 
+@any_header
 def highlighted(df: DataFrame, status_columns: Sequence[str], original: Sequence[str] = ("Original Value", "Populated", "Original")) -> DataFrame:
     """Adds _highlight: names of columns whose status isn't original."""
     hits = [F.when(F.col(s).isNotNull() & ~F.col(s).isin(*original), s.removesuffix("_imputation_status")) for s in status_columns]
     return df.withColumn("_highlight", F.array_compact(F.array(*hits)))
 
 
+@any_header
 def shifted(before: DataFrame, after: DataFrame, key: Sequence[str], typed_columns: Sequence[str]) -> DataFrame:
     """Changed cells of columns that aren't declared numeric or date."""
     return rows.changed_cells(before, after, key, [c for c in rows.visible(before) if c not in typed_columns and c not in key])
 
 
+@any_header
 def many_nulls(df: DataFrame, least: float = 0.2) -> DataFrame:
     """column, null_share of columns with more nulls than that."""
     columns = rows.visible(df)

@@ -12,6 +12,8 @@ from .. import vocabulary as V
 from ..functions import dates, numeric
 from ..functions import text as T
 from . import rows
+from .headers import any_header
+from .quantiles import quantiles
 
 #: Columns that one aggregate takes, so that generated code stays compilable.
 GROUP_OF_COLUMNS = 50
@@ -34,18 +36,22 @@ def first_header(columns: Sequence[str], keywords: Sequence[str]) -> str | None:
     return next((c for c in columns if header_has(c, keywords)), None)
 
 
+@any_header
 def phone_column(df: DataFrame) -> str | None:
     return first_header(rows.visible(df), [k for k in V.PHONE_HEADERS if k not in ("number", "رقم")])
 
 
+@any_header
 def descriptive_columns(df: DataFrame) -> list[str]:
     return [c for c in rows.text_columns(df) if header_has(c, V.DESCRIPTIVE_HEADERS)]
 
 
 def is_financial(name: str) -> bool:
-    return header_has(name, V.FINANCIAL_HEADERS)
+    """Whether a financial keyword stands anywhere in the header, within words as well."""
+    return any(k in str(name).lower() for k in V.FINANCIAL_HEADERS)
 
 
+@any_header
 def imputation_guides(df: DataFrame) -> tuple[str | None, str | None]:
     """(fine, coarse) by the priority of headers."""
 
@@ -55,14 +61,15 @@ def imputation_guides(df: DataFrame) -> tuple[str | None, str | None]:
     return choose(V.FINE_GUIDES), choose(V.COARSE_GUIDES)
 
 
+@any_header
 def evidence(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """A row a column: what its cells look like. One pass (one a group of GROUP_OF_COLUMNS)."""
     columns = list(columns or rows.visible(df))
     out = None
     for first in range(0, len(columns), GROUP_OF_COLUMNS):
         part = columns[first : first + GROUP_OF_COLUMNS]
-        facts = df.agg(*(_facts(F.col(c)).alias(c) for c in part))
-        long = facts.select(F.explode(F.array(*(F.struct(F.lit(c).alias("column"), F.col(f"`{c}`").alias("f")) for c in part))).alias("x")).select("x.column", "x.f.*")
+        long = df.agg(F.array(*(F.struct(F.lit(c).alias("column"), _facts(F.col(rows.quoted(c))).alias("f")) for c in part)).alias("x"))
+        long = long.select(F.explode("x").alias("x")).select("x.column", "x.f.*")
         out = long if out is None else out.unionByName(long)
     counts = rows.cells(df, [], columns).where("value IS NOT NULL").groupBy("column", "value").agg(F.lit(1)).groupBy("column").agg(F.count(F.lit(1)).alias("__distinct"))
     return out.join(counts, "column", "left").select("column", "total", "filled", F.coalesce("__distinct", F.lit(0)).alias("distinct_values"), *out.columns[3:])
@@ -81,6 +88,7 @@ def _facts(c: Column) -> Column:
         share(F.rlike(s, F.lit(V.EMAIL)), there).alias("emails"), share(F.rlike(s, F.lit(V.PHONE)) & (F.length(F.regexp_replace(s, r"\D", "")) >= 7), there).alias("phones"),
         share(T.language(s) == "ar", there).alias("arabic"), share(T.language(s) == "en", there).alias("english"), share(T.language(s) == "mixed", there).alias("mixed"),
         share(F.rlike(s, F.lit(r"\d")) & F.rlike(s, F.lit(r"\p{L}")), there).alias("digits_and_letters"), share(numeric.mixed_number(s).isNotNull(), there).alias("mixed_numbers"),
+        share(F.contains(s, F.lit("@")) & F.contains(s, F.lit(".")), there).alias("at_signs"),
     )
 
 
@@ -128,55 +136,105 @@ def personal_data(e) -> str | None:
     return "Email" if (e["emails"] or 0) > 0.5 else "Phone" if (e["phones"] or 0) > 0.5 else None
 
 
-def types(df: DataFrame) -> dict[str, dict]:
-    """For each column: type, engine_type, language, pii, date and the evidence."""
+@any_header
+def facts(df: DataFrame, columns: Sequence[str] | None = None) -> dict[str, dict]:
+    """The rows of evidence by their columns, for the functions below that take them."""
+    return {r["column"]: r.asDict() for r in evidence(df, columns).collect()} if columns is None or columns else {}
+
+
+@any_header
+def types(df: DataFrame, found: dict[str, dict] | None = None) -> dict[str, dict]:
+    """For each column: type, engine_type, language, pii, date and the evidence. found: the facts, where they are known."""
     kinds = {f.name: f.dataType.typeName() for f in df.schema}
     out = {}
-    for e in evidence(df).collect():
-        e, name = e.asDict(), e["column"]
+    for name, e in (facts(df) if found is None else found).items():
         kind = column_type(name, kinds[name], e)
         out[name] = e | {"type": kind, "engine_type": engine_type(e), "language": _language(e) if kind == "text" else "other", "pii": personal_data(e), "date": is_date(name, kinds[name], e)}
     return out
 
 
-def numbers_in_text(df: DataFrame, least_parsed: float = 0.5) -> list[str]:
+@any_header
+def numbers_in_text(df: DataFrame, least_parsed: float = 0.5, found: dict[str, dict] | None = None) -> list[str]:
     """Text columns whose cells hold digits and letters and mostly come out as numbers."""
-    found = evidence(df, rows.text_columns(df)).where((F.col("digits_and_letters") > 0) & (F.col("mixed_numbers") >= least_parsed)) if rows.text_columns(df) else None
-    return [r["column"] for r in found.collect()] if found is not None else []
+    text = rows.text_columns(df)
+    found = facts(df, text) if found is None else found
+    return [c for c in text if (found[c]["digits_and_letters"] or 0) > 0 and (found[c]["mixed_numbers"] or 0) >= least_parsed]
+
+
+def first_cells(df: DataFrame, column: str, order_by: Sequence[str], most: int) -> DataFrame:
+    """value (as text) of the first filled cells."""
+    c = F.col(rows.quoted(column))
+    return df.where(c.isNotNull()).orderBy(*order_by).limit(most).select(c.cast("string").alias("value"))
+
+
+@any_header
+def polish_dates(df: DataFrame, order_by: Sequence[str], sample: int = 5) -> list[str]:
+    """Date columns before export: by a keyword anywhere in the header, by type, or where any of the first filled cells is a date."""
+    kinds, out = {f.name: f.dataType.typeName() for f in df.schema}, []
+    for c in rows.visible(df):
+        if any(k in c.lower() for k in V.POLISH_DATE_HEADERS) or kinds[c] in ("date", "timestamp", "timestamp_ntz"):
+            out.append(c)
+        elif kinds[c] == "string" and not first_cells(df, c, order_by, sample).where(dates.parse(F.col("value")).isNotNull() & ~F.rlike(T.strip(F.col("value")), F.lit(V.NUMBER))).isEmpty():
+            out.append(c)
+    return out
+
+
+@any_header
+def polish_numbers(df: DataFrame) -> list[str]:
+    """Numeric columns before export: by type alone."""
+    return [c for c in rows.numeric_columns(df) if not c.startswith("_") and c != "System_Notes"]
+
+
+@any_header
+def engine_columns(df: DataFrame) -> tuple[list[str], list[str]]:
+    """(numeric, dates) by shares of all filled cells: 0.85 are numbers once commas and blanks are gone; 0.75 are dates."""
+    found = {r["column"]: r for r in evidence(df).collect()}
+    numeric = [c for c in found if c in rows.numeric_columns(df) or (found[c]["filled"] and found[c]["castable"] >= 0.85)]
+    return numeric, [c for c, e in found.items() if e["filled"] and e["dates"] >= 0.75]
+
+
+@any_header
+def digits_and_letters(df: DataFrame) -> list[str]:
+    """Columns in which some cell has a digit and some cell, the same or another, a letter."""
+    columns = rows.visible(df)
+    has = lambda c, p: F.coalesce(F.bool_or(F.rlike(F.col(rows.quoted(c)).cast("string"), F.lit(p))), F.lit(False))
+    got = df.agg(F.array(*(has(c, r"\p{Nd}") & has(c, r"\p{L}") for c in columns))).first()[0]
+    return [c for c, hit in zip(columns, got, strict=True) if hit]
 
 
-def name_columns(df: DataFrame) -> list[str]:
+@any_header
+def name_columns(df: DataFrame, found: dict[str, dict] | None = None) -> list[str]:
     by_header = [c for c in rows.visible(df) if header_has(c, V.NAME_HEADERS)]
     rest = [c for c in rows.text_columns(df) if c not in by_header]
-    found = [r["column"] for r in evidence(df, rest).where("filled > 0 AND mean_words BETWEEN 1 AND 4 AND distinct_values < 0.6 * total").collect()] if rest else []
-    return by_header + found
+    found = facts(df, rest) if found is None else found
+    return by_header + [c for c in rest if found[c]["filled"] and 1 <= (found[c]["mean_words"] or 0) <= 4 and found[c]["distinct_values"] < 0.6 * found[c]["total"]]
 
 
-def categorical_columns(df: DataFrame) -> list[str]:
+@any_header
+def categorical_columns(df: DataFrame, found: dict[str, dict] | None = None) -> list[str]:
     """Text columns with nulls that aren't personal data or identifiers."""
     text = rows.text_columns(df)
-    if not text:
-        return []
-    at_sign = df.agg(*(share(F.contains(F.col(c), F.lit("@")) & F.contains(F.col(c), F.lit(".")), F.col(c).isNotNull()).alias(c) for c in text)).first()
-    found = {r["column"]: r for r in evidence(df, text).collect()}
-    return [c for c, e in found.items() if 0 < e["filled"] < e["total"] and (at_sign[c] or 0) <= 0.5 and (e["phones"] or 0) <= 0.5 and e["distinct_values"] <= 0.8 * e["total"]]
+    found = facts(df, text) if found is None else found
+    return [c for c in text if 0 < (e := found[c])["filled"] < e["total"] and (e["at_signs"] or 0) <= 0.5 and (e["phones"] or 0) <= 0.5 and e["distinct_values"] <= 0.8 * e["total"]]
 
 
-def context_columns(df: DataFrame, target: str, most: int = 5) -> list[str]:
+@any_header
+def context_columns(df: DataFrame, target: str, most: int = 5, found: dict[str, dict] | None = None) -> list[str]:
     """Text columns of few values, fewest first."""
     text = [c for c in rows.text_columns(df) if c != target]
-    if not text:
-        return []
-    found = evidence(df, text).where("filled > 0 AND distinct_values < 0.3 * total").orderBy(F.col("distinct_values") / F.col("total"), "column").limit(most)
-    return [r["column"] for r in found.collect()]
+    found = facts(df, text) if found is None else found
+    few = [c for c in text if found[c]["filled"] and found[c]["distinct_values"] < 0.3 * found[c]["total"]]
+    return sorted(few, key=lambda c: (found[c]["distinct_values"] / found[c]["total"], c))[:most]
 
 
+@any_header
 def value_shares(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """column, filled, distinct_values (case aside), top_share: by one exchange over the cells."""
     counts = rows.cells(df, [], columns).where("value IS NOT NULL").groupBy("column", F.lower("value").alias("v")).agg(F.count(F.lit(1)).alias("n"))
     return counts.groupBy("column").agg(F.sum("n").alias("filled"), F.count(F.lit(1)).alias("distinct_values"), (F.max("n") / F.sum("n")).alias("top_share"))
 
 
+@any_header
 def roles(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """column, role (boolean, datetime, numeric, categorical, identifier, text, empty), filled, distinct_ratio, top_share."""
     columns = list(columns or rows.visible(df))
@@ -189,19 +247,21 @@ def roles(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     return facts.join(seen, "column", "left").select("column", role.alias("role"), F.coalesce("filled", F.lit(0)).alias("filled"), "distinct_ratio", "top_share")
 
 
+@any_header
 def context_guides(df: DataFrame, columns: Sequence[str] | None = None) -> tuple[str | None, str | None]:
     """(fine, coarse): the first two categorical columns by top share, then fewer distinct values, then more filled cells."""
     ranked = roles(df, columns).where("role = 'categorical'").orderBy(F.desc("top_share"), "distinct_ratio", F.desc("filled"), "column").limit(2).collect()
     return tuple([r["column"] for r in ranked] + [None, None])[:2]
 
 
+@any_header
 def grouping_scores(df: DataFrame, value: str, groups: Sequence[str], least: float = 0.02) -> DataFrame:
     """group, score: variance of the group's median (a row) over the value's variance, times the share of rows that it covers; groups below `least` or alone are left out."""
     v = F.col(value).cast("double")
     whole = df.agg(F.var_samp(v).alias("__var"), F.count(v).alias("__n"))
     out = None
     for g in groups:
-        med = df.where(F.col(g).isNotNull()).groupBy(g).agg(F.median(v).alias("m"), F.count(v).alias("n")).where("n > 0")
+        med = quantiles(df.where(F.col(g).isNotNull()), v, [0.5], [F.col(g)]).select(F.col("__q")[0].alias("m"), F.col("__n").alias("n")).where("n > 0")
         # The sample variance of medians repeated n times.
         stats = med.agg(F.sum("n").alias("n"), (F.sum(F.col("m") * F.col("n")) / F.sum("n")).alias("mean"), F.sum(F.col("m") * F.col("m") * F.col("n")).alias("squares"), F.count(F.lit(1)).alias("groups"))
         spread = (F.col("squares") - F.col("n") * F.col("mean") * F.col("mean")) / (F.col("n") - 1)
@@ -210,6 +270,7 @@ def grouping_scores(df: DataFrame, value: str, groups: Sequence[str], least: flo
     return out.where(F.col("score") >= least)
 
 
+@any_header
 def best_grouping(df: DataFrame, value: str, groups: Sequence[str]) -> str | None:
     groups = [g for g in groups if g != value]
     if not groups:
@@ -218,6 +279,7 @@ def best_grouping(df: DataFrame, value: str, groups: Sequence[str]) -> str | Non
     return found[0]["group"] if found else None
 
 
+@any_header
 def predictiveness(df: DataFrame, target: str, features: Sequence[str]) -> DataFrame:
     """feature, spread: the mean over the feature's groups of distinct targets a row, the worst first."""
     out = None

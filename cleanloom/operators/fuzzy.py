@@ -1,8 +1,9 @@
 """Fuzzy harmonisation. Only distinct values are compared, never rows.
 
 Where a function has a bound of distinct values (max_unique, a preset's), it also bounds what reaches the driver: the values with
-their counts. The leader rule is greedy and so depends on order; it runs there, with scores from the functions below. The majority,
-names and phones have no bound: all their distinct values are scored, in distributed passes, and the driver gets those that are mapped.
+their counts. The leader rule is greedy and so depends on order; it runs there, with scores from the functions below. Token sets,
+the majority, names and phones have no bound: all their distinct values are scored, in distributed passes, and the driver gets those
+that are mapped.
 """
 
 from __future__ import annotations
@@ -14,9 +15,12 @@ from collections.abc import Callable, Iterator, Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .. import tables
 from .. import vocabulary as V
 from ..functions import text as T
 from . import detect, rows
+from .rows import quoted
+from .headers import any_header
 
 MAPPING = "column string, old_value string, new_value string, method string, score double"
 
@@ -102,12 +106,6 @@ def edit_distance(a: str, b: str) -> int:
 # Clusters.
 
 
-def value_counts(df: DataFrame, column: str, most: int) -> list[tuple[str, int]]:
-    """(value, n) by falling n, then value: at most `most` + 1 of them."""
-    got = df.where(F.col(column).isNotNull()).groupBy(column).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), column).limit(most + 1).collect()
-    return [(r[0], r[1]) for r in got]
-
-
 def greedy(values: Sequence[str], alike: Callable[[str, str], float | None]) -> list[list[tuple[str, float | None]]]:
     """Clusters in the order of their leaders; each value joins the first leader that it is alike to."""
     clusters: list[list[tuple[str, float | None]]] = []
@@ -122,18 +120,43 @@ def greedy(values: Sequence[str], alike: Callable[[str, str], float | None]) ->
     return clusters
 
 
-def token_set_mapping(df: DataFrame, column: str, threshold: float = 90, max_unique: int = 1000, normalise: bool = False) -> list[tuple]:
-    """Rows of MAPPING: leaders by frequency; the canonical value is the most frequent of its cluster. Beyond max_unique distinct values only the most frequent take part."""
-    if normalise:
-        df = df.select(T.arabic_for_matching(F.col(column)).alias(column))
-    counts = value_counts(df, column, max_unique)[:max_unique]
-    n = dict(counts)
-    clusters = greedy([v for v, _ in counts], lambda a, b: s if (s := token_set_ratio(a, b)) >= threshold else None)
-    out = []
-    for c in clusters:
-        best = max(c, key=lambda x: (n[x[0]], [-ord(ch) for ch in x[0]]))[0]
-        out += [(column, v, best, "token_set", s or 100.0) for v, s in c if v != best]
-    return out
+@any_header
+def spellings(df: DataFrame, columns: Sequence[str], normalise: Callable | None = None) -> DataFrame:
+    """column, value, form, n: the filled spellings of columns, their normal forms, how many rows have them."""
+    form = T.strip(normalise(F.col("value")) if normalise else F.col("value"))
+    return rows.cells(df, [], columns).groupBy("column", "value").agg(F.count(F.lit(1)).alias("n")).select("column", "value", form.alias("form"), "n").where("form <> ''")
+
+
+@any_header
+def token_set_mapping(df: DataFrame, columns: Sequence[str], threshold: float = 90, max_unique: int | None = None, normalise: Callable | None = None) -> list[tuple]:
+    """Rows of MAPPING: leaders by the frequency of forms; the canonical value is the most frequent spelling of its cluster (ties: the smallest).
+
+    All columns go through the same few jobs. With max_unique, only so many spellings of each, the most frequent, take part.
+    """
+    if not columns:
+        return []
+    spelt = spellings(df, columns, normalise)
+    if max_unique:
+        spelt = rows.union_all([spelt.where(F.col("column") == c).orderBy(F.desc("n"), "value").limit(max_unique) for c in columns])
+    spelt = tables.written(spelt, "spellings")
+    forms = spelt.groupBy("column", F.col("form").alias("value")).agg(F.sum("n").alias("n"))
+    clusters = greedy_columns(forms, lambda a, b: s if (s := token_set_ratio(a, b)) >= threshold else None)
+    led = df.sparkSession.createDataFrame([(k, v, c[0][0], s) for k, own in clusters.items() for c in own for v, s in c], "column string, form string, leader string, score double")
+    led = spelt.join(led, ["column", "form"], "left").withColumn("leader", F.coalesce("leader", "form"))
+    master = led.groupBy("column", "leader").agg(F.min_by("value", F.struct(-F.col("n"), F.col("value"))).alias("master"), F.count(F.lit(1)).alias("__n")).where("__n > 1")
+    found = led.join(master, ["column", "leader"]).where("value <> master").select("column", "value", "master", F.coalesce("score", F.lit(100.0)).alias("score"))
+    return sorted((r["column"], r["value"], r["master"], "token_set", r["score"]) for r in found.collect())
+
+
+def greedy_columns(values: DataFrame, alike: Callable[[str, str], float | None]) -> dict[str, list[list[tuple[str, float | None]]]]:
+    """The clusters of each column of values (column, value, n). Columns of at most LEADERS values come to the driver together."""
+    values = tables.written(values, "forms")
+    size = {r["column"]: r["__n"] for r in values.groupBy("column").agg(F.count(F.lit(1)).alias("__n")).collect()}
+    small: dict[str, list] = {c: [] for c, n in size.items() if n <= LEADERS}
+    for r in values.where(F.col("column").isin(*small)).collect() if small else []:
+        small[r["column"]].append((-r["n"], r["value"]))
+    out = {c: [x for x in greedy([v for _, v in sorted(own)], alike) if len(x) > 1] for c, own in small.items()}
+    return out | {c: greedy_all(values.where(F.col("column") == c).select("value", "n"), alike) for c in size if c not in small}
 
 
 #: Values that the driver takes at a time to find leaders among.
@@ -162,13 +185,18 @@ def _scored(values: DataFrame, leaders: Sequence[str], alike: Callable[[str, str
     return values.mapInPandas(run, "value string, n bigint, leader string, score double")
 
 
-def greedy_all(df: DataFrame, column: str, alike: Callable[[str, str], float | None]) -> list[list[tuple[str, float | None]]]:
-    """The clusters of greedy over all distinct values by falling n, then value; single ones are left out.
+def counted(df: DataFrame, column: str) -> DataFrame:
+    """value, n of the filled cells."""
+    return df.where(F.col(column).isNotNull()).groupBy(F.col(column).alias("value")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def greedy_all(values: DataFrame, alike: Callable[[str, str], float | None]) -> list[list[tuple[str, float | None]]]:
+    """The clusters of greedy over all values (value, n) by falling n, then value; single ones are left out.
 
     The driver finds leaders among the next LEADERS values; then all others are scored against these and leave when alike, which is
     the same rule, as each value still joins the first leader in order.
     """
-    rest = df.where(F.col(column).isNotNull()).groupBy(F.col(column).alias("value")).agg(F.count(F.lit(1)).alias("n")).repartition(df.sparkSession.sparkContext.defaultParallelism, "value").localCheckpoint()
+    rest = tables.written(values, "values")
     out = []
     while True:
         some = rest.orderBy(F.desc("n"), "value").limit(LEADERS).collect()
@@ -180,40 +208,51 @@ def greedy_all(df: DataFrame, column: str, alike: Callable[[str, str], float | N
             return [c for c in out if len(c) > 1]
         last = some[-1]
         later = rest.where((F.col("n") < last["n"]) | ((F.col("n") == last["n"]) & (F.col("value") > last["value"])))
-        scored = _scored(later, list(clusters), alike).localCheckpoint()
+        scored = tables.written(_scored(later, list(clusters), alike), "values")
         for r in scored.where("leader IS NOT NULL").orderBy(F.desc("n"), "value").collect():
             clusters[r["leader"]].append((r["value"], r["score"]))
         rest = scored.where("leader IS NULL").select("value", "n")
 
 
-def majority_mapping(df: DataFrame, column: str, threshold: float = 85) -> list[tuple]:
-    """Values alike to the column's mode become it."""
-    values = df.select(T.strip(F.col(column)).alias("value")).where(F.col("value").isNotNull() & (F.col("value") != "") & ~F.lower("value").isin(*V.MISSING_VALUES))
-    values = values.groupBy("value").agg(F.count(F.lit(1)).alias("n"))
-    first = values.orderBy(F.desc("n"), "value").first()
-    if first is None:
+@any_header
+def majority_mapping(df: DataFrame, columns: Sequence[str], threshold: float = 85) -> list[tuple]:
+    """Values alike to their column's mode become it. All columns go through the same jobs."""
+    if not columns:
         return []
-    mode = first["value"]
-    # The score's sides are the other way round than among leaders.
-    found = _scored(values.where(F.col("value") != mode), [mode], lambda a, v: alike_ratio(v, a, threshold)).where("leader IS NOT NULL")
-    return [(column, r["value"], mode, "sequence", r["score"]) for r in found.orderBy(F.desc("n"), "value").collect()]
+    values = rows.cells(df, [], columns).select("column", T.strip(F.col("value")).alias("value")).where((F.col("value") != "") & ~F.lower("value").isin(*V.MISSING_VALUES))
+    values = tables.written(values.groupBy("column", "value").agg(F.count(F.lit(1)).alias("n")), "values")
+    mode = {r["column"]: r["mode"] for r in values.groupBy("column").agg(F.min_by("value", F.struct(-F.col("n"), F.col("value"))).alias("mode")).collect()}
 
+    def run(batches: Iterator) -> Iterator:
+        import pandas as pd
+
+        for pdf in batches:
+            # The score's sides are the other way round than among leaders.
+            score = [alike_ratio(v, mode[c], threshold) if v != mode[c] else None for c, v in zip(pdf["column"], pdf["value"], strict=True)]
+            yield pdf[["column", "value"]].assign(score=pd.Series(score, dtype="float64", index=pdf.index))
 
+    found = values.select("column", "value").mapInPandas(run, "column string, value string, score double").where("score IS NOT NULL AND NOT isnan(score)")
+    return sorted((r["column"], r["value"], mode[r["column"]], "sequence", r["score"]) for r in found.collect())
+
+
+@any_header
 def name_mapping(df: DataFrame, column: str, threshold: float = 86) -> list[tuple]:
     """Names (normalised before) that are alike to a more frequent one."""
-    clusters = greedy_all(df, column, lambda a, b: alike_ratio(a.lower(), b.lower(), threshold))
+    clusters = greedy_all(counted(df, column), lambda a, b: alike_ratio(a.lower(), b.lower(), threshold))
     return [(column, v, c[0][0], "sequence", s) for c in clusters for v, s in c[1:]]
 
 
+@any_header
 def phone_mapping(df: DataFrame, column: str, threshold: float = 95) -> list[tuple]:
     """International numbers that are alike; the canonical one is the shortest of its cluster, then the smallest."""
     out = []
-    for c in greedy_all(df.where(F.col(column).startswith("+")), column, lambda a, b: s if (s := ratio(a, b)) >= threshold else None):
+    for c in greedy_all(counted(df.where(F.col(column).startswith("+")), column), lambda a, b: s if (s := ratio(a, b)) >= threshold else None):
         best = min((v for v, _ in c), key=lambda v: (len(v), v))
         out += [(column, v, best, "ratio", s or 100.0) for v, s in c if v != best]
     return out
 
 
+@any_header
 def exact_clusters(df: DataFrame, column: str, normalise: Callable = T.arabic_plain) -> DataFrame:
     """raw, normal, n, master: values of one normal form get the most frequent of them (ties: the smallest). Fully distributed."""
     raw = df.select(T.strip(F.col(column)).alias("raw")).where("raw IS NOT NULL").groupBy("raw").agg(F.count(F.lit(1)).alias("n")).withColumn("normal", normalise(F.col("raw")))
@@ -222,6 +261,7 @@ def exact_clusters(df: DataFrame, column: str, normalise: Callable = T.arabic_pl
     return raw.join(master, "normal").select("raw", "normal", "n", "master")
 
 
+@any_header
 def short_pairs(df: DataFrame, column: str, normalise: Callable = T.arabic_plain, shorter_than: int = 4) -> DataFrame:
     """a, b, distance: pairs of normal forms a < b of which one is short, at an edit distance of 1 or less."""
     forms = exact_clusters(df, column, normalise).select("normal").distinct().where(F.length("normal") <= shorter_than)
@@ -231,6 +271,7 @@ def short_pairs(df: DataFrame, column: str, normalise: Callable = T.arabic_plain
     return pairs.select("a", "b", F.levenshtein("a", "b").alias("distance")).where("distance <= 1")
 
 
+@any_header
 def semantic_mapping(df: DataFrame, column: str, config: V.ClusteringConfig = V.PRESETS["BALANCED"], normalise: Callable = T.arabic_plain) -> list[tuple]:
     """Leaders by the frequency of normal forms: forms of fewer than four characters match at an edit distance of 1, others by the weighted ratio; columns outside the bounds are left alone."""
     forms = exact_clusters(df, column, normalise)
@@ -261,30 +302,55 @@ def semantic_mapping(df: DataFrame, column: str, config: V.ClusteringConfig = V.
     return out
 
 
+@any_header
+def weighted_mapping(df: DataFrame, column: str, threshold: float = 80, max_unique: int = 500, min_unique: int = 2, normalise: Callable = T.arabic_plain) -> list[tuple]:
+    """The plain form of semantic clustering: by the weighted ratio of normal forms alone; spellings of a cluster get the most frequent spelling of its leader's form. Columns outside the bounds are left alone."""
+    spelt = tables.written(spellings(df, [column], normalise), "spellings")
+    forms = spelt.groupBy(F.col("form").alias("value")).agg(F.sum("n").alias("n"))
+    if not min_unique <= forms.count() <= max_unique:
+        return []
+    clusters = greedy([r["value"] for r in forms.orderBy(F.desc("n"), "value").collect()], lambda a, b: s if (s := weighted_ratio(a, b)) >= threshold else None)
+    raws: dict[str, list[str]] = {}
+    for r in spelt.orderBy(F.desc("n"), "value").collect():
+        raws.setdefault(r["form"], []).append(r["value"])
+    return [(column, v, raws[c[0][0]][0], "weighted_ratio", s or 100.0) for c in clusters for f, s in c for v in raws[f] if v != raws[c[0][0]][0]]
+
+
+@any_header
+def weighted_harmonise(df: DataFrame, columns: Sequence[str] | None = None, threshold: float = 80, max_unique: int = 500, min_unique: int = 2, normalise: Callable = T.arabic_plain) -> tuple[DataFrame, DataFrame]:
+    found = [m for c in (columns or rows.text_columns(df)) for m in weighted_mapping(df, c, threshold, max_unique, min_unique, normalise)]
+    return apply_mapping(df, found), mapping_frame(df, found)
+
+
 def mapping_frame(df: DataFrame, mapping: Sequence[tuple]) -> DataFrame:
     return df.sparkSession.createDataFrame(list(mapping), MAPPING)
 
 
+@any_header
 def apply_mapping(df: DataFrame, mapping: Sequence[tuple]) -> DataFrame:
-    """Replaces the mapped values (stripped ones match)."""
+    """Replaces the mapped values; outer blanks of a cell and of a mapped value don't count. Rows are neither lost nor repeated."""
     for c in dict.fromkeys(m[0] for m in mapping):
-        small = mapping_frame(df, [m for m in mapping if m[0] == c]).select(F.col("old_value").alias("__old"), F.col("new_value").alias("__new"))
-        df = df.join(small, T.strip(F.col(c)) == F.col("__old"), "left").select(*(F.coalesce("__new", x).alias(x) if x == c else x for x in df.columns))
+        small = mapping_frame(df, [m for m in mapping if m[0] == c])
+        small = small.groupBy(T.strip(F.col("old_value")).alias("__old")).agg(F.min("new_value").alias("__new"))
+        df = df.join(small, T.strip(F.col(quoted(c))) == F.col("__old"), "left").select(*(F.coalesce("__new", quoted(x)).alias(x) if x == c else F.col(quoted(x)) for x in df.columns))
     return df
 
 
+@any_header
 def harmonise(df: DataFrame, columns: Sequence[str] | None = None, config: V.ClusteringConfig = V.PRESETS["BALANCED"], normalise: Callable = T.arabic_plain) -> tuple[DataFrame, DataFrame]:
     """The table with each column's spellings unified, and the mapping with scores."""
     found = [m for c in (columns or rows.text_columns(df)) for m in semantic_mapping(df, c, config, normalise)]
     return apply_mapping(df, found), mapping_frame(df, found)
 
 
-def token_set_harmonise(df: DataFrame, columns: Sequence[str] | None = None, threshold: float = 90, max_unique: int = 1000) -> tuple[DataFrame, DataFrame]:
+@any_header
+def token_set_harmonise(df: DataFrame, columns: Sequence[str] | None = None, threshold: float = 90, max_unique: int | None = None, normalise: Callable | None = T.squeeze) -> tuple[DataFrame, DataFrame]:
     columns = list(columns) if columns is not None else [c for c in rows.text_columns(df) if not detect.header_has(c, V.PHONE_HEADERS)]
-    found = [m for c in columns for m in token_set_mapping(df, c, threshold, max_unique)]
+    found = token_set_mapping(df, columns, threshold, max_unique, normalise)
     return apply_mapping(df, found), mapping_frame(df, found)
 
 
+@any_header
 def clean_names(df: DataFrame, columns: Sequence[str] | None = None, threshold: float = 86) -> tuple[DataFrame, DataFrame]:
     columns = list(columns) if columns is not None else [c for c in detect.name_columns(df) if c in rows.text_columns(df)]
     df = df.select(*(T.person_name(F.col(c)).alias(c) if c in columns else c for c in df.columns))
@@ -292,8 +358,9 @@ def clean_names(df: DataFrame, columns: Sequence[str] | None = None, threshold:
     return apply_mapping(df, found), mapping_frame(df, found)
 
 
+@any_header
 def majority_words(df: DataFrame, columns: Sequence[str] | None = None, threshold: float = 85) -> tuple[DataFrame, DataFrame]:
-    found = [m for c in (columns or rows.text_columns(df)) for m in majority_mapping(df, c, threshold)]
+    found = majority_mapping(df, list(columns if columns is not None else rows.text_columns(df)), threshold)
     return apply_mapping(df, found), mapping_frame(df, found)
 
 
@@ -307,7 +374,8 @@ def shown(mapping: DataFrame, most: int = 200) -> DataFrame:
     return mapping.orderBy("column", "new_value", "old_value").limit(most).select("column", F.format_string("%s -> %s (%s)", "old_value", "new_value", "method").alias("line"))
 
 
+@any_header
 def before_after(df: DataFrame, mapping: DataFrame, column: str, most: int = 6) -> DataFrame:
     """old_value, new_value, n of rows, the most frequent first."""
     mine = mapping.where(F.col("column") == column).select("old_value", "new_value")
-    return df.join(F.broadcast(mine), T.strip(F.col(column)) == F.col("old_value")).groupBy("old_value", "new_value").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "old_value").limit(most)
+    return df.join(mine, T.strip(F.col(column)) == F.col("old_value")).groupBy("old_value", "new_value").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "old_value").limit(most)

@@ -10,13 +10,18 @@ from pyspark.sql import functions as F
 from .. import vocabulary as V
 from ..functions import text as T
 from . import detect, rows, schema
+from .headers import any_header
+from .quantiles import quantiles
 
 
+@any_header
 def numeric_profile(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """A row a column: mean, median, std, min, max, q1, q3 and outliers. Quartiles in one pass, outliers against them in another."""
     v = lambda c: F.col(c).cast("double")
-    first = df.agg(*(F.struct(F.avg(v(c)).alias("mean"), F.percentile(v(c), [0.25, 0.5, 0.75]).alias("q"), F.stddev_samp(v(c)).alias("std"), F.min(v(c)).alias("min"), F.max(v(c)).alias("max")).alias(c) for c in columns))
-    bounds = F.broadcast(first.select(*(F.col(c).alias(f"__s_{i}") for i, c in enumerate(columns))))
+    first = df.agg(*(F.struct(F.avg(v(c)).alias("mean"), F.stddev_samp(v(c)).alias("std"), F.min(v(c)).alias("min"), F.max(v(c)).alias("max")).alias(f"__s_{i}") for i, c in enumerate(columns)))
+    for i, c in enumerate(columns):
+        first = first.crossJoin(F.broadcast(quantiles(df, v(c), [0.25, 0.5, 0.75]).select(F.col("__q").alias("q")))).withColumn(f"__s_{i}", F.struct(f"__s_{i}.*", "q")).drop("q")
+    bounds = F.broadcast(first)
 
     def out(i: int, c: str):
         q1, q3 = F.col(f"__s_{i}.q")[0], F.col(f"__s_{i}.q")[2]
@@ -31,6 +36,7 @@ def numeric_profile(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return long.select("x.column", *stats, *(F.round(F.col("x.s.q")[i], 2).alias(n) for i, n in enumerate(("q1", "median", "q3"))), "x.outliers")
 
 
+@any_header
 def missing(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """column, null_count, null_pct, the most first."""
     columns = list(columns or rows.visible(df))
@@ -39,6 +45,7 @@ def missing(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     return long.select("column", F.coalesce("null_count", F.lit(0)).alias("null_count"), F.coalesce(F.round(100.0 * F.col("null_count") / F.col("__n"), 2), F.lit(0.0)).alias("null_pct")).orderBy(F.desc("null_count"), "column")
 
 
+@any_header
 def frequencies(df: DataFrame, columns: Sequence[str], top: int | None = None) -> DataFrame:
     """column, value, n, and rank by falling n, then value; with `top` the first ones only."""
     counts = rows.cells(df, [], columns).where("value IS NOT NULL").groupBy("column", "value").agg(F.count(F.lit(1)).alias("n"))
@@ -46,6 +53,7 @@ def frequencies(df: DataFrame, columns: Sequence[str], top: int | None = None) -
     return ranked.where(F.col("rank") <= top) if top else ranked
 
 
+@any_header
 def dropping(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """column, null_share, top_share, high_missing, low_variance, recommend_drop."""
     columns = list(columns or rows.visible(df))
@@ -57,6 +65,7 @@ def dropping(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     return out.select("column", "null_share", "top_share", high.alias("high_missing"), low.alias("low_variance"), (high | low).alias("recommend_drop"))
 
 
+@any_header
 def build(df: DataFrame) -> DataFrame:
     """A row a column: type, total, null_count, null_pct, unique, fill_rate, language, pii, recommendations, numeric statistics, top values."""
     spark, kinds = df.sparkSession, detect.types(df)
@@ -74,6 +83,7 @@ def build(df: DataFrame) -> DataFrame:
     return base
 
 
+@any_header
 def quality(df: DataFrame) -> DataFrame:
     """One row: score of 100, and the shares it is made of: missing cells, duplicate rows, duplicate columns, numbers as text."""
     columns, text = rows.visible(df), rows.text_columns(df)
@@ -81,13 +91,16 @@ def quality(df: DataFrame) -> DataFrame:
         return df.sparkSession.createDataFrame([(0.0, 0.0, 0.0, 0.0, 0.0)], "score double, missing double, duplicates double, duplicate_columns double, numbers_as_text double")
     numbers = [F.coalesce(detect.share(F.rlike(T.strip(F.col(c)), F.lit(V.NUMBER)), F.col(c).isNotNull()) >= 0.8, F.lit(False)).cast("int") for c in text]
     cells = df.agg((sum(F.sum(F.col(c).isNull().cast("long")) for c in columns) / (F.count(F.lit(1)) * len(columns))).alias("missing"), (sum(numbers, F.lit(0)) / len(columns)).alias("numbers_as_text"))
-    dup = rows.duplicate_count(df).select((F.col("duplicates") / F.greatest("total", F.lit(1))).alias("duplicates"))
+    dup = rows.duplicate_count(df).select(F.col("total").alias("__rows"), (F.col("duplicates") / F.greatest("total", F.lit(1))).alias("duplicates"))
     twin = len(schema.duplicate_columns(df)) / len(columns)
-    out = cells.crossJoin(dup).select(F.coalesce("missing", F.lit(0.0)).alias("missing"), "duplicates", F.lit(twin).alias("duplicate_columns"), "numbers_as_text")
+    out = cells.crossJoin(dup).select("__rows", F.coalesce("missing", F.lit(0.0)).alias("missing"), "duplicates", F.lit(twin).alias("duplicate_columns"), "numbers_as_text")
     score = 40 * (1 - F.col("missing")) + 20 * (1 - F.col("duplicates")) + 10 * (1 - F.col("duplicate_columns")) + 30 * (1 - F.col("numbers_as_text"))
+    # A table without cells has no quality.
+    score = F.when(F.col("__rows") > 0, score).otherwise(0.0)
     return out.select(F.round(score, 1).alias("score"), "missing", "duplicates", "duplicate_columns", "numbers_as_text")
 
 
+@any_header
 def language_tally(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """column, language, n over the cells."""
     return rows.cells(df, [], columns).where("value IS NOT NULL").groupBy("column", T.language(F.col("value")).alias("language")).agg(F.count(F.lit(1)).alias("n"))

@@ -228,7 +228,71 @@ ORACLE_SQL: dict[str, str] = {
     "detect_roles": f"WITH {_DIRTY_ORDERS}, c AS (" + " UNION ALL ".join(f"SELECT '{c}' AS \"column\", lower(CAST({c} AS VARCHAR)) AS v, count(*) AS n FROM o WHERE {c} IS NOT NULL GROUP BY 2" for c in ("o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority", "o_totalprice")) + ") SELECT \"column\", CASE WHEN \"column\" IN ('o_orderkey', 'o_custkey', 'o_totalprice') THEN 'numeric' ELSE 'categorical' END AS role, CAST(sum(n) AS BIGINT) AS filled, round(count(*) / sum(n), 6) AS distinct_ratio, round(max(n) / sum(n), 6) AS top_share FROM c GROUP BY 1",
     "detect_types": "SELECT * FROM (VALUES ('o_orderkey', 'numeric', 'numeric', 'other'), ('shipped', 'date', 'date', 'other'), ('o_totalprice', 'numeric', 'numeric', 'other'), ('o_orderpriority', 'text', 'text', 'en'), ('flag', 'boolean', 'text', 'other')) t(\"column\", type, engine_type, language)",
     "phone_log": f"WITH digits AS (SELECT c_custkey, v, regexp_replace(regexp_replace({_DIGITS('v')}, '[^\\d+]', '', 'g'), '^00', '+') AS d FROM ({_CUST((*Q.PHONES, ''))})), a AS ({_phone(True)}) SELECT count(*) FILTER (p <> v) AS phones_standardized, count(*) FILTER (p = '' AND v <> '') AS invalid_phones, count(*) FILTER (v = '') AS empty_phones FROM a JOIN digits USING (c_custkey)",
-    "schema_empty_cells": f"SELECT c_custkey, nullif({_picked('c_custkey', ('100', '', '', '', '500'))}, '') AS quantity, nullif({_picked('c_custkey', ('a', '', 'N/A'))}, '') AS label FROM customer",
+    "schema_empty_cells": f"SELECT c_custkey, nullif({_picked('c_custkey', ('100', '-', '-', '', '500', '-', '-', 'n/a', '-'))}, '-') AS quantity, nullif({_picked('c_custkey', ('a', '', 'N/A', 'null'))}, '') AS label FROM customer",
     "rows_filter_outliers": "SELECT event_id, user_id, value FROM events, (SELECT quantile_cont(value, 0.25) AS q1, quantile_cont(value, 0.75) AS q3 FROM events) WHERE value < q1 - 1.5 * (q3 - q1) OR value > q3 + 1.5 * (q3 - q1)",
     "cluster_phones": f"SELECT CASE WHEN v = '+201012345678' THEN '+20101234567' ELSE v END AS phone, count(*) AS n FROM ({_CUST(('+201012345678', '+201012345678', '+20101234567', '+966512345678', 'none'))}) GROUP BY 1",
 }
+
+
+def _rows(columns: str, *values: str) -> str:
+    return f"SELECT * FROM (VALUES {', '.join(f'({v})' for v in values)}) t({columns})"
+
+
+def _pick(values: Sequence[str], alias: str) -> str:
+    return f"{_picked('c_custkey', values)} AS {alias}"
+
+
+#: Spellings with one meaning: what each value of the queries becomes. Counts decide, as every value stands for as many rows as it has places.
+_BRANDS_TO = ("red car", "red car", "red car", "red car", "blue bike", "blue bike", "blue bike", "blue bike", "green boat")
+_DEVICES_TO = ("Wireless Mouse", "Wireless Mouse", "Wireless Mouse", "Wireless Mouse", "Keyboard", "Keyboard", "Keyboard", "Wireless Mouse", "Lamp")
+_SEGMENT = "CASE WHEN c_custkey % 10 = 0 THEN ' furnitur' WHEN c_custkey % 10 = 7 THEN 'furnitur' WHEN c_custkey % 3 = 0 THEN 'machinery' ELSE 'furniture' END"
+_CLEAN_NUMBER = "TRY_CAST(regexp_replace(v, '[,\\s]', '', 'g') AS DOUBLE)"
+
+
+def _violations(values: Sequence[str]) -> str:
+    return f"raw AS (SELECT c_custkey, nullif({_picked('c_custkey', values)}, '?') AS v FROM customer), x AS (SELECT *, {_CLEAN_NUMBER} AS number FROM raw)"
+
+
+_LEGACY_CATEGORY = f"WITH {_DIRTY_ORDERS}, {_mode('o', 'o_custkey', 'o_orderstatus', 'm1')}, t AS (SELECT o.*, m1.m AS a, coalesce(o_orderstatus, m1.m) AS v FROM o LEFT JOIN m1 USING (o_custkey)), t2 AS (SELECT *, coalesce(lag(v) OVER w, lead(v) OVER w) AS c FROM t WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderkey)) SELECT o_orderkey, coalesce(v, c, {_MODE_OF_ALL('o', 'o_orderstatus')}) AS o_orderstatus, CASE WHEN o_orderstatus IS NOT NULL THEN NULL WHEN a IS NOT NULL THEN 'Filled by Item Context' WHEN c IS NOT NULL THEN 'Filled by Sequential Neighbor' ELSE 'Populated' END AS status FROM t2"
+
+ORACLE_SQL |= {
+    "detect_polish_columns": _rows('"column", kind', "'shipped', 'date'", "'birthday', 'date'", "'o_orderdate', 'date'", "'o_orderkey', 'numeric'", "'o_totalprice', 'numeric'"),
+    "detect_engine_columns": _rows('"column", kind', "'c_custkey', 'numeric'", "'mostly', 'numeric'", "'moment', 'date'"),
+    "detect_digits_and_letters": _rows('"column"', "'c_name'", "'either'", "'arabic'"),
+    "detect_guides": _rows('role, "column"', "'fine', 'Product Name'", "'coarse', 'Category'", "'phone', 'Mobile No'"),
+    "schema_thresholds": """
+        WITH f AS (SELECT count(*) AS n, min(l_orderkey) AS a, max(l_orderkey) AS b, max(abs(l_quantity)) AS q, max(abs(l_extendedprice * 1000)) AS w, count(DISTINCT l_returnflag) AS r, count(DISTINCT l_orderkey || '-' || l_linenumber) AS d FROM lineitem)
+        SELECT 'l_orderkey' AS "column", 'bigint' AS type, CASE WHEN a >= -2147483648 AND b <= 2147483647 THEN 'int' ELSE 'bigint' END AS recommended FROM f
+        UNION ALL SELECT 'l_linenumber', 'int', 'int' UNION ALL SELECT 'l_quantity', 'double', CASE WHEN q < 1e6 THEN 'float' ELSE 'double' END FROM f
+        UNION ALL SELECT 'wide', 'double', CASE WHEN w < 1e6 THEN 'float' ELSE 'double' END FROM f
+        UNION ALL SELECT 'l_returnflag', 'string', CASE WHEN r < 0.5 * n THEN 'dictionary_candidate' ELSE 'string' END FROM f
+        UNION ALL SELECT 'label', 'string', CASE WHEN d < 0.5 * n THEN 'dictionary_candidate' ELSE 'string' END FROM f""",
+    "schema_downcast": """
+        SELECT CASE WHEN min(l_orderkey) >= -128 AND max(l_orderkey) <= 127 THEN 'tinyint' WHEN min(l_orderkey) >= -32768 AND max(l_orderkey) <= 32767 THEN 'smallint' WHEN min(l_orderkey) >= -2147483648 AND max(l_orderkey) <= 2147483647 THEN 'int' ELSE 'bigint' END AS key_type,
+               CASE WHEN min(l_linenumber) >= -128 AND max(l_linenumber) <= 127 THEN 'tinyint' ELSE 'int' END AS line_type, CASE WHEN bool_and(CAST(CAST(l_quantity AS FLOAT) AS DOUBLE) = l_quantity) THEN 'float' ELSE 'double' END AS quantity_type,
+               CAST(sum(l_orderkey) AS BIGINT) AS keys, CAST(sum(l_linenumber) AS BIGINT) AS lines FROM lineitem""",
+    "schema_number_violations": f"WITH {_violations(('10', '20.5', 'none yet', '1,000', '?', '1 2', ''))} SELECT c_custkey, CASE WHEN v IS NULL THEN median(number) OVER () ELSE number END AS amount, CASE WHEN v IS NOT NULL AND number IS NULL THEN 'amount: ''' || v || ''' is no number' ELSE '' END AS Notes FROM x",
+    "schema_number_cells": f"WITH {_violations(('10', '20.5', 'none yet', '1,000', '?', '1 2', '11', '12', '13', '14'))}, q AS (SELECT quantile_cont(number, 0.25) AS q1, quantile_cont(number, 0.75) AS q3 FROM x) SELECT c_custkey, 'amount' AS \"column\", v AS value, 'missing' AS kind FROM x WHERE v IS NULL UNION ALL SELECT c_custkey, 'amount', v, 'violation' FROM x WHERE v IS NOT NULL AND number IS NULL UNION ALL SELECT c_custkey, 'amount', CASE number WHEN 1000 THEN '1000.0' ELSE CAST(number AS VARCHAR) END, 'outlier' FROM x, q WHERE q3 > q1 AND (number < q1 - 1.5 * (q3 - q1) OR number > q3 + 1.5 * (q3 - q1))",
+    "impute_legacy_numbers": f"WITH {_DIRTY_ORDERS}, f AS (SELECT o_custkey, median(o_totalprice) AS a FROM o GROUP BY 1), g AS (SELECT o_orderpriority, median(o_totalprice) AS b FROM o WHERE o_orderpriority IS NOT NULL GROUP BY 1), h AS (SELECT median(o_totalprice) AS d FROM o) SELECT o_orderkey, round(coalesce(o_totalprice, a, b, d), 4) AS o_totalprice, CASE WHEN o_totalprice IS NOT NULL THEN NULL WHEN a IS NOT NULL THEN 'Filled by Item Context' WHEN b IS NOT NULL THEN 'Filled by Category Fallback' ELSE 'Populated' END AS status FROM o LEFT JOIN f USING (o_custkey) LEFT JOIN g USING (o_orderpriority), h",
+    "impute_legacy_categories": _LEGACY_CATEGORY,
+    "outlier_rows": "SELECT event_id, value FROM events, (SELECT quantile_cont(value, 0.25) AS q1, quantile_cont(value, 0.75) AS q3 FROM events) WHERE value < q1 - 1.5 * (q3 - q1) OR value > q3 + 1.5 * (q3 - q1)",
+    "audit_shifted": f"WITH {_DIRTY_ORDERS} SELECT o_orderkey, 'o_orderstatus' AS \"column\", CAST(NULL AS VARCHAR) AS old_value, '{V.SENTINEL}' AS new_value FROM o WHERE o_orderstatus IS NULL",
+    "audit_fixed_dates": f"SELECT c_custkey, {_picked('c_custkey', ('2024-02-03', '2020-03-15', '2023-01-05', 'soon', ''))} AS \"when\" FROM customer",
+    "cluster_majority_blanks": f"SELECT c_custkey, CASE WHEN trim(s) = 'furnitur' THEN 'furniture' ELSE s END AS segment FROM (SELECT c_custkey, {_SEGMENT} AS s FROM customer)",
+    "cluster_before_after": f"SELECT 'furnitur' AS old_value, 'furniture' AS new_value, count(*) AS n FROM customer WHERE trim({_SEGMENT}) = 'furnitur' HAVING count(*) > 0",
+    "cluster_shown": "SELECT 'segment' AS \"column\", 'furnitur -> furniture (sequence)' AS line",
+    "cluster_token_words": f"SELECT c_custkey, {_pick(_BRANDS_TO, 'label')} FROM customer",
+    "cluster_weighted": f"SELECT c_custkey, {_pick(_DEVICES_TO, 'device')} FROM customer",
+    "cluster_semantic_words": f"SELECT c_custkey, {_pick(_DEVICES_TO, 'device')} FROM customer",
+    "cluster_summary": "SELECT 'device' AS \"column\", CAST(3 AS BIGINT) AS corrections, CAST(2 AS BIGINT) AS masters",
+    "text_forms_of_scripts": f"SELECT c_custkey, {_pick(('fine', 'A1', 'café', 'naïve No5', 'سؤال', 'plain'), 'nfkc')}, {_pick(Q.SCRIPTS, 'v')[: -len(' AS v')]} || '!' AS shown, {_pick(('Fine', 'Ａ１', 'Café', 'Naïve №5', 'سؤال', 'Plain'), 'v')[: -len(' AS v')]} || '''S O''Neil' AS title FROM customer",
+    "export_report": f"WITH {_DIRTY_ORDERS} " + " UNION ALL ".join(f"SELECT '{c}' AS \"column\", count(*) FILTER ({c} IS NULL) AS null_count, round(100.0 * count(*) FILTER ({c} IS NULL) / count(*), 2) AS null_pct FROM o" for c in ("o_orderstatus", "o_orderpriority", "o_totalprice")),
+    "export_styles": f"WITH {_DIRTY_ORDERS} SELECT 'o_orderstatus' AS \"column\", o_orderkey, 'missing' AS kind, least(greatest(length('o_orderstatus') + 2, 10), 50) AS width FROM o WHERE o_orderstatus IS NULL",
+    "stream_windows": "SELECT strftime(ts, '%Y-%m-%d') AS day, event_type, count(*) AS n FROM events GROUP BY 1, 2",
+    "headers_of_any_kind": f"WITH {_DIRTY_ORDERS} " + " UNION ALL ".join(f"SELECT '{name}' AS \"column\", count(*) FILTER ({c} IS NULL) AS null_count, round(100.0 * count(*) FILTER ({c} IS NULL) / count(*), 2) AS null_pct FROM o" for name, c in (("o_orderkey", "o_orderkey"), ("Status No.", "o_orderkey"), ("a`b", "o_orderpriority"), ("Total [EUR]", "o_totalprice"))),
+    "pipeline_second_engine": f"SELECT c_custkey, CAST({_picked('c_custkey', ('10', '20.5', '?', '1000', '11', '12', '13', '14'))} AS VARCHAR) AS level, {_pick(('2024-02-03', '2021-06-05'), 'moment')}, {_pick(('red car', 'red car', 'red car'), 'label')}, CASE WHEN c_custkey % 8 = 2 THEN 'level: ''none yet'' is no number' ELSE '' END AS Notes FROM customer".replace("CAST((['10', '20.5', '?', '1000', '11', '12', '13', '14'])[CAST(c_custkey % 8 AS INTEGER) + 1] AS VARCHAR)", "TRY_CAST((['10', '20.5', '?', '1000', '11', '12', '13', '14'])[CAST(c_custkey % 8 AS INTEGER) + 1] AS DOUBLE)"),
+    "pipeline_clean_data": f"SELECT c_custkey AS id, 'C' || c_custkey AS code, CAST(c_custkey AS DOUBLE) AS total_price, {_pick(('+201012345678', '', ''), 'phone')}, {_pick(('Red Car', 'Red Car', 'Red Car', 'Blue Bike'), 'goods')}, {_pick(('Vehicle', 'Vehicle', 'Vehicle', 'Vehicle'), 'category')}, {_pick(('2024-02-03', '2020-03-15', 'soon'), 'order_date')}, false AS beyond FROM customer",
+    "cluster_names": "WITH c AS (SELECT CASE WHEN c_custkey % 5 < 3 THEN 'John Smith' WHEN c_custkey % 5 = 3 THEN 'Mary Jones' ELSE 'Marry Jones' END AS name FROM customer), n AS (SELECT count(*) FILTER (name = 'Mary Jones') AS a, count(*) FILTER (name = 'Marry Jones') AS b FROM c) SELECT CASE WHEN name = 'John Smith' THEN name WHEN b >= a THEN 'Marry Jones' ELSE 'Mary Jones' END AS name, count(*) AS n FROM c, n GROUP BY 1",
+    "detect_grouping": f"WITH {_DIRTY_LINEITEM}, w AS (SELECT var_samp(l_extendedprice) AS v, count(l_extendedprice) AS k FROM li) "
+    + " UNION ALL ".join(f"SELECT '{g}' AS \"group\", round(var_samp(m) / any_value(w.v) * count(*) / any_value(w.k), 6) AS score FROM (SELECT median(l_extendedprice) OVER (PARTITION BY {g}) AS m FROM li WHERE {g} IS NOT NULL AND l_extendedprice IS NOT NULL), w" for g in ("l_quantity", "l_returnflag", "l_linenumber", "l_partkey")),
+}

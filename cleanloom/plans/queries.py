@@ -10,6 +10,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .. import streaming
 from .. import vocabulary as V
 from ..functions import dates, numeric
 from ..functions import text as T
@@ -459,7 +460,7 @@ def phone_log(spark, sf_dir):
 
 @query
 def schema_empty_cells(spark, sf_dir):
-    c = table(spark, sf_dir, "customer").select("c_custkey", picked("c_custkey", ("100", "N/A", "غير محدد", "", "500")).alias("quantity"), picked("c_custkey", ("a", "", "N/A")).alias("label"))
+    c = table(spark, sf_dir, "customer").select("c_custkey", picked("c_custkey", ("100", "N/A", "غير محدد", "", "500", "null", "NULL", "n/a", "غير متوفر")).alias("quantity"), picked("c_custkey", ("a", "", "N/A", "null")).alias("label"))
     return schema.standard_empty(c, ["quantity"])
 
 
@@ -593,3 +594,206 @@ def pipeline_polish(spark, sf_dir):
 @query
 def pipeline_clustering(spark, sf_dir):
     return pipelines.clustering(spelt_parts(spark, sf_dir).select("kind"))[2]
+
+
+# Further forms of operators.
+
+BRANDS = ("red car", "red car", " red car", "car red ", "blue bike", "Blue Bike", "bike blue", "blue bike", "green boat")
+DEVICES = ("Wireless Mouse", "wireless mouse ", "Wireles Mouse", "Wireless Mouse", "Keyboard", "Keybord", "Keyboard", "Wireless Mouse", "Lamp")
+SCRIPTS = ("ﬁne", "Ａ１", "café", "naïve №5", "سؤال", "plain")
+
+
+@query
+def detect_polish_columns(spark, sf_dir):
+    """Columns that the last step before export takes for dates, and for numbers."""
+    o = table(spark, sf_dir, "orders").select("o_orderkey", F.date_format("o_orderdate", "dd/MM/yyyy").alias("shipped"), F.lit("never").alias("birthday"), F.col("o_custkey").cast("string").alias("customer"), "o_orderdate", "o_totalprice")
+    found = [(c, "date") for c in detect.polish_dates(o, ["o_orderkey"])] + [(c, "numeric") for c in detect.polish_numbers(o)]
+    return spark.createDataFrame(found, "column string, kind string")
+
+
+@query
+def detect_engine_columns(spark, sf_dir):
+    c = table(spark, sf_dir, "customer").select("c_custkey", picked("c_custkey", ("1,000", "2 500", "7", "8", "9.5", "6", "5", "4", "3", "none")).alias("mostly"), picked("c_custkey", ("1", "two")).alias("half"), picked("c_custkey", ("2024-02-03", "05/06/2021", "7 Feb 2022", "later")).alias("moment"))
+    numbers, when = detect.engine_columns(c)
+    return spark.createDataFrame([(c, "numeric") for c in numbers] + [(c, "date") for c in when], "column string, kind string")
+
+
+@query
+def detect_digits_and_letters(spark, sf_dir):
+    c = table(spark, sf_dir, "customer").select("c_name", "c_mktsegment", F.col("c_custkey").cast("string").alias("key"), picked("c_custkey", ("12", "twelve")).alias("either"), picked("c_custkey", ("٣ كيلو", "-")).alias("arabic"))
+    return spark.createDataFrame([(c,) for c in detect.digits_and_letters(c)], "column string")
+
+
+@query
+def detect_guides(spark, sf_dir):
+    """Grouping columns by headers and by shares; the best group for a value."""
+    li = table(spark, sf_dir, "lineitem").select("l_quantity", F.col("l_returnflag").alias("Category"), F.col("l_partkey").alias("item_id"), F.col("l_linestatus").alias("Product Name"))
+    fine, coarse = detect.imputation_guides(li)
+    return spark.createDataFrame([("fine", fine), ("coarse", coarse), ("phone", detect.phone_column(li.withColumn("Mobile No", F.lit("1"))))], "role string, column string")
+
+
+@query
+def schema_thresholds(spark, sf_dir):
+    return schema.thresholded_types(table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity", (F.col("l_extendedprice") * 1000).alias("wide"), "l_returnflag", F.concat("l_orderkey", F.lit("-"), "l_linenumber").alias("label")))
+
+
+@query
+def schema_downcast(spark, sf_dir):
+    out = schema.downcast(table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity"))
+    return out.agg(F.first(F.typeof("l_orderkey")).alias("key_type"), F.first(F.typeof("l_linenumber")).alias("line_type"), F.first(F.typeof("l_quantity")).alias("quantity_type"), F.sum(F.col("l_orderkey").cast("long")).alias("keys"), F.sum(F.col("l_linenumber").cast("long")).alias("lines"))
+
+
+@query
+def schema_number_violations(spark, sf_dir):
+    c = table(spark, sf_dir, "customer").select("c_custkey", F.nullif(picked("c_custkey", ("10", "20.5", "none yet", "1,000", "?", "1 2", "")), F.lit("?")).alias("amount"))
+    return schema.numbers_with_violations(c, ["amount"], ["c_custkey"])[0]
+
+
+@query
+def schema_number_cells(spark, sf_dir):
+    c = table(spark, sf_dir, "customer").select("c_custkey", F.nullif(picked("c_custkey", ("10", "20.5", "none yet", "1,000", "?", "1 2", "11", "12", "13", "14")), F.lit("?")).alias("amount"))
+    return schema.numbers_with_violations(c, ["amount"], ["c_custkey"])[1]
+
+
+@query
+def impute_legacy_numbers(spark, sf_dir):
+    out = impute.universal_legacy(dirty_orders(spark, sf_dir).drop("o_orderdate"), ["o_totalprice"], [], "o_custkey", "o_orderpriority", ["o_orderkey"], ["o_custkey"])
+    return out.select("o_orderkey", F.round("o_totalprice", 4).alias("o_totalprice"), F.col("o_totalprice_imputation_status").alias("status"))
+
+
+@query
+def impute_legacy_categories(spark, sf_dir):
+    out = impute.universal_legacy(dirty_orders(spark, sf_dir), [], ["o_orderstatus"], "o_custkey", "o_orderpriority", ["o_orderkey"], ["o_custkey"])
+    return out.select("o_orderkey", "o_orderstatus", F.col("o_orderstatus_imputation_status").alias("status"))
+
+
+@query
+def impute_universal(spark, sf_dir):
+    """Text in one form, categories by context, numbers by the best group."""
+    out = impute.universal(dirty_orders(spark, sf_dir).select("o_orderkey", "o_orderstatus", "o_orderpriority"), [], ["o_orderstatus"], "o_orderpriority", "o_orderpriority")
+    return out.groupBy("o_orderstatus", F.col("o_orderstatus_imputation_status").alias("status")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query
+def outlier_rows(spark, sf_dir):
+    e = outliers.flag(table(spark, sf_dir, "events").select("event_id", "value"), ["value"])
+    return outliers.outlier_rows(e, 2**31 - 1)
+
+
+@query
+def audit_shifted(spark, sf_dir):
+    before = dirty_orders(spark, sf_dir).select("o_orderkey", "o_orderstatus", "o_orderpriority")
+    return audit.shifted(before, impute.sentinel_text(before, ["o_orderstatus", "o_orderpriority"]), ["o_orderkey"], ["o_orderpriority"])
+
+
+@query
+def audit_fixed_dates(spark, sf_dir):
+    c = table(spark, sf_dir, "customer").select("c_custkey", picked("c_custkey", ("2024-02-03", "15/03/2020", "January 5, 2023", "soon", "")).alias("when"))
+    return audit.fixed_dates(c, ["when"])
+
+
+def _segments(spark, sf_dir) -> DataFrame:
+    return table(spark, sf_dir, "customer").select("c_custkey", F.when(F.col("c_custkey") % 10 == 0, " furnitur").when(F.col("c_custkey") % 10 == 7, "furnitur").when(F.col("c_custkey") % 3 == 0, "machinery").otherwise("furniture").alias("segment"))
+
+
+@query
+def cluster_majority_blanks(spark, sf_dir):
+    """Values with outer blanks; no row is lost or repeated."""
+    return fuzzy.majority_words(_segments(spark, sf_dir), ["segment"])[0]
+
+
+@query
+def cluster_before_after(spark, sf_dir):
+    c = _segments(spark, sf_dir)
+    return fuzzy.before_after(c, fuzzy.majority_words(c, ["segment"])[1], "segment")
+
+
+@query
+def cluster_shown(spark, sf_dir):
+    return fuzzy.shown(fuzzy.majority_words(_segments(spark, sf_dir), ["segment"])[1])
+
+
+@query
+def cluster_token_words(spark, sf_dir):
+    c = table(spark, sf_dir, "customer").select("c_custkey", picked("c_custkey", BRANDS).alias("label"))
+    return fuzzy.token_set_harmonise(c, ["label"], normalise=F.lower)[0]
+
+
+@query
+def cluster_weighted(spark, sf_dir):
+    c = table(spark, sf_dir, "customer").select("c_custkey", picked("c_custkey", DEVICES).alias("device"))
+    return fuzzy.weighted_harmonise(c, ["device"])[0]
+
+
+@query
+def cluster_semantic_words(spark, sf_dir):
+    c = table(spark, sf_dir, "customer").select("c_custkey", picked("c_custkey", DEVICES).alias("device"))
+    return fuzzy.harmonise(c, ["device"], V.preset("PERMISSIVE"))[0]
+
+
+@query
+def cluster_summary(spark, sf_dir):
+    c = table(spark, sf_dir, "customer").select(picked("c_custkey", DEVICES).alias("device"))
+    return pipelines.clustering(c, "PERMISSIVE")[2]
+
+
+@query
+def text_forms_of_scripts(spark, sf_dir):
+    v = picked("c_custkey", SCRIPTS)
+    return table(spark, sf_dir, "customer").select("c_custkey", T.nfkc(v).alias("nfkc"), T.non_printing_dropped(F.concat(v, F.lit("\x07‏!"))).alias("shown"), T.python_title(F.concat(v, F.lit("'s o'neil"))).alias("title"))
+
+
+@query
+def export_report(spark, sf_dir):
+    return writers.report_rows(dirty_orders(spark, sf_dir).select("o_orderstatus", "o_orderpriority", "o_totalprice"))
+
+
+@query
+def export_styles(spark, sf_dir):
+    o = dirty_orders(spark, sf_dir).select("o_orderkey", "o_orderstatus", "o_totalprice")
+    gone = audit.cell_kinds(o, ["o_orderkey"], ["o_totalprice"], ["o_orderstatus"]).withColumn("kind", F.lit("missing"))
+    return writers.style_map(o.select("o_orderkey", "o_orderstatus"), gone.where("column = 'o_orderstatus'"), ["o_orderkey"])
+
+
+@query
+def stream_windows(spark, sf_dir):
+    """The counts that a stream of the events would end with."""
+    w = streaming.windowed_counts(table(spark, sf_dir, "events"), "ts", ["event_type"], "1 day")
+    return w.select(F.date_format("window.start", "yyyy-MM-dd").alias("day"), "event_type", "n")
+
+
+@query
+def headers_of_any_kind(spark, sf_dir):
+    """Operators on columns whose names have dots, backticks and brackets."""
+    o = dirty_orders(spark, sf_dir).select("o_orderkey", F.col("o_orderstatus").alias("Status No."), F.col("o_orderpriority").alias("a`b"), F.col("o_totalprice").alias("Total [EUR]"))
+    return profile.missing(impute.sentinel_text(o, ["Status No."]))
+
+
+@query
+def pipeline_second_engine(spark, sf_dir):
+    c = table(spark, sf_dir, "customer").select("c_custkey", picked("c_custkey", ("10", "20.5", "none yet", "1,000", "11", "12", "13", "14")).alias("level"), picked("c_custkey", ("2024-02-03", "05/06/2021")).alias("moment"), picked("c_custkey", ("red car", "car red", "red car")).alias("label"))
+    out, _ = pipelines.second_engine(c, ["c_custkey"])
+    return out.select("c_custkey", "level", F.date_format("moment", "yyyy-MM-dd").alias("moment"), "label", "Notes")
+
+
+def _clean_input(spark, sf_dir) -> DataFrame:
+    """Customers with dirty cells of every kind; numbered by their keys."""
+    c = table(spark, sf_dir, "customer")
+    return c.select(
+        F.col("c_custkey").alias("_row_id"), F.concat(F.lit("C"), F.col("c_custkey").cast("string")).alias("code"), F.col("c_custkey").cast("string").alias("total_price"), picked("c_custkey", ("+201012345678", "01012345678", "12345")).alias("phone"),
+        picked("c_custkey", ("red car", "car red", " red car", "blue bike")).alias("goods"), F.when(F.col("c_custkey") % 4 != 3, picked("c_custkey", ("vehicle", "vehicle", "vehicle", "-"))).alias("category"), picked("c_custkey", ("2024-02-03", "15/03/2020", "soon")).alias("order_date"),
+    )
+
+
+@query
+def pipeline_clean_data(spark, sf_dir):
+    """The cleaned table of the whole run."""
+    r = pipelines.clean(_clean_input(spark, sf_dir), pipelines.CleanOptions(outlier_columns=["total_price"]))
+    return r.data.select(F.col("_row_id").alias("id"), "code", "total_price", "phone", "goods", "category", "order_date", F.col("__outlier__").alias("beyond"))
+
+
+@query
+def pipeline_clean_audit(spark, sf_dir):
+    """Which cells the whole run changed."""
+    r = pipelines.clean(_clean_input(spark, sf_dir), pipelines.CleanOptions(outlier_columns=["total_price"]))
+    return r.audit.where("column <> 'total_price'").groupBy("column", "old_value", "new_value").agg(F.count(F.lit(1)).alias("n"))

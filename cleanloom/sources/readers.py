@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import codecs
+import csv
 import functools
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import vocabulary as V
+from ..operators import rows
 
 #: Bytes at a file's start that a byte-order mark is looked for in.
 PROBE_BYTES = 4
@@ -81,7 +83,7 @@ _NATIVE = {"utf-8": "UTF-8", "utf-8-sig": "UTF-8", "latin-1": "ISO-8859-1", "utf
 def read_csv(spark: SparkSession, path: str | list[str], encoding: str | None = None, na: tuple[str, ...] = V.READER_NA, separator: str = ",") -> DataFrame:
     """All columns as text; headers stripped; the NA tokens become null. encoding None: found from all bytes of each file.
 
-    Encodings that Spark's reader doesn't take are decoded line by line before it parses them; such files can't have line breaks within fields.
+    Encodings that Spark's reader doesn't take are decoded line by line, in splits, before it parses them; such files can't have line breaks within fields.
     """
     if encoding is None:
         groups = [read_csv(spark, files, name, na, separator) for name, files in detect_encodings(spark, path).items()]
@@ -89,34 +91,82 @@ def read_csv(spark: SparkSession, path: str | list[str], encoding: str | None =
     if encoding in _NATIVE:
         df = spark.read.option("header", True).option("encoding", _NATIVE[encoding]).option("multiLine", encoding == "utf-16").option("sep", separator).option("nullValue", "").csv(path)
     else:
-        lines = spark.read.format("binaryFile").load(path)
-        text = _decoded(lines, encoding)
-        first = text.where("line_no = 0").select("value").first()
-        names = next(iter(__import__("csv").reader([first[0]], delimiter=separator))) if first else []
-        schema = ", ".join(f"`{n.strip()}` string" for n in names)
-        body = text.where("line_no > 0 AND value <> ''")
-        df = body.select(F.from_csv("value", schema, {"sep": separator}).alias("r")).select("r.*") if names else spark.createDataFrame([], "empty string")
-    df = df.toDF(*(c.lstrip("﻿").strip() for c in df.columns))
-    return df.select(*(F.when(F.col(f"`{c}`").isin(*na), None).otherwise(F.col(f"`{c}`")).alias(c) for c in df.columns))
+        lines = _decoded(spark, path, encoding)
+        first = lines.where("head").select("value").first()
+        names = next(iter(csv.reader([first[0]], delimiter=separator))) if first else []
+        schema = ", ".join(f"_{i} string" for i in range(len(names)))
+        body = lines.where("NOT head AND value <> ''")
+        df = body.select(F.from_csv("value", schema, {"sep": separator}).alias("r")).select("r.*").toDF(*names) if names else spark.createDataFrame([], "empty string")
+    return _tidied(df, na)
 
 
-def _decoded(files: DataFrame, encoding: str) -> DataFrame:
-    import pandas as pd
+def _tidied(df: DataFrame, na: tuple[str, ...]) -> DataFrame:
+    """Headers stripped and each once (a later one of the same name gets a number), NA tokens null."""
+    names: list[str] = []
+    for c in (c.lstrip("﻿").strip() for c in df.columns):
+        names.append(next(n for k in range(len(df.columns)) if (n := f"{c}.{k}" if k else c) not in names))
+    df = df.toDF(*names)
+    return df.select(*(F.when(F.col(rows.quoted(c)).isin(*na), None).otherwise(F.col(rows.quoted(c))).alias(c) for c in df.columns))
+
+
+def _decoded(spark: SparkSession, path: str | list[str], encoding: str) -> DataFrame:
+    """head (whether it's the first line of a file), value of the lines; files are split as Spark splits them."""
 
     def run(batches):
+        import pandas as pd
+
+        begun = set()
         for pdf in batches:
-            for data in pdf["content"]:
-                lines = bytes(data).decode(encoding, "replace").splitlines()
-                yield pd.DataFrame({"line_no": range(len(lines)), "value": lines})
+            head = []
+            for file, start in zip(pdf["file"], pdf["start"], strict=True):
+                head.append(start == 0 and file not in begun)
+                begun.add(file)
+            yield pd.DataFrame({"head": head, "value": [bytes(v).decode(encoding, "replace").rstrip("\r") for v in pdf["value"]]})
+
+    lines = spark.read.text(path).select(F.col("value").cast("binary").alias("value"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"))
+    return lines.mapInPandas(run, "head boolean, value string")
+
 
-    return files.select("content").mapInPandas(run, "line_no bigint, value string")
+def read_xlsx(spark: SparkSession, path: str, na: tuple[str, ...] = V.READER_NA) -> DataFrame:
+    """The first sheets of workbooks, all columns as text; the first row of the first file has the headers. One task a file, as a workbook holds about a million rows at most."""
+
+    def run(batches):
+        import pandas as pd
+
+        from . import xlsx
+
+        for pdf in batches:
+            for file, data in zip(pdf["path"], pdf["content"], strict=True):
+                some: list = []
+                for n, cells in enumerate(xlsx.read_rows(bytes(data))):
+                    some.append((file, n, cells))
+                    if len(some) == 10_000:
+                        yield pd.DataFrame(some, columns=["file", "n", "cells"])
+                        some = []
+                yield pd.DataFrame(some, columns=["file", "n", "cells"])
+
+    found = spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, "file string, n int, cells array<string>")
+    first = found.where("n = 0").orderBy("file").select("cells").first()
+    if not first:
+        return spark.createDataFrame([], "empty string")
+    names = [c if c is not None else f"Unnamed: {i}" for i, c in enumerate(first["cells"])]
+    df = found.where("n > 0").select(*(F.try_element_at("cells", F.lit(i + 1)).alias(f"_{i}") for i in range(len(names)))).toDF(*names)
+    return _tidied(df, na)
+
+
+def typed_csv(spark: SparkSession, path: str, separator: str = ",") -> DataFrame:
+    """CSV with types that Spark infers from all rows."""
+    df = spark.read.option("header", True).option("inferSchema", True).option("sep", separator).csv(path)
+    return df.toDF(*(c.lstrip("﻿").strip() for c in df.columns))
 
 
 def read(spark: SparkSession, path: str, **options) -> DataFrame:
-    """By the name's ending: csv, parquet, json, orc. Spreadsheets have no reader here."""
+    """By the name's ending: csv, txt, tsv, xlsx, parquet, json, orc."""
     kind = path.rstrip("/").rpartition(".")[2].lower()
     if kind in ("csv", "txt", "tsv"):
         return read_csv(spark, path, **({"separator": "\t"} if kind == "tsv" else {}) | options)
     if kind in ("parquet", "json", "orc"):
         return getattr(spark.read, kind)(path)
-    raise ValueError(f"no reader for .{kind} files" + (": spreadsheets need a library that isn't installed" if kind in ("xlsx", "xls") else ""))
+    if kind == "xlsx":
+        return read_xlsx(spark, path, **options)
+    raise ValueError(f"no reader for .{kind} files")

@@ -25,10 +25,9 @@ class Fitted:
 
 
 def fit(df: DataFrame, numbers: Sequence[str], texts: Sequence[str] = (), threshold: float = 90) -> Fitted:
-    from ..operators import fuzzy
+    from ..operators import fuzzy, quantiles
 
-    medians = df.agg(*(F.median(F.col(c).cast("double")).alias(c) for c in numbers)).first().asDict() if numbers else {}
-    return Fitted(medians, [m for c in texts for m in fuzzy.token_set_mapping(df, c, threshold)])
+    return Fitted({c: quantiles.medians(df, F.col(c), "m").first()["m"] for c in numbers}, fuzzy.token_set_mapping(df, list(texts), threshold))
 
 
 def project(stream: DataFrame, functions: Mapping[str, Callable[[Column], Column]]) -> DataFrame:

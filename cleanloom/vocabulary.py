@@ -14,6 +14,8 @@ MISSING_VALUES = (
 IMPUTATION_MISSING = (
     "", "na", "n/a", "n\\a", "nan", "none", "null", "unknown", "missing", "not available", "not applicable", "غير محدد", "غير متوفر", "ناقص", "بدون", "لا يوجد", "ليس متاح",
 )
+# Texts that numeric columns lose before export.
+EXPORT_MISSING = ("غير محدد", "غير متوفر", "N/A", "null", "NULL")
 # Terms of the placeholder pattern (regular expressions).
 PLACEHOLDER_TERMS = ("nan", "unknown", "null", "none", "n/?a", r"n\.?.a\.?", "missing", "not available", "ناقص", r"غير\s+محدد", r"غير\s+متوفر", r"بيانات\s+ناقصة")
 # What the reader turns into null.
@@ -23,6 +25,7 @@ READER_ENCODINGS = ("utf-8", "utf-8-sig", "cp1256", "windows-1256", "iso-8859-6"
 # Fixed value: fills text that stays missing.
 SENTINEL = "غير محدد"
 
+# Digits and what they become.
 ARABIC_DIGITS, WESTERN_DIGITS = "٠١٢٣٤٥٦٧٨٩", "0123456789"
 
 # Country codes with the least and the greatest length of a number that starts with them.
@@ -36,6 +39,7 @@ DATE_HEADERS = (
     "date", "تاريخ", "يوم", "day", "time", "وقت", "created", "updated", "birth", "ميلاد", "انشاء", "اضافة", "تعديل", "انتهاء", "بداية", "نهاية", "timestamp", "recorded",
     "created_at", "updated_at", "birth_date", "registration", "تسجيل", "order_date", "تاريخ_الطلب",
 )
+POLISH_DATE_HEADERS = ("date", "time", "تاريخ", "وقت", "day", "month", "year")
 ID_HEADERS = ("id", "order id", "orderid", "order_no", "order no", "order number", "رقم", "رقم الطلب", "رقم الطلبية", "كود", "sku", "barcode", "token", "code", "uid", "user id")
 NAME_HEADERS = ("name", "full_name", "fullname", "customer", "client", "company", "organisation", "organization", "person", "contact", "اسم", "الاسم", "اسم_الكامل", "اسم العميل", "شركة", "اسم_الشركة", "زبون")
 DESCRIPTIVE_HEADERS = ("description", "notes", "comments", "text", "detail", "info", "remarks", "details", "summary", "content", "message", "وصف", "ملاحظات", "تعليقات", "تفاصيل", "معلومات")
@@ -43,6 +47,7 @@ FINANCIAL_HEADERS = (
     "price", "amount", "total", "cost", "fee", "tax", "value", "balance", "sum", "subtotal", "net", "gross", "paid", "charge", "invoice", "discount", "salary", "commission", "budget",
     "سعر", "مبلغ", "تكلفة", "قيمة", "إجمالي", "المجموع", "رصيد", "دفع", "فاتورة", "ضريبة", "رسوم", "صاف", "دفعة",
 )
+# Headers of grouping columns, by priority.
 FINE_GUIDES = ("item name", "product name", "item", "product", "sku", "variant", "model", "item_id", "product_id", "title")
 COARSE_GUIDES = ("category", "department", "segment", "group", "type", "class", "family", "category name", "department name")
 
@@ -76,6 +81,7 @@ NUMBER = r"^[-+]?\d*\.?\d+$"
 BOOLEANS = {"true": "True", "false": "False", "yes": "True", "no": "False", "1": "True", "0": "False", "نعم": "True", "لا": "False"}
 # English contractions, expanded in this order.
 CONTRACTIONS = {"can't": "cannot", "won't": "will not", "n't": " not", "'re": " are", "'s": " is", "'d": " would", "'ll": " will", "'ve": " have", "'m": " am", "w/": " with ", "w/o": " without "}
+# Marks and characters that text loses.
 DIACRITICS = r"[\u0610-\u061A\u064B-\u065F\u0670\u06D6-\u06ED]"
 ZERO_WIDTH = r"[\u200c\u200d\u200e\u200f\uFEFF]"
 CONTROLS = r"[\x00-\x1f\x7f]"
@@ -113,8 +119,3 @@ def preset(scenario: str) -> ClusteringConfig:
 
 def recommended(data_source: str) -> ClusteringConfig:
     return PRESETS[RECOMMENDED.get(data_source.lower(), "BALANCED")]
-
-
-def preset_table() -> list[tuple]:
-    """(name, fuzzy_threshold, max_unique_values, min_unique_values, description) of all presets."""
-    return [(k, c.fuzzy_threshold, c.max_unique_values, c.min_unique_values, c.description) for k, c in PRESETS.items()]

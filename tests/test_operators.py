@@ -43,6 +43,46 @@ def test_hierarchical_median(spark):
         impute.hierarchical_median(df, "v", "f", "missing")
 
 
+def test_order_without_a_key(spark):
+    """Ranges of the order give what one window over all rows gives."""
+    from pyspark.sql import Window
+
+    df = spark.createDataFrame([(i * 7 % 200, float(i) if i % 9 == 0 else None, f"g{i % 3}", None if i % 5 else "x") for i in range(200)], "i int, v double, g string, h string").repartition(3)
+    w = Window.orderBy("i")
+    plain = F.coalesce(F.last("v", True).over(w.rowsBetween(Window.unboundedPreceding, 0)), F.first("v", True).over(w.rowsBetween(0, Window.unboundedFollowing)))
+    assert values(rows.carried(df, "v", ["i"]), "i", "v") == values(df.withColumn("v", plain), "i", "v")
+    near = F.coalesce("v", F.lag("v").over(w), F.lead("v").over(w))
+    assert values(rows.neighbour(df, "v", ["i"]), "i", "v") == values(df.withColumn("v", near), "i", "v")
+    one = lambda f: F.when(f(F.col("g")).over(w).eqNullSafe(F.col("g")), f(F.col("v")).over(w))
+    assert values(rows.neighbour(df, "v", ["i"], same=["g"]), "i", "v") == values(df.withColumn("v", F.coalesce("v", one(F.lag), one(F.lead))), "i", "v")
+    some = lambda f: F.when(F.coalesce(f(F.col("h")).over(w) == F.col("h"), F.lit(False)) | (f(F.col("g")).over(w) == F.col("g")), f(F.col("v")).over(w))
+    assert values(rows.neighbour(df, "v", ["i"], any_of=["g", "h"]), "i", "v") == values(df.withColumn("v", F.coalesce("v", some(F.lag), some(F.lead))), "i", "v")
+    assert rows.carried(df.limit(0), "v", ["i"]).count() == 0
+
+
+@pytest.mark.parametrize("few,accuracy", [(5_000_000, 10_000), (0, 10_000), (0, 50)])
+def test_quantiles_of_any_size(spark, monkeypatch, few, accuracy):
+    """The counted way gives just what Spark's aggregate gives."""
+    import random
+
+    from cleanloom.operators import quantiles
+
+    monkeypatch.setattr(quantiles, "FEW_ROWS", few)
+    monkeypatch.setattr(quantiles, "FEW_BYTES", few)
+    monkeypatch.setattr(quantiles, "ACCURACY", accuracy)
+    rng = random.Random(3)
+    data = [("hot", rng.choice([7.0, rng.random() * 100])) for _ in range(3000)] + [(rng.choice(["a", "b", None]), rng.randrange(9) / 4) for _ in range(200)] + [("empty", None), ("one", 4.5), ("a", None)]
+    df = spark.createDataFrame(data, "g string, v double").repartition(4)
+    shares = [0.0, 0.2, 0.25, 0.5, 0.75, 1.0]
+    got = {r["__k0"]: (r["__q"], r["__n"]) for r in quantiles.quantiles(df, F.col("v"), shares, [F.col("g")]).collect()}
+    want = {r["g"]: (r["q"], r["n"]) for r in df.groupBy("g").agg(F.percentile("v", shares).alias("q"), F.count("v").alias("n")).collect()}
+    assert got == want
+    assert quantiles.medians(df, F.col("v"), "m").first()["m"] == df.agg(F.median("v")).first()[0]
+    assert quantiles.medians(df.where("g = 'empty'"), F.col("v"), "m").collect()[0]["m"] is None
+    assert {r["__k0"]: r["m"] for r in quantiles.modes(df, F.col("v"), "m", [F.col("g")]).collect()} == {r["g"]: r["m"] for r in df.groupBy("g").agg(F.mode("v", True).alias("m")).where("m IS NOT NULL").collect()}
+    assert quantiles.modes(df.limit(0), F.col("v"), "m").collect()[0]["m"] is None
+
+
 def test_waterfall_keeps_all_null(spark):
     df = spark.createDataFrame([(1, "a", "x", None), (2, "b", "x", None)], "i int, f string, c string, v double")
     assert values(impute.median_waterfall(df, "v", "f", "c", ["i"]), "i", "v") == [(1, None), (2, None)]
@@ -68,6 +108,25 @@ def test_outliers(spark):
     assert outliers.coordinates(flat, ["i"], ["v"]).count() == 0
 
 
+def test_empty_cells_before_export(spark):
+    df = spark.createDataFrame([("null", ""), ("NULL", "null"), ("N/A", "x"), ("n/a", None), ("7", "y")], "q string, t string")
+    assert values(schema.standard_empty(df, ["q"]), "q", "t") == sorted([(None, None), (None, "null"), (None, "x"), ("n/a", None), ("7", "y")], key=str)
+
+
+def test_first_description_that_names_a_value(spark):
+    df = spark.createDataFrame([(1, "Zinc", "", ""), (2, "Amber", "", ""), (3, None, "made of zinc", "an amber tone"), (4, None, "nothing", "an amber tone"), (5, None, None, None)], "i int, c string, a string, b string")
+    assert values(impute.text_by_siblings(df, "c", [], ["a", "b"]), "i", "c") == [(1, "Zinc"), (2, "Amber"), (3, "Zinc"), (4, "Amber"), (5, V.SENTINEL)]
+
+
+def test_financial_headers():
+    assert all(map(detect.is_financial, ["totalprice", "o_totalprice", "l_extendedprice", "unitprice", "Net Amount", "إجمالي الطلب"])) and not detect.is_financial("city")
+
+
+def test_coverage(spark):
+    df = spark.createDataFrame([(1, "a", "b")] * 4, "_row_id int, x string, y string")
+    assert audit.coverage(df, df.limit(1), ["x"]).first().asDict() == {"cells_checked": 4, "cells_modified": 1, "coverage_pct": 50.0}
+
+
 def test_relations(spark):
     df = spark.createDataFrame([(float(i), 2.0 + i % 3, None if i == 3 else 99999.0 if i == 40 else i * (2.0 + i % 3)) for i in range(1, 60)], "a double, b double, c double")
     assert ("a", "b", "c") in values(outliers.products(df, ["a", "b", "c"]), "a", "b", "c")
@@ -93,9 +152,19 @@ def test_clustering(spark):
     assert V.preset("nothing") is V.PRESETS["BALANCED"] and V.recommended("ocr").fuzzy_threshold == 75
 
 
+def test_outer_blanks_and_row_counts(spark):
+    df = spark.createDataFrame([(x,) for x in ["furniture"] * 4 + ["furnitur", " furnitur", "furnitur ", None, "", "machinery"]], "v string")
+    out, _ = fuzzy.majority_words(df, ["v"])
+    assert out.count() == 10 and out.where("v = 'furniture'").count() == 7
+    cars = spark.createDataFrame([(x,) for x in ["red car", "red car", " red car", "car red ", "Car  RED", "blue", None]], "v string")
+    out, mapping = fuzzy.token_set_harmonise(cars, ["v"], normalise=lambda c: F.lower(c))
+    assert sorted(str(r[0]) for r in out.collect()) == ["None", "blue", *["red car"] * 5]
+    assert fuzzy.apply_mapping(df, [("v", " furnitur", "a", "m", 1.0), ("v", "furnitur ", "a", "m", 1.0)]).count() == 10
+
+
 def test_no_bound_on_distinct_values(spark):
     rare = spark.createDataFrame([("acceptable",)] * 3 + [(f"a{i:05d}",) for i in range(10_050)] * 2 + [("zcceptable",)], "v string")
-    assert ("v", "zcceptable", "acceptable") in [m[:3] for m in fuzzy.majority_mapping(rare, "v")]
+    assert ("v", "zcceptable", "acceptable") in [m[:3] for m in fuzzy.majority_mapping(rare, ["v"])]
     far = lambda i: "".join(chr(97 + int(c)) * 2 for c in f"{i * 7919 % 10**6:06d}")
     names = spark.createDataFrame([(far(i),) for i in range(1050)] * 2 + [("zebra crossings north",), ("zebra crossing north",)], "v string")
     assert ("v", "zebra crossings north", "zebra crossing north") in [m[:3] for m in fuzzy.name_mapping(names, "v")]
@@ -119,7 +188,19 @@ def test_profile_and_quality(spark):
     q = profile.quality(df).first()
     assert q["missing"] == pytest.approx(2 / 9) and q["duplicates"] == pytest.approx(1 / 3) and q["numbers_as_text"] == pytest.approx(1 / 3)
     assert {r["column"]: r["null_count"] for r in profile.missing(df).collect()} == {"i": 0, "t": 2, "n": 0}
-    assert profile.quality(df.limit(0)).first()["score"] is not None
+    assert profile.quality(df.limit(0)).first()["score"] == 0.0
+
+
+def test_headers_of_any_kind(spark):
+    df = spark.createDataFrame([("1", "x", None, "p"), ("1", "x", None, "p"), ("2", None, 4.0, "q"), ("3", "y", 5.0, "q")], ["No.", "a`b", "Sum [EUR]", "column"])
+    assert {r["column"] for r in detect.evidence(df).collect()} == set(df.columns)
+    assert schema.duplicate_columns(df.withColumn("Nr.", F.col("`No.`"))) == ["Nr."]
+    assert profile.quality(df).first()["duplicates"] == 0.25
+    assert {r["column"]: r["null_count"] for r in profile.missing(df).collect()} == {"No.": 0, "a`b": 1, "Sum [EUR]": 2, "column": 0}
+    out = impute.hierarchical_median(df, "Sum [EUR]", "a`b", "No.")
+    assert out.columns[:4] == df.columns and out.where("`Sum [EUR]` IS NULL").count() == 0
+    r = pipelines.clean(df)
+    assert r.data.columns[:4] == df.columns and r.data.count() == 3 and {x["column"] for x in r.audit.collect()} <= set(df.columns)
 
 
 def test_pipelines(spark):
@@ -146,11 +227,37 @@ def test_files(spark, tmp_path):
     writers.csv_with_mark(df, str(tmp_path / "out.csv"))
     assert (tmp_path / "out.csv").read_bytes().startswith(b"\xef\xbb\xbf")
     with pytest.raises(ValueError):
-        readers.read(spark, "book.xlsx")
+        readers.read(spark, "book.doc")
     kinds = pipelines.file_to_file(spark, str(utf), str(tmp_path / "done"))
     assert kinds["a"] == "numeric" and spark.read.parquet(str(tmp_path / "done/data")).count() == 1
 
 
+def test_workbooks(spark, tmp_path):
+    import zipfile
+
+    from cleanloom.sources import readers, writers, xlsx
+
+    df = spark.createDataFrame([(1, "علي & <b>", 2.5, None), (2, None, 3.0, "N/A")], "id int, `No.` string, v double, w string")
+    kinds = spark.createDataFrame([(1, "v", "outlier"), (1, "v", "missing"), (2, "No.", "missing")], "id int, column string, kind string")
+    path = str(tmp_path / "book.xlsx")
+    writers.write_xlsx(path, df, kinds, ["id"], {"audit": kinds}, formats={"v": "#,##0.00"})
+    got = readers.read(spark, path)
+    assert got.columns == df.columns and values(got, "id", "`No.`".strip("`"), "v", "w") == [("1", "علي & <b>", "2.5", None), ("2", None, "3.0", None)]
+    with zipfile.ZipFile(path) as z:
+        sheet, styles = z.read("xl/worksheets/sheet1.xml").decode(), z.read("xl/styles.xml").decode()
+        assert 'rightToLeft="1"' in sheet and 'state="frozen"' in sheet and "#,##0.00" in styles and xlsx.FILLS["outlier"] in styles and xlsx.FILLS["missing"] in styles
+    assert sorted(xlsx.read_rows((tmp_path / "book.xlsx").read_bytes(), 1)) == [["1", "v", "missing"], ["1", "v", "outlier"], ["2", "No.", "missing"], ["id", "column", "kind"]]
+    assert [xlsx._letters(i) for i in (0, 25, 26, 701, 702)] == ["A", "Z", "AA", "ZZ", "AAA"] and xlsx._place("AAA7") == 702
+
+
+def test_duplicate_headers(spark, tmp_path):
+    from cleanloom.sources import readers
+
+    (tmp_path / "d.csv").write_bytes("a, a,ب\n1,2,3\n".encode("cp1256"))
+    df = readers.read(spark, str(tmp_path / "d.csv"))
+    assert df.columns == ["a", "a.1", "ب"] and [tuple(r) for r in df.collect()] == [("1", "2", "3")]
+
+
 def test_encoding_from_all_bytes(spark, tmp_path):
     from cleanloom.sources import readers
 
