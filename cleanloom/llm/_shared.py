@@ -4,8 +4,6 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -14,6 +12,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..tables import removed, scratch, shared_dir, written  # noqa: F401
+
 #: Bytes of text that a Python worker turns into numpy arrays at a time.
 SLICE_BYTES = 1 << 20
 
@@ -25,34 +25,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a local one where that is unset (local mode)."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        found = spark.sparkContext.getCheckpointDir()
-        path = found or "file://" + tempfile.mkdtemp(prefix="cleanloom-")
-        spark.conf.set("spark.checkpoint.dir", path)
-    return path.rstrip("/")
-
-
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder."""
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-
-
-def written(df: DataFrame, name: str, folder: str | None = None) -> DataFrame:
-    """The rows of df as a written table in the shared folder (or a folder in it); cuts the lineage and survives lost executors."""
-    path = f"{folder}/{name}-{uuid.uuid4().hex}" if folder else scratch(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def removed(spark: SparkSession, path: str) -> None:
-    """Deletes a folder of tables that no plan reads any more."""
-    there = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    there.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(there, True)
-
-
 def ascii_lower(c: Column) -> Column:
     """Lower-cases A-Z and nothing else."""
     return F.translate(c, UPPER, LOWER)
@@ -82,6 +54,23 @@ def slices(batch: pa.RecordBatch, text: int, most: int = SLICE_BYTES) -> Iterato
         first = last
 
 
+#: A longer text is walked in parts of about so many bytes.
+LONG_BYTES = 4 << 20
+
+
+def cuts(data: np.ndarray, may_cut: Callable[[np.ndarray], np.ndarray]) -> list[int]:
+    """Where the parts of a long text start, and its end; may_cut names the positions of some bytes before which a part may start."""
+    at, n = [0], len(data)
+    while n - at[-1] > LONG_BYTES:
+        found, here = np.empty(0, np.int64), at[-1] + LONG_BYTES
+        while not len(found) and here < n:
+            found, here = here + may_cut(data[here : here + LONG_BYTES]), here + LONG_BYTES
+        if not len(found):
+            break
+        at.append(int(found[0]))
+    return [*at, n]
+
+
 #: What a worker holds between tasks: an owner, and how to drop it.
 _held: dict[str, Callable[[], None]] = {}
 
@@ -161,6 +150,16 @@ class Words:
             self.hash = np.empty(0, np.uint64)
 
 
+def word_hashes(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """hash and first of the Words; a single long text is walked in parts that start at blanks."""
+    if len(at) != 2 or len(data) <= LONG_BYTES:
+        w = Words(data, at)
+        return w.hash, w.first
+    ends = cuts(data, lambda x: np.flatnonzero(_BLANK[x]))
+    found = np.concatenate([Words(data[a:b], np.array([0, b - a])).hash for a, b in zip(ends[:-1], ends[1:], strict=True)])
+    return found, np.array([0, len(found)])
+
+
 _BLANK = np.zeros(256, bool)
 _BLANK[[0x20, *range(0x09, 0x0E)]] = True
 #: Lower-cases the bytes A-Z.

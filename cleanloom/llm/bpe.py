@@ -10,7 +10,9 @@ Decoding reverses the byte table: characters of the vocabulary's strings to byte
 character that is split over several ids comes out whole, because bytes are joined before UTF-8 is read.
 
 Defined results: null counts as an empty text and gives no ids; strings of special tokens within a text
-are ordinary text; repeated rows give repeated results; other columns of the input aren't looked at.
+are ordinary text; repeated rows give repeated results; texts of any length are taken whole, long ones walked in parts that
+start at blanks between ASCII letters or digits (without such blanks: about 60 bytes of memory for each byte); pairs of equal rank merge from the left; an empty table gives an empty result; other columns of the input
+aren't looked at.
 """
 
 from __future__ import annotations
@@ -22,7 +24,7 @@ import hashlib
 import json
 import os
 from collections.abc import Iterable, Iterator
-from itertools import chain
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -32,8 +34,10 @@ from . import _shared as sh
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
-#: Distinct words that a worker remembers before it forgets them all.
-CACHE_WORDS = 250_000
+#: Distinct words that a worker remembers before it forgets the half that it has not met for the longest time.
+CACHE_WORDS = 600_000
+#: Bytes of text that are cut into words at a time.
+SLICE_BYTES = 2 << 20
 
 LETTER, NUMBER, SPACE, OTHER = range(4)
 
@@ -95,6 +99,10 @@ def word_starts(points: np.ndarray, doc_starts: np.ndarray) -> np.ndarray:
     return start
 
 
+_PLAIN = np.zeros(256, bool)
+_PLAIN[list(b"0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz")] = True
+
+
 class Encoder:
     """Encodes Arrow arrays of texts. tokenizer: of the tokenizers library; it gets single words."""
 
@@ -113,6 +121,22 @@ class Encoder:
         self.flat_to = np.empty(0, np.int32)
         self.at = np.empty(0, np.int64)
         self.many = np.empty(0, np.int64)
+        self.met = np.empty(0, np.int32)
+        self.now = 0
+
+    def forget_half(self) -> None:
+        """Keeps the words met last."""
+        kept = np.sort(np.argsort(-self.met, kind="stable")[: len(self.met) // 2])
+        names, places = list(self.known), sh.ragged(self.at[kept], self.many[kept])
+        self.known = dict(zip([names[k] for k in kept.tolist()], range(len(kept)), strict=True))
+        self.flat = self.flat[places]
+        if self.offsets:
+            self.flat_from, self.flat_to = self.flat_from[places], self.flat_to[places]
+        self.many, self.met = self.many[kept], self.met[kept]
+        self.at = np.cumsum(self.many) - self.many
+
+    def find(self, words: list[str]) -> np.ndarray:
+        return np.fromiter(map(self.known.get, words, repeat(-1)), np.int64, len(words))
 
     def learn(self, words: list[str]) -> None:
         got = (self.tokenizer.encode_batch if self.offsets else self.tokenizer.encode_batch_fast)(words, add_special_tokens=False)
@@ -120,6 +144,7 @@ class Encoder:
         many = np.fromiter(map(len, ids), np.int64, len(ids))
         self.at = np.concatenate([self.at, len(self.flat) + np.cumsum(many) - many])
         self.many = np.concatenate([self.many, many])
+        self.met = np.append(self.met, np.zeros(len(many), np.int32))
         self.flat = np.concatenate([self.flat, np.fromiter(chain.from_iterable(ids), np.uint32, int(many.sum()))])
         if self.offsets:
             places = np.array([o for e in got for o in e.offsets], np.int32).reshape(-1, 2)
@@ -130,6 +155,18 @@ class Encoder:
     def __call__(self, texts: pa.Array) -> tuple[np.ndarray, ...]:
         """All ids, how many each text has, and with offsets the characters of its text from which to which each id reaches."""
         data, at = sh.text_buffer(texts)
+        if len(at) != 2 or len(data) <= sh.LONG_BYTES:
+            return self._encoded(data, at)
+        # A part starts at a blank between ASCII letters or digits, where every split of the text has a word start.
+        ends = sh.cuts(data, lambda x: 1 + np.flatnonzero(_PLAIN[x[:-2]] & (x[1:-1] == 0x20) & _PLAIN[x[2:]]))
+        found = [self._encoded(data[a:b], np.array([0, b - a])) for a, b in zip(ends[:-1], ends[1:], strict=True)]
+        ids, counts = np.concatenate([f[0] for f in found]), np.array([sum(len(f[0]) for f in found)])
+        if not self.offsets:
+            return ids, counts
+        before = np.cumsum([0, *(int(((data[a:b] & 0xC0) != 0x80).sum()) for a, b in zip(ends[:-1], ends[1:], strict=True))])
+        return ids, counts, *(np.concatenate([f[i] + n for f, n in zip(found, before[:-1], strict=True)]) for i in (2, 3))
+
+    def _encoded(self, data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, ...]:
         n_docs = len(at) - 1
         if not len(data):
             empty = np.empty(0, np.uint32), np.zeros(n_docs, np.int64)
@@ -142,11 +179,18 @@ class Encoder:
         byte_at = np.append(leads[starts], len(data)).astype(np.int64)
         words = pa.LargeStringArray.from_buffers(len(starts), pa.py_buffer(byte_at), pa.py_buffer(raw)).dictionary_encode()
         names = words.dictionary.to_numpy(zero_copy_only=False).tolist()
-        if len(self.known) + len(names) > CACHE_WORDS:
-            self.forget()
-        if missing := [w for w in names if w not in self.known]:
-            self.learn(missing)
-        which = np.fromiter(map(self.known.__getitem__, names), np.int64, len(names))[words.indices.to_numpy()]
+        which = self.find(names)
+        missing = np.flatnonzero(which < 0)
+        if len(missing) and len(self.known) + len(missing) > CACHE_WORDS:
+            self.forget_half()
+            which = self.find(names)
+            missing = np.flatnonzero(which < 0)
+        if len(missing):
+            which[missing] = len(self.known) + np.arange(len(missing))
+            self.learn([names[k] for k in missing.tolist()])
+        self.now += 1
+        self.met[which] = self.now
+        which = which[words.indices.to_numpy()]
         many = self.many[which]
         places = sh.ragged(self.at[which], many)
         before = np.append(0, np.cumsum(many))[np.searchsorted(byte_at, at)]
@@ -244,7 +288,7 @@ def encode(df: DataFrame, ranks_path: str, id_col: str = "doc_id", text_col: str
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = from_ranks(ranks_path, offsets)
         for batch in batches:
-            for part in sh.slices(batch, 1):
+            for part in sh.slices(batch, 1, SLICE_BYTES):
                 found = encoder(part.column(1))
                 ends = pa.array(np.append(0, np.cumsum(found[1])).astype(np.int32))
                 lists = [pa.ListArray.from_arrays(ends, pa.array(x.astype(np.int32))) for x in (found[0], *found[2:])]
@@ -274,7 +318,7 @@ def round_trip_digests(df: DataFrame, ranks_path: str, id_col: str = "doc_id", t
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, decoder = from_ranks(ranks_path), decoder_of_ranks(ranks_path)
         for batch in batches:
-            for part in sh.slices(batch, 1):
+            for part in sh.slices(batch, 1, SLICE_BYTES):
                 ids, counts = encoder(part.column(1))
                 data, sizes = decoder.many(ids, counts)
                 ends, byte_ends = np.cumsum(counts), np.cumsum(sizes)
