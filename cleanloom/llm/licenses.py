@@ -1,18 +1,21 @@
 """License scans: a trained paragraph classifier, in DataFrame functions only.
 
 A paragraph is a line that holds one of ANCHORS; where the line alone names no licence, it is the line with its neighbours up to a
-blank line (WRAPPED on each side at most), and then the whole block of lines between blank ones, as notices are wrapped. Paragraphs are turned into the set of their word 1- to 3-grams; a sparse
-logistic regression over these names a licence family or `unknown`. The family's probability is calibrated on
-variants that the fit didn't see, and templates of the named family confirm it: enough of the
-shorter side's word pairs must be shared. All of it happens within a document's row, without a shuffle.
-
-The model is trained on the driver from the templates below and from texts that hold anchors without being
+blank line (WRAPPED on each side at most), and then the whole block of lines between blank ones, as notices are wrapped. Paragraphs
+are turned into the set of their word 1- to 3-grams; a sparse logistic regression over these names a licence family or `unknown`.
+The family's probability is calibrated on notices that the fit has not seen, and templates of the named family confirm it: enough
+of the shorter side's word pairs must be shared; a family's short names are templates too, so that a short notice is confirmed by
+its name. Anchors only say where to look: words and parts of words one of which every notice of the families has.
+All of it happens within a document's row, without a shuffle.
+
+The model is trained on the driver from the notices below and from texts that hold anchors without being
 licences, each in many variants with words dropped, added and cut; L1 leaves a few hundred n-grams.
 
 Defined results: null and empty texts, and texts without an anchor, have no paragraphs, null licence and probability
 0.0; of several confirmed paragraphs the most probable names the licence (ties: the first name in alphabetical
-order); paragraphs that aren't confirmed count as unknown, and a document with only such ones has the licence `unknown`; repeated rows
-get equal results; other columns aren't looked at.
+order); paragraphs that aren't confirmed count as unknown, and a document with only such ones has the licence `unknown`; texts of
+any length are scanned as a whole, within a row; repeated rows get equal results; an empty table gives an empty result; other columns
+aren't looked at.
 """
 
 from __future__ import annotations
@@ -27,63 +30,85 @@ from pyspark.sql import functions as F
 
 from . import _shared as sh
 
-#: What every notice of the families holds at least one of (lower case).
-ANCHORS = ("licen", "copyright", "rights reserved", "public domain", "permission", "redistribut", "creative commons", "cc by", "cc0", "spdx")
-
-#: Notices of licence families, as they commonly stand in files.
-TEMPLATES = {
+#: What every notice of the families holds at least one of (lower case): parts of words, and whole words.
+ANCHORS = ("licen", "copyright", "rights reserved", "rights are reserved", "public domain", "permission", "redistribut", "creative commons", "spdx")
+ANCHOR_WORDS = ("gnu", "gpl", "gplv2", "gplv3", "lgpl", "agpl", "agplv3", "mit", "apache", "bsd", "mpl", "mozilla", "isc", "epl", "eclipse", "unlicense", "cc0", "cc by")
+
+#: How the licence families are named in notices.
+NAMES = {
+    "mit": ("MIT license", "MIT licence", "MIT style license", "Expat license", "MIT"),
+    "apache-2.0": ("Apache License", "Apache License version 2.0", "Apache 2.0 license", "Apache 2.0"),
+    "gpl": ("GNU General Public License", "GNU General Public License version 2", "GNU GPL", "GNU GPL version 3", "GPL version 2", "GPL v3", "GPLv3", "GPL 2.0 or later"),
+    "lgpl": ("GNU Lesser General Public License", "GNU Lesser General Public License version 2.1", "GNU LGPL", "LGPL version 3", "LGPL v2", "LGPL 2.1"),
+    "agpl": ("GNU Affero General Public License", "GNU Affero General Public License version 3", "GNU AGPL", "AGPL version 3", "AGPL v3", "AGPL 3.0"),
+    "bsd-2-clause": ("BSD 2 clause license", "2 clause BSD license", "simplified BSD license", "BSD 2 clause"),
+    "bsd-3-clause": ("BSD 3 clause license", "3 clause BSD license", "modified BSD license", "BSD style license", "BSD license", "BSD 3 clause"),
+    "isc": ("ISC license", "ISC licence", "ISC"),
+    "mpl-2.0": ("Mozilla Public License", "Mozilla Public License version 2.0", "MPL version 2", "MPL 2.0"),
+    "epl": ("Eclipse Public License", "Eclipse Public License version 1.0", "EPL version 2", "EPL 2.0"),
+    "cc-by": ("Creative Commons Attribution license", "Creative Commons Attribution 4.0 International license", "CC BY 3.0", "CC BY 4.0", "CC BY license", "CC BY"),
+    "cc-by-sa": ("Creative Commons Attribution ShareAlike license", "Creative Commons Attribution ShareAlike 4.0 International license", "CC BY SA 3.0", "CC BY SA 4.0", "CC BY SA license", "CC BY SA"),
+    "cc-by-nc": ("Creative Commons Attribution NonCommercial license", "Creative Commons Attribution NonCommercial 4.0 International license", "CC BY NC 3.0", "CC BY NC 2.0", "CC BY NC license", "CC BY NC"),
+    "public-domain": ("public domain", "CC0 1.0", "CC0", "Unlicense", "CC0 public domain dedication"),
+    "all-rights-reserved": ("all rights reserved", "all rights are reserved"),
+}
+#: What stands around the names: the classifier learns from the first ones and is calibrated on the others.
+CARRIERS = (
+    "{}", "distributed under the {}", "available under the terms of the {}", "this file is covered by the {}", "you may use it under {}", "the code comes with the {} see the file for details",
+    "made available by its authors under a {}", "this project uses the {}", "subject to the {} as published", "copyright 2019 by the authors {}", "SPDX license identifier {}", "the text falls under {} unless noted otherwise",
+)
+HELD_CARRIERS = ("published under {} by the maintainers", "the software is provided under the {}", "its license is the {}", "shared under the terms of {}")
+#: Longer notices, which don't name their family, or not first.
+NOTICES = {
     "mit": (
-        "Released under the MIT License.",
-        "This project is licensed under the terms of the MIT license.",
         "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files, to deal in the software without restriction.",
-        "SPDX-License-Identifier: MIT",
+        "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the software.",
     ),
     "apache-2.0": (
-        "Licensed under the Apache License, Version 2.0.",
         "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License.",
-        "SPDX-License-Identifier: Apache-2.0",
+        "You may obtain a copy of the Apache License at the address of the Apache Software Foundation.",
     ),
     "gpl": (
-        "This work is licensed under the GNU General Public License, version 3.",
         "You can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or any later version.",
-        "Licensed under the GPL version 2.",
-        "SPDX-License-Identifier: GPL-3.0-or-later",
+        "You should have received a copy of the GNU General Public License along with this program.",
     ),
     "lgpl": (
-        "This library is licensed under the GNU Lesser General Public License, version 2.1.",
-        "SPDX-License-Identifier: LGPL-2.1",
+        "You can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 2.1 of the License, or any later version.",
+        "You should have received a copy of the GNU Lesser General Public License along with this library.",
     ),
-    "bsd": (
+    "agpl": (
+        "You can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or any later version.",
+        "You should have received a copy of the GNU Affero General Public License along with this program.",
+    ),
+    "bsd-3-clause": (
         "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met.",
-        "Released under the BSD 3-Clause License.",
-        "SPDX-License-Identifier: BSD-3-Clause",
+        "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.",
     ),
+    "isc": ("Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",),
     "mpl-2.0": (
         "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
-        "Licensed under the Mozilla Public License, version 2.0.",
-    ),
-    "cc-by": (
-        "Licensed under CC BY 4.0.",
-        "This work is licensed under a Creative Commons Attribution 4.0 International License.",
-    ),
-    "cc-by-sa": (
-        "Licensed under CC BY-SA 4.0.",
-        "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.",
-    ),
-    "cc-by-nc": (
-        "Licensed under CC BY-NC 4.0.",
-        "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.",
+        "If a copy of the MPL was not distributed with this file, you can obtain one from Mozilla.",
     ),
+    "epl": ("This program and the accompanying materials are made available under the terms of the Eclipse Public License which accompanies this distribution.",),
     "public-domain": (
         "This is free and unencumbered software released into the public domain.",
-        "To the extent possible under law, the author has waived all copyright under CC0 1.0 Universal public domain dedication.",
+        "To the extent possible under law, the author has waived all copyright and related rights to this work.",
+        "The author places this file in the public domain.",
     ),
     "all-rights-reserved": (
-        "All rights reserved.",
-        "Copyright by the authors. All rights reserved.",
-        "No part of this publication may be reproduced without prior written permission. All rights reserved.",
+        "No part of this publication may be reproduced without prior written permission of the publisher; all rights reserved by the author.",
+        "Copyright 2019 Example Press, all rights reserved.",
     ),
 }
+#: Short phrases that confirm families whose names are one word.
+PHRASES = {
+    "gpl": ("under GPLv3", "the GPLv3", "GPLv3 license", "GPL 3.0"),
+    "mit": ("identifier MIT", "license MIT", "under MIT"),
+    "isc": ("identifier ISC", "license ISC", "under ISC"),
+    "public-domain": ("under CC0", "the CC0", "under Unlicense", "the Unlicense"),
+}
+#: What confirms a family: its longer notices, its names of several words, and its phrases.
+TEMPLATES = {f: (*NOTICES.get(f, ()), *(n for n in NAMES[f] if " " in n), *PHRASES.get(f, ())) for f in NAMES}
 
 #: Texts that hold anchors and are no licences.
 OTHERS = (
@@ -99,6 +124,14 @@ OTHERS = (
     "The lawyer explained which license would be best for a small company.",
     "Copyright law protects authors of books, films and songs.",
     "The redistribution of seats in parliament took two years.",
+    "She studied physics at MIT before she moved to the coast.",
+    "The Apache helicopter landed near the old bridge.",
+    "A solar eclipse was seen over the general assembly hall.",
+    "The gnu is a large antelope of the African plains.",
+    "Public transport in the city is free on Sundays.",
+    "Version 2 of the report was sent to the members of the foundation.",
+    "Software for the source code of the project may be used by any person.",
+    "The terms of the contract were published in the general newspaper.",
 )
 
 UNKNOWN = "unknown"
@@ -142,12 +175,15 @@ def _variants(text: str, rng: np.random.Generator, many: int) -> list[set[str]]:
 
 
 @functools.cache
-def trained(seed: int = 11, variants: int = 24, features: int = 2000, steps: int = 200, sparsity: float = 1e-3) -> Model:
-    """Fits by proximal gradient descent, then the temperature on variants that were held out."""
+def trained(seed: int = 11, variants: int = 24, features: int = 4000, steps: int = 200, sparsity: float = 1e-3) -> Model:
+    """Fits by proximal gradient descent on names in CARRIERS and on variants of longer notices, then the temperature on names in HELD_CARRIERS, which the fit hasn't seen."""
     rng = np.random.default_rng(seed)
-    families = (*TEMPLATES, UNKNOWN)
-    texts = [(k, t) for k, f in enumerate(families) for t in TEMPLATES.get(f, OTHERS)]
-    samples = [(k, v, i % 4 == 3) for k, t in texts for i, v in enumerate(_variants(t, rng, variants))]
+    families = (*NAMES, UNKNOWN)
+    samples = [(k, grams(words(c.format(n))), c in HELD_CARRIERS) for k, f in enumerate(NAMES) for n in NAMES[f] for c in (*CARRIERS, *HELD_CARRIERS)]
+    longer = [(k, t, i % 4 == 3) for k, f in enumerate(families) for i, t in enumerate(NOTICES.get(f, () if f in NAMES else OTHERS))]
+    samples += [(k, v, held) for k, t, held in longer for v in _variants(t, rng, variants)]
+    # Carriers alone name nothing.
+    samples += [(len(NAMES), grams(words(c.format(x))), c in HELD_CARRIERS) for c in (*CARRIERS[1:], *HELD_CARRIERS) for x in ("", "license", "terms of the contract", "version 2", "public school", "general assembly")]
     often: dict[str, int] = {}
     for _, v, held in samples:
         if not held:
@@ -176,7 +212,7 @@ def trained(seed: int = 11, variants: int = 24, features: int = 2000, steps: int
         q = z / t - (z / t).max(1, keepdims=True)
         return float(-((q - np.log(np.exp(q).sum(1, keepdims=True))) * y[held]).sum())
 
-    temperature = min(np.linspace(0.2, 3, 57), key=loss)
+    temperature = min(np.linspace(0.5, 3, 51), key=loss)
     used = np.flatnonzero(np.abs(w).max(1) > 0)
     return Model(families, tuple(vocabulary[i] for i in used), np.round(w[used].astype(float), 6), np.round(b.astype(float), 6), float(temperature))
 
@@ -225,12 +261,17 @@ def _paragraph(line: Column, model: Model) -> Column:
     return _let(F.regexp_extract_all(F.lower(line), F.lit(WORD), F.lit(0)), of_words)
 
 
+def anchor_pattern() -> str:
+    """Where an anchor stands in a lower-cased text."""
+    return f"{'|'.join(map(re.escape, ANCHORS))}|\\b(?:{'|'.join(a.replace(' ', '[ -]') for a in ANCHOR_WORDS)})\\b"
+
+
 def scanned(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """A row for each row: doc_id, licence, probability, families (confirmed ones, sorted), n_paragraphs (with anchors), n_confirmed."""
     model = trained()
     low = sh.ascii_lower(F.coalesce(F.col(text_col), F.lit("")))
-    anchored = functools.reduce(lambda a, b: a | b, (F.contains(low, F.lit(a)) for a in ANCHORS))
-    pattern = "|".join(map(re.escape, ANCHORS))
+    pattern = anchor_pattern()
+    anchored = F.rlike(low, F.lit(pattern))
     holds = lambda x: F.rlike(sh.ascii_lower(x), F.lit(pattern))
 
     def of_block(block: Column) -> Column:
