@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import functools
+import re
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -30,15 +31,21 @@ def arabic_months(c: Column) -> Column:
 def _shaped(c: Column, fmt: str) -> Column:
     """The date in one format; the shape is tested first, so that years have four digits (two for yy)."""
     fields = {"yy": r"\d{2}", "y": r"\d{4}", "MMMM": "[A-Za-z]{3,}", "MMM": "[A-Za-z]{3}", "M": r"\d{1,2}", "d": r"\d{1,2}", "H": r"\d{1,2}", "m": r"\d{1,2}", "s": r"\d{1,2}", "'T'": "T"}
-    import re
-
     shape = "".join(fields.get(x, re.escape(x)) for x in re.findall(r"yy|MMMM|MMM|'T'|[yMdHms]|.", fmt))
     return F.when(F.rlike(c, F.lit(f"^{shape}$")), F.to_date(F.try_to_timestamp(c, F.lit(fmt))))
 
 
 def listed(c: Column, formats: tuple[str, ...] = V.DATE_FORMATS) -> Column:
-    """The first of the formats that reads the text."""
-    return functools.reduce(F.coalesce, (_shaped(c, f) for f in formats))
+    """The first of the formats that reads the text. Only formats with the text's marks between letters and digits are tried."""
+    by_marks: dict[str, list[str]] = {}
+    for f in formats:
+        by_marks.setdefault(re.sub("[A-Za-z']", "", f), []).append(f)
+
+    def tried(marks: Column) -> Column:
+        cases = [(marks == m, functools.reduce(F.coalesce, (_shaped(c, f) for f in own))) for m, own in by_marks.items()]
+        return functools.reduce(lambda rest, case: F.when(*case).otherwise(rest), reversed(cases), F.lit(None).cast("date"))
+
+    return let(F.regexp_replace(c, "[A-Za-z0-9]", ""), tried)
 
 
 def parse(c: Column) -> Column:

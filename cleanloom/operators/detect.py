@@ -15,10 +15,6 @@ from . import rows
 from .headers import any_header
 from .quantiles import quantiles
 
-#: Columns that one aggregate takes, so that generated code stays compilable.
-GROUP_OF_COLUMNS = 50
-
-
 def share(condition: Column, of: Column | None = None) -> Column:
     """The share of rows (with `of`) where the condition holds; null without rows."""
     hit = F.coalesce(condition, F.lit(False)).cast("double")
@@ -63,32 +59,26 @@ def imputation_guides(df: DataFrame) -> tuple[str | None, str | None]:
 
 @any_header
 def evidence(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
-    """A row a column: what its cells look like. One pass (one a group of GROUP_OF_COLUMNS)."""
+    """A row a column: what its cells look like. One pass over the table counts its values; patterns look at distinct values only."""
     columns = list(columns or rows.visible(df))
-    out = None
-    for first in range(0, len(columns), GROUP_OF_COLUMNS):
-        part = columns[first : first + GROUP_OF_COLUMNS]
-        long = df.agg(F.array(*(F.struct(F.lit(c).alias("column"), _facts(F.col(rows.quoted(c))).alias("f")) for c in part)).alias("x"))
-        long = long.select(F.explode("x").alias("x")).select("x.column", "x.f.*")
-        out = long if out is None else out.unionByName(long)
-    counts = rows.cells(df, [], columns).where("value IS NOT NULL").groupBy("column", "value").agg(F.lit(1)).groupBy("column").agg(F.count(F.lit(1)).alias("__distinct"))
-    return out.join(counts, "column", "left").select("column", "total", "filled", F.coalesce("__distinct", F.lit(0)).alias("distinct_values"), *out.columns[3:])
-
-
-def _facts(c: Column) -> Column:
-    s = T.strip(c.cast("string"))
-    there = c.isNotNull()
+    n, v = F.col("n"), F.col("value")
+    counts = rows.cells(df, [], columns).groupBy("column", "value").agg(F.count(F.lit(1)).alias("n"))
+    # Columns of empty tables have a row as well.
+    every = df.sparkSession.range(1).select(F.explode(F.array(*map(F.lit, columns))).alias("column"), F.lit(None).cast("string").alias("value"), F.lit(0).cast("long").alias("n"))
+    s, there = T.strip(v), v.isNotNull()
     low = F.lower(s)
-    return F.struct(
-        F.count(F.lit(1)).alias("total"), F.count(c).alias("filled"),
-        share(dates.parse(s).isNotNull() & ~F.rlike(s, F.lit(V.NUMBER)), there).alias("dates"),  # a number may be a serial, which doesn't make a column of dates
-        share(F.rlike(s, F.lit(V.NUMBER)), there).alias("numbers"),
-        share(numeric.plain_double(F.regexp_replace(s, "[, ]", "")).isNotNull(), there).alias("castable"),
-        share(low.isin(*V.BOOLEANS), there).alias("booleans"), F.avg(F.length(s)).alias("mean_length"), F.avg(F.when(there, F.size(F.regexp_extract_all(s, F.lit(r"(?U)\w+"), F.lit(0))))).alias("mean_words"),
-        share(F.rlike(s, F.lit(V.EMAIL)), there).alias("emails"), share(F.rlike(s, F.lit(V.PHONE)) & (F.length(F.regexp_replace(s, r"\D", "")) >= 7), there).alias("phones"),
-        share(T.language(s) == "ar", there).alias("arabic"), share(T.language(s) == "en", there).alias("english"), share(T.language(s) == "mixed", there).alias("mixed"),
-        share(F.rlike(s, F.lit(r"\d")) & F.rlike(s, F.lit(r"\p{L}")), there).alias("digits_and_letters"), share(numeric.mixed_number(s).isNotNull(), there).alias("mixed_numbers"),
-        share(F.contains(s, F.lit("@")) & F.contains(s, F.lit(".")), there).alias("at_signs"),
+    filled = F.sum(F.when(there, n))
+    part = lambda hit: F.try_divide(F.sum(F.when(there, F.when(F.coalesce(hit, F.lit(False)), n).otherwise(0))), filled)
+    mean = lambda size: F.try_divide(F.sum(F.when(there, size * n)), filled)
+    return counts.unionByName(every).groupBy("column").agg(
+        F.sum("n").alias("total"), F.coalesce(filled, F.lit(0)).alias("filled"), F.count(F.when(there, 1)).alias("distinct_values"),
+        part(dates.parse(s).isNotNull() & ~F.rlike(s, F.lit(V.NUMBER))).alias("dates"),  # a number may be a serial, which doesn't make a column of dates
+        part(F.rlike(s, F.lit(V.NUMBER))).alias("numbers"), part(numeric.plain_double(F.regexp_replace(s, "[, ]", "")).isNotNull()).alias("castable"),
+        part(low.isin(*V.BOOLEANS)).alias("booleans"), mean(F.length(s)).alias("mean_length"), mean(F.size(F.regexp_extract_all(s, F.lit(r"(?U)\w+"), F.lit(0)))).alias("mean_words"),
+        part(F.rlike(s, F.lit(V.EMAIL))).alias("emails"), part(F.rlike(s, F.lit(V.PHONE)) & (F.length(F.regexp_replace(s, r"\D", "")) >= 7)).alias("phones"),
+        part(T.language(s) == "ar").alias("arabic"), part(T.language(s) == "en").alias("english"), part(T.language(s) == "mixed").alias("mixed"),
+        part(F.rlike(s, F.lit(r"\d")) & F.rlike(s, F.lit(r"\p{L}"))).alias("digits_and_letters"), part(numeric.mixed_number(s).isNotNull()).alias("mixed_numbers"),
+        part(F.contains(s, F.lit("@")) & F.contains(s, F.lit("."))).alias("at_signs"),
     )
 
 

@@ -285,14 +285,29 @@ ORACLE_SQL |= {
     "cluster_weighted": f"SELECT c_custkey, {_pick(_DEVICES_TO, 'device')} FROM customer",
     "cluster_semantic_words": f"SELECT c_custkey, {_pick(_DEVICES_TO, 'device')} FROM customer",
     "cluster_summary": "SELECT 'device' AS \"column\", CAST(3 AS BIGINT) AS corrections, CAST(2 AS BIGINT) AS masters",
-    "text_forms_of_scripts": f"SELECT c_custkey, {_pick(('fine', 'A1', 'café', 'naïve No5', 'سؤال', 'plain'), 'nfkc')}, {_pick(Q.SCRIPTS, 'v')[: -len(' AS v')]} || '!' AS shown, {_pick(('Fine', 'Ａ１', 'Café', 'Naïve №5', 'سؤال', 'Plain'), 'v')[: -len(' AS v')]} || '''S O''Neil' AS title FROM customer",
+    "text_forms_of_scripts": f"SELECT c_custkey, {_pick(('fine', 'A1', 'café', 'naïve No5', 'سؤال', 'plain'), 'nfkc')}, {_picked('c_custkey', Q.SCRIPTS)} || '!' AS shown, {_picked('c_custkey', ('Fine', 'Ａ１', 'Café', 'Naïve №5', 'سؤال', 'Plain'))} || '''S O''Neil' AS title FROM customer",
     "export_report": f"WITH {_DIRTY_ORDERS} " + " UNION ALL ".join(f"SELECT '{c}' AS \"column\", count(*) FILTER ({c} IS NULL) AS null_count, round(100.0 * count(*) FILTER ({c} IS NULL) / count(*), 2) AS null_pct FROM o" for c in ("o_orderstatus", "o_orderpriority", "o_totalprice")),
     "export_styles": f"WITH {_DIRTY_ORDERS} SELECT 'o_orderstatus' AS \"column\", o_orderkey, 'missing' AS kind, least(greatest(length('o_orderstatus') + 2, 10), 50) AS width FROM o WHERE o_orderstatus IS NULL",
     "stream_windows": "SELECT strftime(ts, '%Y-%m-%d') AS day, event_type, count(*) AS n FROM events GROUP BY 1, 2",
     "headers_of_any_kind": f"WITH {_DIRTY_ORDERS} " + " UNION ALL ".join(f"SELECT '{name}' AS \"column\", count(*) FILTER ({c} IS NULL) AS null_count, round(100.0 * count(*) FILTER ({c} IS NULL) / count(*), 2) AS null_pct FROM o" for name, c in (("o_orderkey", "o_orderkey"), ("Status No.", "o_orderkey"), ("a`b", "o_orderpriority"), ("Total [EUR]", "o_totalprice"))),
-    "pipeline_second_engine": f"SELECT c_custkey, CAST({_picked('c_custkey', ('10', '20.5', '?', '1000', '11', '12', '13', '14'))} AS VARCHAR) AS level, {_pick(('2024-02-03', '2021-06-05'), 'moment')}, {_pick(('red car', 'red car', 'red car'), 'label')}, CASE WHEN c_custkey % 8 = 2 THEN 'level: ''none yet'' is no number' ELSE '' END AS Notes FROM customer".replace("CAST((['10', '20.5', '?', '1000', '11', '12', '13', '14'])[CAST(c_custkey % 8 AS INTEGER) + 1] AS VARCHAR)", "TRY_CAST((['10', '20.5', '?', '1000', '11', '12', '13', '14'])[CAST(c_custkey % 8 AS INTEGER) + 1] AS DOUBLE)"),
+    "pipeline_second_engine": f"SELECT c_custkey, TRY_CAST({_picked('c_custkey', ('10', '20.5', '?', '1000', '11', '12', '13', '14'))} AS DOUBLE) AS level, {_pick(('2024-02-03', '2021-06-05'), 'moment')}, 'red car' AS label, CASE WHEN c_custkey % 8 = 2 THEN 'level: ''none yet'' is no number' ELSE '' END AS Notes FROM customer",
     "pipeline_clean_data": f"SELECT c_custkey AS id, 'C' || c_custkey AS code, CAST(c_custkey AS DOUBLE) AS total_price, {_pick(('+201012345678', '', ''), 'phone')}, {_pick(('Red Car', 'Red Car', 'Red Car', 'Blue Bike'), 'goods')}, {_pick(('Vehicle', 'Vehicle', 'Vehicle', 'Vehicle'), 'category')}, {_pick(('2024-02-03', '2020-03-15', 'soon'), 'order_date')}, false AS beyond FROM customer",
     "cluster_names": "WITH c AS (SELECT CASE WHEN c_custkey % 5 < 3 THEN 'John Smith' WHEN c_custkey % 5 = 3 THEN 'Mary Jones' ELSE 'Marry Jones' END AS name FROM customer), n AS (SELECT count(*) FILTER (name = 'Mary Jones') AS a, count(*) FILTER (name = 'Marry Jones') AS b FROM c) SELECT CASE WHEN name = 'John Smith' THEN name WHEN b >= a THEN 'Marry Jones' ELSE 'Mary Jones' END AS name, count(*) AS n FROM c, n GROUP BY 1",
     "detect_grouping": f"WITH {_DIRTY_LINEITEM}, w AS (SELECT var_samp(l_extendedprice) AS v, count(l_extendedprice) AS k FROM li) "
     + " UNION ALL ".join(f"SELECT '{g}' AS \"group\", round(var_samp(m) / any_value(w.v) * count(*) / any_value(w.k), 6) AS score FROM (SELECT median(l_extendedprice) OVER (PARTITION BY {g}) AS m FROM li WHERE {g} IS NOT NULL AND l_extendedprice IS NOT NULL), w" for g in ("l_quantity", "l_returnflag", "l_linenumber", "l_partkey")),
+    "pipeline_clustering": _rows('"column", old_value, new_value, method, score', "'device', 'wireless mouse', 'Wireless Mouse', 'weighted_ratio', 85.714::DOUBLE", "'device', 'Wireles Mouse', 'Wireless Mouse', 'weighted_ratio', 96.296::DOUBLE", "'device', 'Keybord', 'Keyboard', 'weighted_ratio', 93.333::DOUBLE"),
+    "detect_evidence": f"WITH x AS (SELECT 'amount_text' AS \"column\", {_pick(Q.NUMBERS, 'v')} FROM customer UNION ALL SELECT 'contact', {_picked('c_custkey', Q.PHONES)} FROM customer UNION ALL SELECT 'mail', c_name || '@example.com' FROM customer UNION ALL SELECT 'c_mktsegment', c_mktsegment FROM customer UNION ALL SELECT 'active', CASE WHEN c_custkey % 2 = 0 THEN 'yes' ELSE 'no' END FROM customer), "
+    + f"s AS (SELECT *, {_strip('v')} AS s FROM x) SELECT \"column\", count(*) AS total, count(v) AS filled, count(DISTINCT v) AS distinct_values, round(avg(CAST({_has('s', V.NUMBER)} AS INT)), 6) AS numbers, round(avg(CAST(lower(s) IN {_in(tuple(V.BOOLEANS))} AS INT)), 6) AS booleans, round(avg(CAST({_has('s', V.EMAIL)} AS INT)), 6) AS emails, round(avg(length(s)), 6) AS mean_length, round(avg(CAST({_language('s')} = 'en' AS INT)), 6) AS english FROM s GROUP BY 1",
+    "profile_whole": " UNION ALL ".join(
+        [f"SELECT '{c}' AS \"column\", 'text' AS type, count(*) AS total, count(*) - count({c}) AS null_count, count(DISTINCT {c}) AS \"unique\", CAST(NULL AS DOUBLE) AS mean, CAST(NULL AS DOUBLE) AS median, CAST(NULL AS BIGINT) AS outliers, (SELECT string_agg(v, '|' ORDER BY n DESC, v) FROM (SELECT {c} AS v, count(*) AS n FROM customer GROUP BY 1 ORDER BY n DESC, v LIMIT 5)) AS top FROM customer" for c in ("c_name", "c_mktsegment")]
+        + [f"SELECT '{c}', 'numeric', count(*), count(*) - count({c}), count(DISTINCT {c}), round(avg({c}), 2), round(median({c}), 2), count(*) FILTER ({c} < q1 - 1.5 * (q3 - q1) OR {c} > q3 + 1.5 * (q3 - q1)), NULL FROM customer, (SELECT quantile_cont({c}, 0.25) AS q1, quantile_cont({c}, 0.75) AS q3 FROM customer)" for c in ("c_nationkey", "c_acctbal")]
+    ),
+    "pipeline_clean_audit": " UNION ALL ".join(
+        f"SELECT '{column}' AS \"column\", {old} AS old_value, '{new}' AS new_value, count(*) AS n FROM customer WHERE c_custkey % {n} = {k}" + (" AND c_custkey % 4 <> 3" if column == "category" and k != 3 else "")
+        for column, old, new, n, k in (
+            ("phone", "'01012345678'", "", 3, 1), ("phone", "'12345'", "", 3, 2), ("goods", "'red car'", "Red Car", 4, 0), ("goods", "'car red'", "Red Car", 4, 1), ("goods", "' red car'", "Red Car", 4, 2), ("goods", "'blue bike'", "Blue Bike", 4, 3),
+            ("order_date", "'15/03/2020'", "2020-03-15", 3, 1), ("category", "'vehicle'", "Vehicle", 1, 0), ("category", "CAST(NULL AS VARCHAR)", "Vehicle", 4, 3),
+        )
+    ),
+    "impute_universal": f"WITH {_DIRTY_ORDERS}, c AS (SELECT o_orderpriority AS p, lower(o_orderstatus) AS v, count(*) AS n FROM o WHERE o_orderstatus IS NOT NULL GROUP BY ALL), m AS (SELECT p, v AS m FROM c QUALIFY row_number() OVER (PARTITION BY p ORDER BY n DESC, v) = 1) SELECT coalesce(lower(o_orderstatus), m) AS o_orderstatus, CASE WHEN o_orderstatus IS NOT NULL THEN 'Original Value' WHEN m IS NOT NULL THEN 'Filled by Item Context' END AS status, count(*) AS n FROM o LEFT JOIN m ON o_orderpriority IS NOT DISTINCT FROM p GROUP BY 1, 2",
 }
