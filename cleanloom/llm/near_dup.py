@@ -9,10 +9,9 @@
    candidate; a larger region is entered one value deeper where its common prefixes are shortest, again and again, and its next
    neighbours are candidates too. Candidates pass by the sizes of their sets (exact) and by four bits of every minimum
    (LEAST_EQUAL of MINIMA).
-3. Rounds. Only classes of different components are compared. First FIRST_TREES orders, then all, name of the candidates of a
-   range, the most alike first, those that could join what is apart: fewer than the range has rows. They are confirmed on full sets
-   and join components. Last, all candidates that are still apart are confirmed. So a large group of near copies costs a few pairs
-   for each member.
+3. Rounds. Only classes of different components are compared. First each range names, of its candidates and the most alike
+   first, those that could join what is apart: fewer than the range has rows. They are confirmed on full sets and join components.
+   Then all candidates that are still apart are confirmed. So a large group of near copies costs a few pairs for each member.
 4. Large regions. A class that fewer than SAFE_TREES orders have in small regions, counted over all ranges, is joined
    exactly with the others of its kind: by a prefix filter on full sets, rare shingles first. So no bound on a region loses a link.
 Components of links are contracted in tasks of bounded size, then by alternating large and small stars. Ids and labels stay
@@ -24,18 +23,21 @@ A pair at the threshold is missed by a tree with probability 0.25, its first val
 Defined results: null and empty texts, and texts without words, have 0 shingles and are linked with nothing;
 a null id has a null component and is kept; repeated rows get equal results; rows of one id with several texts are one document,
 linked where one of its texts is;
-an empty table gives an empty result; other columns aren't looked at.
+texts of any length are taken whole, long ones walked in parts, so that their shingles (some 5 bytes for each byte) are what takes
+memory, but for a single word, which takes about 100 bytes for each of its own; ties of similarity don't
+matter, as all links count; an empty table gives an empty result; other columns aren't looked at.
 """
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import _shared as sh
@@ -47,8 +49,6 @@ TREES = 16
 DEPTH = 8
 #: Members of a region whose pairs are all candidates, at most; and rows at the edge of a range that meet the next one.
 REGION = 32
-#: Trees whose regions say what is still apart before all trees do.
-FIRST_TREES = 4
 #: A class that so many trees have in regions of at most REGION members meets all that it is linked with in one of them, but for a
 #: chance of 0.25 ** SAFE_TREES. The others are joined exactly.
 SAFE_TREES = 13
@@ -58,8 +58,8 @@ LEAST_EQUAL = 64
 RANGE_ROWS = 50_000
 #: The prefix filter orders shingles by how often those with the same first bits occur; only the most frequent bits are
 #: counted exactly. Any order gives the same links.
-SKETCH_BITS = 20
-COMMON = 1 << 16
+SKETCH_BITS = 18
+COMMON = 1 << 15
 #: Tasks that the pairs of one class are dealt to, at most.
 SLOTS = 32
 #: Edges that a task contracts, about.
@@ -77,13 +77,13 @@ _TERMS = _RANDOM.integers(0, 1 << 63, MINIMA, dtype=np.uint64)
 def shingle_sets(texts: pa.Array, words: int = WORDS) -> list[np.ndarray]:
     """The sorted distinct shingle hashes of each text."""
     data, at = sh.text_buffer(texts)
-    w = sh.Words(sh.LOWER_BYTES[data], at)
-    h = sh.mix64(w.hash + np.uint64(words))
+    hashes, first = sh.word_hashes(sh.LOWER_BYTES[data], at)
+    h = sh.mix64(hashes + np.uint64(words))
     whole = np.zeros(max(0, len(h) - words + 1), np.uint64)
     for i in range(words):
         whole = sh.mix64(whole + h[i : i + len(whole)])
     out = []
-    for a, b in zip(w.first[:-1].tolist(), w.first[1:].tolist(), strict=True):
+    for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True):
         if b - a >= words:
             x = np.sort(whole[a : b - words + 1])
             out.append(x[np.append(True, x[1:] != x[:-1])])
@@ -209,19 +209,19 @@ _ENTRY_NAMES = ["tree", "prefix", "bits", "rep", "n", "root"]
 _PAIR = ["a", "b", "u", "v"]
 
 
-def candidates(classes: DataFrame, folder: str, trees: int, whole: bool) -> tuple[DataFrame, DataFrame]:
-    """What some of the forest's trees, spread over it, name among classes (rep, n, sig, bits, root).
+def candidates(classes: DataFrame, many: int, folder: str, whole: bool) -> tuple[DataFrame, DataFrame]:
+    """What the forest names among the `many` classes (rep, n, sig, bits, root).
 
     First: pairs a < b of classes whose roots u, v differ, the more alike ones that suffice to join what a range could join, or
     (whole) all. Second: tree, first of the regions with more than REGION members of several roots, counted over all ranges.
     """
     step, width = MINIMA // TREES, 4 * DEPTH
     doubled = F.concat("sig", F.substring("sig", 1, width))
-    wide = classes.select("rep", "n", doubled.alias("__sig"), "bits", "root").withColumn("tree", F.explode(F.array(*(F.lit(t) for t in range(0, TREES, TREES // trees)))))
+    wide = classes.select("rep", "n", doubled.alias("__sig"), "bits", "root").withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))))
     entries = wide.select("tree", F.expr(f"substring(__sig, tree * {4 * step} + 1, {width})").alias("prefix"), "bits", "rep", "n", "root")
     order = ["tree", "prefix", "rep"]
-    ranges = max(1, classes.count() * trees // RANGE_ROWS)
-    kinds = dict.fromkeys(_PAIR, pa.int64()) | {"part": pa.int32(), "head": pa.bool_(), "tree": pa.int32(), "prefix": pa.binary(), "bits": pa.binary(), "rep": pa.int64(), "n": pa.int64(), "root": pa.int64(), "members": pa.int64(), "least": pa.int64(), "last": pa.int64()}
+    ranges = max(1, many * TREES // RANGE_ROWS)
+    kinds = dict.fromkeys(_PAIR, pa.int64()) | {"border": pa.int32(), "tree": pa.int32(), "prefix": pa.binary(), "bits": pa.binary(), "rep": pa.int64(), "n": pa.int64(), "root": pa.int64(), "members": pa.int64(), "least": pa.int64(), "last": pa.int64()}
     size = REGION
 
     def told(**columns) -> pa.RecordBatch:
@@ -251,22 +251,19 @@ def candidates(classes: DataFrame, folder: str, trees: int, whole: bool) -> tupl
         if got:
             rows = pa.Table.from_batches(got)
             yield from found_in(rows)
-            for head, edge in ((True, rows.slice(0, size)), (False, rows.slice(max(0, len(rows) - size)))):
-                m = len(edge)
-                yield told(part=[TaskContext.get().partitionId()] * m, head=[head] * m, **{c: edge[c] for c in _ENTRY_NAMES})
+            here = TaskContext.get().partitionId()
+            for border, edge in ((here - 1, rows.slice(0, size)), (here, rows.slice(max(0, len(rows) - size)))):
+                yield told(border=[border] * len(edge), **{c: edge[c] for c in _ENTRY_NAMES})
 
     def across(rows: pa.Table) -> pa.Table:
         rows = rows.sort_by([("tree", "ascending"), ("prefix", "ascending"), ("rep", "ascending")])
         return pa.Table.from_batches(found_in(rows)).select(_PAIR).filter(pc.is_valid(pc.field("a")))
 
     pair = ", ".join(f"{c} bigint" for c in _PAIR)
-    schema = f"{pair}, part int, head boolean, {_ENTRY}, members bigint, least bigint, last bigint"
+    schema = f"{pair}, border int, {_ENTRY}, members bigint, least bigint, last bigint"
     found = sh.written(entries.repartitionByRange(ranges, *order).sortWithinPartitions(*order).mapInArrow(sh.frugal(run), schema), "candidates", folder)
-    edges = found.where(F.col("part").isNotNull())
-    # The range before each one that has rows.
-    before = edges.select("part").distinct().withColumn("__before", F.lag("part").over(Window.orderBy("part")))
-    edges = edges.join(before, "part").withColumn("__border", F.when(F.col("head"), F.col("__before")).otherwise(F.col("part"))).where(F.col("__border").isNotNull())
-    met = edges.select("__border", *_ENTRY_NAMES).groupBy("__border").applyInArrow(across, pair)
+    # The end of a range meets the start of the next one. Each range but the last has rows, as the last row of each is one of the order.
+    met = found.where(F.col("border").isNotNull()).select("border", *_ENTRY_NAMES).groupBy("border").applyInArrow(across, pair)
     regions = found.where(F.col("members").isNotNull()).groupBy("tree", F.col("prefix").alias("first")).agg(F.sum("members").alias("members"), F.count(F.lit(1)).alias("parts"), F.min("least").alias("least"), F.max("last").alias("last"))
     # Parts in two ranges meet at the border; those of three don't.
     regions = regions.where(((F.col("members") > REGION) | (F.col("parts") > 2)) & (F.col("least") < F.col("last"))).select("tree", "first")
@@ -335,9 +332,9 @@ def joined(sets: DataFrame, folder: str) -> DataFrame:
     return others.join(mixed.drop("__main"), "item").where(fits).select(ends.alias("e")).select(F.col("e.id").alias("a"), F.col("e.__id").alias("b"), F.col("e.root").alias("u"), F.col("e.__root").alias("v")).dropDuplicates(["a", "b"])
 
 
-def sets_of(docs: DataFrame, ids: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """id, sets array<binary> (the distinct sets, each sorted 64-bit hashes, of the texts under the id) for each id in ids."""
-    few = ids.count() <= BROADCAST_IDS
+def sets_of(docs: DataFrame, ids: DataFrame, most: int, id_col: str, text_col: str) -> DataFrame:
+    """id, sets array<binary> (the distinct sets, each sorted 64-bit hashes, of the texts under the id) for each of at most `most` distinct ids."""
+    few = most <= BROADCAST_IDS
     mine = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).join(F.broadcast(ids) if few else ids, "id", "left_semi" if few else "inner")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -348,13 +345,13 @@ def sets_of(docs: DataFrame, ids: DataFrame, id_col: str, text_col: str) -> Data
     return mine.select("id", "text").mapInArrow(sh.frugal(run), "id bigint, items binary").groupBy("id").agg(F.collect_set("items").alias("sets"))
 
 
-def confirmed(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, folder: str, percent: int = 75) -> DataFrame:
-    """u, v of the pairs (a, b, u, v) with 100 * intersection >= percent * union. Each b's sets travel once a pair; each a's, once
+def confirmed(pairs: DataFrame, many: int, docs: DataFrame, id_col: str, text_col: str, percent: int = 75) -> DataFrame:
+    """u, v of the `many` pairs (a, b, u, v) with 100 * intersection >= percent * union. Each b's sets travel once a pair; each a's, once
     to each of SLOTS tasks that its pairs are dealt to, so that an a with many pairs is no task's burden."""
     pairs = pairs.withColumn("slot", F.pmod(F.xxhash64("b"), F.lit(SLOTS)).cast("int"))
-    ids = sh.written(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "ids", folder)
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
     heads = pairs.select("a", "slot", F.col("a").alias("id"), F.lit(None).cast("long").alias("u"), F.lit(None).cast("long").alias("v")).distinct()
-    rows = heads.unionByName(pairs.select("a", "slot", F.col("b").alias("id"), "u", "v")).join(sets_of(docs, ids, id_col, text_col), "id")
+    rows = heads.unionByName(pairs.select("a", "slot", F.col("b").alias("id"), "u", "v")).join(sets_of(docs, ids, 2 * many, id_col, text_col), "id")
     rows = rows.select("a", "slot", F.col("u").isNotNull().alias("member"), "u", "v", "sets")
 
     def alike(x: np.ndarray, y: np.ndarray) -> bool:
@@ -400,12 +397,11 @@ def _print(df: DataFrame) -> tuple:
 
 
 def components(edges: DataFrame, folder: str) -> DataFrame:
-    """id, root: the smallest id that each end of the edges (u, v) reaches, for ends that reach a smaller one.
+    """id, root: the smallest id that each end of the edges (a table u, v) reaches, for ends that reach a smaller one.
 
     Tasks of about LOCAL_EDGES edges contract what they hold. What several of them leave alternates large and small stars until
     nothing changes.
     """
-    edges = sh.written(edges.where("u != v"), "edges", folder)
     tasks = max(1, -(-edges.count() // LOCAL_EDGES))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -426,41 +422,41 @@ def components(edges: DataFrame, folder: str) -> DataFrame:
         edges = sh.written(small.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u != v").distinct(), "edges", folder)
         now = _print(edges)
         if now == last:
+            edges = edges.groupBy("u").agg(F.min("v").alias("v"))
             break
         last = now
-    return edges.groupBy(F.col("u").alias("id")).agg(F.min("v").alias("root"))
+    return edges.select(F.col("u").alias("id"), F.col("v").alias("root"))
 
 
 def linked(docs: DataFrame, classes: DataFrame, id_col: str, text_col: str, folder: str) -> DataFrame:
     """id, root for each class that is linked with a smaller one."""
-    roots = docs.sparkSession.createDataFrame([], "id bigint, root bigint")
-    met = None
+    many, met, links, roots = classes.count(), None, [], None
 
     def labelled() -> DataFrame:
+        if roots is None:
+            return classes.withColumn("root", F.col("rep"))
         of = roots.select(F.col("id").alias("rep"), F.col("root").alias("__root"))
         return sh.written(classes.join(of, "rep", "left").select(*classes.columns, F.coalesce("__root", "rep").alias("root")), "labelled", folder)
 
-    def merged(pairs: DataFrame) -> DataFrame:
+    def merged(pairs: DataFrame) -> None:
         """The roots after the links among those pairs."""
-        new = sh.written(components(confirmed(pairs, docs, id_col, text_col, folder), folder), "new", folder)
-        moved = roots.join(new.select(F.col("id").alias("root"), F.col("root").alias("__root")), "root", "left").select("id", F.coalesce("__root", "root").alias("root"))
-        # Roots that now have a smaller one have labels of their own.
-        return sh.written(moved.unionByName(new), "roots", folder)
-
-    regions = None
-    for trees, whole in ((FIRST_TREES, False), (TREES, False), (TREES, True)):
-        pairs, regions = candidates(labelled(), folder, trees, whole)
+        nonlocal roots
+        if n := pairs.count():
+            links.append(sh.written(confirmed(pairs, n, docs, id_col, text_col), "links", folder))
+            roots = components(functools.reduce(DataFrame.unionByName, links), folder)
+
+    for whole in (False, True):
+        pairs, regions = candidates(labelled(), many, folder, whole)
         pairs = sh.written(pairs if met is None else pairs.join(met, ["a", "b"], "left_anti"), "pairs", folder)
         met = pairs.select("a", "b") if met is None else met.unionByName(pairs.select("a", "b"))
-        if not pairs.isEmpty():
-            roots = merged(pairs)
+        merged(pairs)
     # What large regions still hold apart.
     crowd = sh.written(crowded(labelled(), regions), "crowd", folder)
-    if crowd.select("root").distinct().limit(2).count() < 2:
-        return roots
-    sets = sets_of(docs, crowd.select("id"), id_col, text_col).join(crowd, "id").select("id", "root", F.explode("sets").alias("items"))
-    rest = sh.written(joined(sh.written(sets, "sets", folder), folder).join(met, ["a", "b"], "left_anti"), "pairs", folder)
-    return roots if rest.isEmpty() else merged(rest)
+    there = crowd.agg(F.count(F.lit(1)).alias("n"), (F.min("root") < F.max("root")).alias("apart")).first()
+    if there["apart"]:
+        sets = sets_of(docs, crowd.select("id"), there["n"], id_col, text_col).join(crowd, "id").select("id", "root", F.explode("sets").alias("items"))
+        merged(sh.written(joined(sh.written(sets, "sets", folder), folder).join(met, ["a", "b"], "left_anti"), "pairs", folder))
+    return roots if roots is not None else docs.sparkSession.createDataFrame([], "id bigint, root bigint")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
