@@ -7,6 +7,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -74,6 +75,30 @@ def test_topk(spark):
     assert topk.nearest(empty, empty).count() == 0
 
 
+def test_topk_of_large_components(spark):
+    rows = [(0, [20000.0, 1.0]), (1, [1e5, -1e5]), (2, [-3e8, 2.5]), (3, [1e-9, 4e3]), (100, [2e3, 1e5]), (101, [5e14, 1.0])]
+    kept = topk.quantised(spark.createDataFrame(rows, "vec_id bigint, embedding array<double>"))
+    plain = {i: [int(np.floor(1024 * x)) for x in v] for i, v in rows}
+    want = {(q, r + 1, i, s) for q in (0, 100) for r, (s, i) in enumerate(sorted(((sum(a * b for a, b in zip(plain[q], v, strict=True)), i) for i, v in plain.items() if i != q and i != 101), key=lambda x: (-x[0], x[1])))}
+    asked = kept.where("vec_id % 100 = 0")
+    assert {tuple(r) for r in topk.nearest(kept.where("vec_id < 101"), asked).select("query_id", "rank", "vec_id", "score").collect()} == want
+    for wrong in (lambda: topk.nearest(kept, asked).collect(), lambda: topk.quantised(spark.createDataFrame([(1, [1e300])], "vec_id bigint, embedding array<double>")).collect()):
+        with pytest.raises(Exception, match="fit 64 bits"):
+            wrong()
+
+
+def test_lists_leave_most_vectors_alone():
+    """Vectors with energy in few dimensions, as trained embeddings have: few are scored in full, and the result is the plain one."""
+    rng = np.random.default_rng(4)
+    v = (1024 * rng.normal(size=(3000, 32)) * 0.7 ** np.arange(32)).astype(np.int64)
+    lists = topk.Lists(np.arange(3000), v)
+    for q in range(0, 3000, 300):
+        rows, scores = lists.best(v[q], q, 10)
+        plain = sorted((-int(s), i) for i, s in enumerate(v @ v[q]) if i != q)[:10]
+        assert sorted(zip((-scores).tolist(), rows.tolist(), strict=True)) == plain
+    assert lists.scored < 0.2 * 10 * 3000
+
+
 def test_threshold_stops_early():
     rng = np.random.default_rng(1)
     v = np.zeros((5000, 4), np.int64)
@@ -191,9 +216,20 @@ def test_sharding(spark, corpus, bucket):
         assert max(share) - min(share) <= 2
     again = sharding.interleaved(df.repartition(2), 8, bucket_rows=bucket).collect()
     assert {(r["doc_id"], r["shard"], r["slot"]) for r in got} == {(r["doc_id"], r["shard"], r["slot"]) for r in again}
-    # Plain version of the same order.
-    rank = sorted(((r["shard"], r["slot"]) for r in got))
-    assert len(rank) == len(set(rank))
+    # A plain version of the same order.
+    rows = [(r["h"], r["doc_id"], zlib.crc32((texts[r["doc_id"]] or "").encode()), len((texts[r["doc_id"]] or "").encode()) + 1) for r in df.select("doc_id", F.xxhash64(F.lit(42), "doc_id", F.crc32(F.coalesce("text", F.lit("")).cast("binary")), (F.octet_length(F.coalesce("text", F.lit("")).cast("binary")) + 1).cast("long")).alias("h")).collect()]
+    strata = {}
+    for row in rows:
+        source = sources[row[1]]
+        strata.setdefault("-" if source is None else f"+{source}", []).append(row)
+    buckets = -(-len(rows) // bucket)
+    shuffled = lambda row: (((row[0] & (1 << 64) - 1) >> 20) % buckets, row)
+    order = sorted(((2 * k + 1) / (2 * len(own)), name, *row) for name, own in strata.items() for k, row in enumerate(sorted(own, key=shuffled)))
+    want, n = {}, len(order)
+    for place, row in enumerate(order):
+        shard = place * 8 // n
+        want[row[3]] = shard, place - (shard * n + 7) // 8
+    assert {r["doc_id"]: (r["shard"], r["slot"]) for r in got} == want
     assert sharding.interleaved(df.limit(0)).count() == 0
 
 
@@ -280,7 +316,7 @@ def test_borders_between_ranges(spark, corpus, monkeypatch):
 
 def test_large_regions_lose_nothing(spark, corpus, monkeypatch):
     """With tiny regions and orders of one value, links come from the exact last step."""
-    for name, value in (("REGION", 2), ("DEPTH", 1), ("RANGE_ROWS", 100), ("FIRST_TREES", 1)):
+    for name, value in (("REGION", 2), ("DEPTH", 1), ("RANGE_ROWS", 100)):
         monkeypatch.setattr(near_dup, name, value)
     got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in near_dup.near_duplicates(docs(spark, corpus)).collect()}
     assert got == plain_components(corpus)
@@ -301,7 +337,7 @@ def passage_pairs():
 
 def test_split_regions_lose_nothing(spark, passage_pairs, monkeypatch):
     """Pairs that part within a region too large for all its pairs."""
-    for name, value in (("TREES", 4), ("REGION", 8), ("FIRST_TREES", 1), ("SAFE_TREES", 4)):
+    for name, value in (("TREES", 4), ("REGION", 8), ("SAFE_TREES", 4)):
         monkeypatch.setattr(near_dup, name, value)
     got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in near_dup.near_duplicates(docs(spark, passage_pairs)).collect()}
     assert got == plain_components(passage_pairs)
@@ -352,6 +388,105 @@ def test_quality(spark):
     assert quality.score(df.limit(0), none).count() == 0
 
 
+def test_trees_against_plain_versions():
+    """Boosting, traversal and statistics, each against its plain form."""
+    rng = np.random.default_rng(5)
+    x = np.column_stack([rng.integers(0, 6, 60), rng.normal(size=60).round(1)]).astype(float)
+    y = (x[:, 0] + x[:, 1] + rng.normal(size=60) * 0.5 > 3).astype(float)
+    model = quality.grow(x, y, trees=5, depth=2, bins=8, least=1.0)
+    edges = [np.unique(np.quantile(c, np.linspace(0, 1, 9)[1:-1])) for c in x.T]
+    base = np.log(y.mean() / (1 - y.mean()))
+    total, ridge, rate = np.full(60, base), 2.0, 0.15
+
+    def split(rows, p):
+        """(gain, feature, edge) of the best split of some rows, by looking at each."""
+        g, h = p[rows] - y[rows], p[rows] * (1 - p[rows])
+        best = (1e-6, 0, np.inf)
+        for f in range(2):
+            for e in edges[f]:
+                left = x[rows, f] <= e
+                if h[left].sum() >= 1.0 and h[~left].sum() >= 1.0:
+                    gain = g[left].sum() ** 2 / (h[left].sum() + ridge) + g[~left].sum() ** 2 / (h[~left].sum() + ridge) - g.sum() ** 2 / (h.sum() + ridge)
+                    if gain > best[0] + 1e-12:
+                        best = gain, f, e
+        return best
+
+    for _ in range(5):
+        p = 1 / (1 + np.exp(-total))
+        groups = [np.arange(60)]
+        for _ in range(2):
+            parts = []
+            for rows in groups:
+                _, f, e = split(rows, p) if len(rows) else (0, 0, np.inf)
+                parts += [rows[x[rows, f] <= e], rows[x[rows, f] > e]]
+            groups = parts
+        step = np.zeros(60)
+        for rows in groups:
+            step[rows] = -rate * (p[rows] - y[rows]).sum() / ((p[rows] * (1 - p[rows])).sum() + ridge)
+        total = total + step
+    assert np.allclose(model(x), 1 / (1 + np.exp(-total)))
+    for row, score in zip(x, model(x), strict=True):  # one tree after the other, node by node
+        z = model.base
+        for feature, threshold, leaf in zip(model.feature, model.threshold, model.leaf, strict=True):
+            node = 0
+            while node < len(feature):
+                node = 2 * node + 1 + (row[feature[node]] > threshold[node])
+            z += leaf[node - len(feature)]
+        assert score == pytest.approx(1 / (1 + np.exp(-z)))
+
+
+def test_statistics_against_plain_versions():
+    texts = ["", None, "One two two TWO!! 12 é é\n\nline two", "a b c d e f a b c d e f a b c d e f", "HELLO WORLD hello", "x|y ## z", "same line.\nsame line.\nother", "word " * 40]
+    got = quality.statistics(pa.array(texts))
+    share = lambda k, n: k / max(n, 1)
+    for row, text in zip(got, texts, strict=True):
+        raw = (text or "").encode()
+        w = re.findall(rb"[^\x20\x09-\x0D]+", raw)
+        runs = lambda k: [tuple(w[i : i + k]) for i in range(len(w) - k + 1)]  # noqa: B023, E731
+        lines = [tuple(re.findall(rb"[^\x20\x09-\x0D]+", x)) for x in raw.split(b"\n")]
+        lines = [x for x in lines if x]
+        mean = share(sum(map(len, w)), len(w))
+        want = {
+            "log_bytes": np.log1p(len(raw)), "log_words": np.log1p(len(w)), "word_length": mean, "word_length_spread": np.sqrt(max(share(sum(len(x) ** 2 for x in w), len(w)) - mean**2, 0)), "longest_word": np.log1p(max(map(len, w), default=0)),
+            "upper": share(sum(65 <= b <= 90 for b in raw), len(raw)), "digits": share(sum(48 <= b <= 57 for b in raw), len(raw)), "exclamation": share(raw.count(b"!"), len(raw)), "pipes": share(raw.count(b"|"), len(raw)), "wide": share(sum(b >= 128 for b in raw), len(raw)),
+            "distinct_words": share(len(set(w)), len(w)), "top_word": share(max((w.count(x) for x in set(w)), default=0), len(w)), "same_as_previous": share(sum(a == b for a, b in zip(w, w[1:])), len(w)),
+            "distinct_pairs": share(len(set(runs(2))), len(runs(2))) if runs(2) else 1.0, "distinct_fives": share(len(set(runs(5))), len(runs(5))) if runs(5) else 1.0, "short_words": share(sum(len(x) <= 3 for x in w), len(w)),
+            "shouted_words": share(sum(sum(65 <= b <= 90 for b in x) >= max(2, 0.5 * len(x)) for x in w), len(w)), "repeated_lines": 1 - share(len(set(lines)), len(lines)) if lines else 0.0, "lines_ended": share(sum(x[-1][-1:] in b".!?" for x in lines), len(lines)), "sentence_ends": share(sum(x[-1:] in b".!?" for x in w), len(w)),
+        }
+        for name, value in want.items():
+            assert row[quality.FEATURES.index(name)] == pytest.approx(value), (name, text)
+
+
+def test_repeated_labelled_rows_are_learnt_once(spark):
+    rows = [(i, "good words stand here now" if i % 2 else "bad bad bad bad") for i in range(40)]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id bigint, quality int")
+    once = quality.fit(spark.createDataFrame(rows, "doc_id bigint, text string"), labels)
+    often = quality.fit(spark.createDataFrame(rows + [(1, rows[1][1])] * 500, "doc_id bigint, text string"), labels)
+    assert np.array_equal(once.leaf, often.leaf)
+
+
+def test_registered_queries(spark):
+    """The columns of each registered query on the smallest tables."""
+    from cleanloom.llm import queries
+
+    sf = "/root/testdata/sf0.001"
+    want = {
+        "op1_threshold_topk": "query_id bigint, rank int, vec_id bigint, score bigint", "op2_exact_dedup": "doc_id bigint, keep_id bigint, group_size bigint, kept boolean, text_sha256 string",
+        "op3_vector_packing": "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint", "op4_warc_index": "page_id bigint, payload_bytes bigint, payload_digest string, record_type string, refers_to bigint",
+        "op5_stratified_shards": "doc_id bigint, size bigint, text_crc32 bigint, law string, shard int, slot bigint, grown_shard int", "op6_lsh_forest": "doc_id bigint, n_shingles bigint, component_id bigint, kept boolean",
+        "op7_byte_bpe": "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string", "op8_quality_trees": "doc_id bigint, held_out boolean, score double, predicted int",
+        "op9_license_scan": "doc_id bigint, licence string", "op10_temporal_url_list": "page_id bigint, blocked boolean",
+    }
+    for name, columns in want.items():
+        df = queries.QUERIES[name](spark, sf)
+        kinds = dict(df.dtypes)
+        assert {k: kinds.get(k) for k in dict(c.split() for c in columns.split(", "))} == dict(c.split() for c in columns.split(", ")), name
+        if name not in ("op1_threshold_topk", "op3_vector_packing"):
+            key = columns.split()[0]
+            table = {"doc_id": "documents", "page_id": "pages"}[key]
+            assert sorted(r[0] for r in df.select(key).collect()) == sorted(r[0] for r in spark.read.parquet(f"{sf}/{table}.parquet").select(key).collect()), name
+
+
 def test_license_scan(spark):
     texts = [None, "", "no notice here", "Text.\nLicensed under CC BY-NC 4.0.", "Released under the MIT License.\nmore", "All rights reserved.", "She renewed her driving licence at the city office last week.", "Licensed under the Apache License, Version 2.0.\nReleased under the MIT License.", "This work is licensed under the GNU General Public License, version 3.", "licence " * 20_000]
     got = {r["doc_id"]: r for r in licenses.scanned(docs(spark, texts)).collect()}
@@ -361,7 +496,7 @@ def test_license_scan(spark):
     for i, text in enumerate(texts):  # brute force
         best = []
         for line in (text or "").split("\n"):
-            if any(a in line.translate(UPPER) for a in licenses.ANCHORS):
+            if re.search(licenses.anchor_pattern(), line.translate(UPPER)):
                 g, w = licenses.grams(licenses.words(line)), licenses.words(line)
                 z = model.bias + sum((model.weights[k] for k, v in enumerate(model.vocabulary) if v in g), np.zeros(len(model.families)))
                 p = np.exp((z - z.max()) / model.temperature)
@@ -376,6 +511,21 @@ def test_license_scan(spark):
     assert licenses.scanned(docs(spark, texts).limit(0)).count() == 0
 
 
+def test_unseen_notices(spark):
+    """Notices that stand neither among what the classifier learns nor among the templates, and texts that are none."""
+    notices = {
+        "Distributed under the MIT licence, with thanks.": "mit", "Code is available under an MIT-style license": "mit", "distributed under the terms of the GNU GPL version 2 or later": "gpl",
+        "GNU AGPL v3": "agpl", "Permission to use, copy, modify, and distribute this software for any purpose with or without fee is hereby granted": "isc", "licensed under the 3-clause BSD license": "bsd-3-clause",
+        "BSD 2-Clause License, see below": "bsd-2-clause", "Eclipse Public License - v 2.0": "epl", "This work is licensed under the GNU General Public License, version 3.": "gpl", "Licensed under CC BY-NC 4.0.": "cc-by-nc",
+        "Licensed under CC BY-SA 4.0.": "cc-by-sa", "Released under the LGPL version 3 by us": "lgpl", "He went to MIT": "unknown", "Licensed under the EUPL": "unknown", "The licence plate was stolen": "unknown", "No such thing here": None,
+    }
+    learnt = {" ".join(licenses.words(c.format(n))) for own in licenses.NAMES.values() for n in own for c in licenses.CARRIERS} | {" ".join(licenses.words(t)) for own in licenses.NOTICES.values() for t in own}
+    assert not learnt & {" ".join(licenses.words(t)) for t in notices}
+    got = {r["doc_id"]: r["licence"] for r in licenses.scanned(docs(spark, list(notices))).collect()}
+    assert [got[i] for i in range(len(notices))] == list(notices.values())
+    assert all(re.search(licenses.anchor_pattern(), t.lower()) for own in licenses.TEMPLATES.values() for t in own)
+
+
 def test_wrapped_notices(spark):
     mpl = "This Source Code Form is subject to the terms of the Mozilla Public\nLicense, v. 2.0. If a copy of the MPL was not distributed with this\nfile, You can obtain one."
     mit = "Permission is hereby granted, free\nof charge, to any person\nobtaining a copy of this\nsoftware and associated\ndocumentation files, to deal\nin the software without restriction."
@@ -386,11 +536,68 @@ def test_wrapped_notices(spark):
 def test_packing_keeps_empty_documents():
     packer = packing.Packer(2048, 4096, 2048, 0)
     for k in range(3000):
-        packer.add(k, np.array([1], np.uint32), np.array([False]))
+        packer.add(k, np.array([1], np.uint32), 0, 0)
     packer.finish()
     assert sorted(r[0] for r in packer.flush()) == list(range(3000))
 
 
+@pytest.mark.parametrize("sizes,limits,binding", [([700] * 300, (2048, 64, 1000), "loss"), ([4] * 3000 + [40] * 50, (2048, 16, 2048), "segments"), ([500, 900, 5000, 30_000] * 20, (2048, 64, 1792), "tokens")])
+def test_each_limit_binds(sizes, limits, binding):
+    """Sequences that one limit closes, while all hold all three; ids come back whole."""
+    packer = packing.Packer(*limits, 0, waiting=64)
+    ids = [np.arange(n, dtype=np.uint32) for n in sizes]
+    for k, x in enumerate(ids):
+        packer.add(k, x, len(x) // 4, len(x) - 1)
+    packer.finish()
+    sequences, pieces = {}, {}
+    for key, start, n, crc, total, loss, sequence, offset in packer.flush():
+        assert crc == zlib.crc32(ids[key][start : start + n].tobytes()) and total == sizes[key]
+        assert loss == max(0, min(start + n, total - 1) - max(start, total // 4))
+        sequences.setdefault(sequence, []).append((offset, n, loss))
+        pieces.setdefault(key, []).append((start, n))
+    for k, own in pieces.items():
+        assert sum(n for _, n in own) == sizes[k] and [s for s, _ in sorted(own)] == [sum(n for _, n in sorted(own)[:i]) for i in range(len(own))]
+    filled = []
+    for own in sequences.values():
+        tokens, loss = sum(n for _, n, _ in own), sum(x for *_, x in own)
+        assert tokens <= limits[0] and len(own) <= limits[1] and loss <= limits[2]
+        assert tokens == limits[0] or tokens & (tokens - 1) == 0
+        filled.append({"tokens": tokens == limits[0], "segments": len(own) == limits[1], "loss": loss == limits[2]})
+    assert sum(f[binding] for f in filled) >= 10
+
+
+def test_long_texts_in_parts(json_path, monkeypatch):
+    """Parts give what the whole gives."""
+    from tokenizers import Tokenizer
+
+    rng = random.Random(12)
+    text = "".join(rng.choice([" ", "  ", "\n", " a", "b ", "don't ", "é", "日本 ", "12 3", "'s x", " "]) for _ in range(3000))
+    encoder = bpe.Encoder(Tokenizer.from_file(json_path), offsets=True)
+    whole = [x.tolist() for x in encoder(pa.array([text]))]
+    shingles_ = near_dup.shingle_sets(pa.array([text]))[0].tolist()
+    monkeypatch.setattr(bpe.sh, "LONG_BYTES", 64)
+    assert [x.tolist() for x in encoder(pa.array([text]))] == whole
+    assert near_dup.shingle_sets(pa.array([text]))[0].tolist() == shingles_
+    giant = "x" * 500
+    assert len(near_dup.shingle_sets(pa.array([giant]))[0]) == 1 and encoder(pa.array([giant]))[1].tolist() == [len(Tokenizer.from_file(json_path).encode(giant, add_special_tokens=False).ids)]
+
+
+def test_half_of_the_words_is_forgotten(json_path, monkeypatch):
+    from tokenizers import Tokenizer
+
+    monkeypatch.setattr(bpe, "CACHE_WORDS", 40)
+    encoder = bpe.Encoder(Tokenizer.from_file(json_path), offsets=True)
+    plain = Tokenizer.from_file(json_path)
+    rng = random.Random(8)
+    for _ in range(30):
+        texts = [" ".join(words(rng, rng.randrange(12), 60)) for _ in range(4)]
+        ids, counts, starts, ends = encoder(pa.array(texts))
+        want = [plain.encode(t, add_special_tokens=False) for t in texts]
+        assert counts.tolist() == [len(w.ids) for w in want] and ids.tolist() == [i for w in want for i in w.ids]
+        assert list(zip(starts.tolist(), ends.tolist(), strict=True)) == [o for w in want for o in w.offsets]
+    assert 0 < len(encoder.known) <= 100
+
+
 def test_url_filter(spark):
     pages = clashing(spark.createDataFrame([(1, "http://ads.example.com/x", "2024-02-01"), (2, "http://ads.example.com/x", "2024-04-01"), (3, "https://a.ads.example.com/", "2024-02-01"), (4, "http://u:p@EXAMPLE.com:80/ok/1", "2024-02-01"), (5, None, "2024-02-01"), (6, "nothing", "2024-02-01"), (7, "http://example.com/ok", None), (8, "http://notexample.com/", "2024-02-01"), (9, "http://example.com/ok", "2025-02-01"), (1, "http://ads.example.com/x", "2024-02-01")], "page_id bigint, url string, fetched string").withColumn("fetched", F.to_date("fetched")))
     entries = clashing(spark.createDataFrame([("ads.example.com", "2024-01-01", "block"), ("ads.example.com", "2024-03-01", "remove"), ("example.com", "2024-01-15", "block"), ("example.com/ok", "2024-01-20", "allow"), ("example.com/ok", "2024-12-20", None), ("example.com", "2024-03-15", "allow"), ("example.com", "2024-03-15", "remove"), (None, "2024-01-01", "block"), ("x", None, "block")], "pattern string, since string, action string").withColumn("since", F.to_date("since")))
