@@ -630,6 +630,21 @@ def test_pipeline(spark):
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality_trees", "exact_dedup", "lsh_forest", "vector_packing"]
 
 
+def test_pipeline_stages_on_odd_rows(spark):
+    """Nulls, empty, long and repeated rows, clashing names, empty tables."""
+    import corpus_pipeline
+
+    sf = "/root/testdata/sf0.001"
+    odd = docs(spark, [None, "", "same text of six words here", "same text of six words here", "Same TEXT of six words here", "x" * 100_000, None], [1, 2, 3, 3, 4, 5, None])
+    ids = lambda df: sorted(str(r["doc_id"]) for r in df.collect())
+    assert ids(corpus_pipeline.exact_stage(spark, odd, sf)) == ["2", "4", "5"]
+    assert ids(corpus_pipeline.near_stage(spark, odd, sf)) == ["1", "2", "3", "3", "5", "None"]
+    assert set(ids(corpus_pipeline.packing_stage(spark, odd, sf))) == {"1", "2", "3", "4", "5", "None"}
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        assert stage(spark, odd, sf).columns == odd.columns
+    assert all(stage(spark, odd.limit(0), sf).count() == 0 for _, stage in corpus_pipeline.STAGES)
+
+
 def test_nothing_outside_imports_this():
     from pathlib import Path
 
