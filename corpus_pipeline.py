@@ -2,6 +2,11 @@
 
 Each stage takes (spark, docs, sf_dir) and works on all rows that the one before kept. Documents come
 through with the columns of the documents table; the last stage returns pieces of packed sequences.
+
+Defined results: null texts are empty ones, and are scored, compared and packed as such; a null id is never linked with another
+document; rows of one id that are left after a stage are all left, and are packed one by one; very long texts come through whole;
+of equal texts the largest id stays, of near copies the smallest; an empty table gives an empty result; columns of any
+name come through unchanged.
 """
 
 from __future__ import annotations
