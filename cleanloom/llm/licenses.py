@@ -21,6 +21,7 @@ aren't looked at.
 from __future__ import annotations
 
 import functools
+import json
 import re
 from dataclasses import dataclass
 
@@ -30,9 +31,10 @@ from pyspark.sql import functions as F
 
 from . import _shared as sh
 
-#: What every notice of the families holds at least one of (lower case): parts of words, and whole words.
+#: What every notice of the families holds at least one of: parts of words and whole words in any case, and names in capitals ("mit" is a German word).
 ANCHORS = ("licen", "copyright", "rights reserved", "rights are reserved", "public domain", "permission", "redistribut", "creative commons", "spdx")
-ANCHOR_WORDS = ("gnu", "gpl", "gplv2", "gplv3", "lgpl", "agpl", "agplv3", "mit", "apache", "bsd", "mpl", "mozilla", "isc", "epl", "eclipse", "unlicense", "cc0", "cc by")
+ANCHOR_WORDS = ("gnu", "gpl", "gplv2", "gplv3", "lgpl", "agpl", "agplv3", "apache", "bsd", "mozilla", "eclipse", "cc0", "cc by", "cc-by")
+ANCHOR_NAMES = ("MIT", "ISC", "MPL", "EPL")
 
 #: How the licence families are named in notices.
 NAMES = {
@@ -217,15 +219,9 @@ def trained(seed: int = 11, variants: int = 24, features: int = 4000, steps: int
     return Model(families, tuple(vocabulary[i] for i in used), np.round(w[used].astype(float), 6), np.round(b.astype(float), 6), float(temperature))
 
 
-def _sql(value) -> str:
-    if isinstance(value, str):
-        return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
-    return f"array({', '.join(map(_sql, value))})" if isinstance(value, (list, tuple)) else f"{value!r}D"
-
-
 def _constant(value, kind: str) -> Column:
-    """A literal of any depth; the optimizer folds it into one."""
-    return F.expr(f"CAST({_sql(value)} AS {kind})")
+    """A literal of any depth; the optimizer reads it once."""
+    return F.from_json(F.lit(json.dumps(value)), kind)
 
 
 def _let(value: Column, then) -> Column:
@@ -241,8 +237,10 @@ def _paragraph(line: Column, model: Model) -> Column:
     templates = _constant([[pairs_of(t) for t in TEMPLATES.get(f, ())] for f in model.families], "array<array<array<string>>>")
 
     def of_words(w: Column) -> Column:
-        joined = lambda n: F.transform(F.sequence(F.lit(1), F.greatest(F.size(w) - (n - 1), F.lit(1))), lambda i: F.array_join(F.slice(w, i, n), " "))
-        return _let(joined(2), lambda pairs: _let(F.array_intersect(F.flatten(F.array(w, pairs, joined(3))), vocabulary), lambda hits: of_hits(hits, pairs)))
+        # Each run of words with the word after it; a single word is its own pair.
+        longer = lambda runs, k: F.zip_with(F.slice(runs, 1, F.size(w) - k), F.slice(w, k + 1, F.size(w) - k), lambda a, b: F.concat(a, F.lit(" "), b))
+        triples = lambda pairs: F.when(F.size(w) > 2, longer(pairs, 2)).otherwise(pairs)
+        return _let(F.when(F.size(w) > 1, longer(w, 1)).otherwise(w), lambda pairs: _let(F.array_intersect(F.flatten(F.array(w, pairs, triples(pairs))), vocabulary), lambda hits: of_hits(hits, pairs)))
 
     def of_hits(hits: Column, pairs: Column) -> Column:
         add = lambda acc, h: F.zip_with(acc, F.element_at(rows, F.array_position(vocabulary, h).cast("int")), lambda a, b: a + b)
@@ -262,35 +260,36 @@ def _paragraph(line: Column, model: Model) -> Column:
 
 
 def anchor_pattern() -> str:
-    """Where an anchor stands in a lower-cased text."""
-    return f"{'|'.join(map(re.escape, ANCHORS))}|\\b(?:{'|'.join(a.replace(' ', '[ -]') for a in ANCHOR_WORDS)})\\b"
+    """Where an anchor stands in a text."""
+    return f"(?i:{'|'.join(map(re.escape, ANCHORS))}|\\b(?:{'|'.join(map(re.escape, ANCHOR_WORDS))})\\b)|\\b(?:{'|'.join(ANCHOR_NAMES)})\\b"
 
 
 def scanned(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """A row for each row: doc_id, licence, probability, families (confirmed ones, sorted), n_paragraphs (with anchors), n_confirmed."""
     model = trained()
-    low = sh.ascii_lower(F.coalesce(F.col(text_col), F.lit("")))
-    pattern = anchor_pattern()
-    anchored = F.rlike(low, F.lit(pattern))
-    holds = lambda x: F.rlike(sh.ascii_lower(x), F.lit(pattern))
+    holds = lambda x: F.rlike(x, F.lit(anchor_pattern()))
+    # Most texts lack the letters of any anchor, which is found faster than the pattern.
+    any_of = lambda x, parts: functools.reduce(lambda a, b: a | b, (F.contains(x, F.lit(a)) for a in parts))
+    anchored = (any_of(F.col(text_col), ANCHOR_NAMES) | any_of(sh.ascii_lower(F.col(text_col)), (*ANCHORS, *ANCHOR_WORDS))) & holds(F.col(text_col))
 
     def of_block(block: Column) -> Column:
-        """struct(line, near, block) of each line of a block with an anchor."""
+        """The results of the lines of a block with an anchor."""
         around = lambda ls, i: F.array_join(F.slice(ls, F.greatest(i + 1 - WRAPPED, F.lit(1)), i + 1 + WRAPPED - F.greatest(i + 1 - WRAPPED, F.lit(1)) + 1), " ")
-        return _let(F.split(block, "\n"), lambda ls: F.filter(F.transform(ls, lambda x, i: F.when(holds(x), F.struct(x.alias("line"), around(ls, i).alias("near"), block.alias("block")))), lambda x: x.isNotNull()))
+        lines = lambda ls: F.filter(F.transform(ls, lambda x, i: F.when(holds(x), F.struct(x.alias("line"), around(ls, i).alias("near")))), lambda x: x.isNotNull())
+        return _let(F.split(block, "\n"), lambda ls: _let(F.transform(lines(ls), of_line), lambda found: F.when((F.size(ls) == 1) | F.forall(found, lambda r: r["confirmed"]), found).otherwise(_let(_paragraph(block, model), lambda w: with_block(found, w)))))
 
-    blocks = F.filter(F.split(F.col(text_col), r"\n[ \t\r]*\n"), holds)
-    lines = F.when(anchored, F.flatten(F.transform(blocks, of_block))).otherwise(F.array().cast("array<struct<line:string,near:string,block:string>>"))
-    base = docs.select(F.col(id_col).alias("doc_id"), lines.alias("__lines"))
+    def of_line(x: Column) -> Column:
+        """The line's result; where that isn't confirmed and the line's with its neighbours is, that one."""
+        return _let(_paragraph(x["line"], model), lambda alone: F.when(alone["confirmed"] | (x["near"] == x["line"]), alone).otherwise(_let(_paragraph(x["near"], model), lambda w: F.when(w["confirmed"], w).otherwise(alone))))
 
-    def widened(x: Column) -> Column:
-        """The line's result; where that isn't confirmed and a wider text is, the wider one's."""
-        wider = lambda alone, y, then: F.when(alone["confirmed"] | (y == x["line"]), alone).otherwise(_let(_paragraph(y, model), lambda w: F.when(w["confirmed"], w).otherwise(then(alone))))
-        return _let(_paragraph(x["line"], model), lambda alone: wider(alone, x["near"], lambda a: wider(a, x["block"], lambda b: b)))
+    def with_block(found: Column, whole: Column) -> Column:
+        """The results, those that aren't confirmed replaced by the whole block's where that is."""
+        return F.when(whole["confirmed"], F.transform(found, lambda r: F.when(r["confirmed"], r).otherwise(whole))).otherwise(found)
 
+    blocks = F.filter(F.split(F.col(text_col), r"\n[ \t\r]*\n"), holds)
     none = F.array().cast("array<struct<probability:double,family:string,confirmed:boolean>>")
-    # The lines of most rows are none; what follows is worked out for the rest.
-    base = base.select("doc_id", F.when(F.size("__lines") > 0, F.transform("__lines", widened)).otherwise(none).alias("__found"))
+    # Most rows have no anchor; what follows is worked out for the rest.
+    base = docs.select(F.col(id_col).alias("doc_id"), F.when(anchored, F.flatten(F.transform(blocks, of_block))).otherwise(none).alias("__found"))
     sure = F.filter("__found", lambda x: x["confirmed"])
     ordered = F.array_sort(F.transform(sure, lambda x: F.struct((-x["probability"]).alias("p"), x["family"].alias("f"))))
     first = F.try_element_at(ordered, F.lit(1))
