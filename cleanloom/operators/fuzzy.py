@@ -3,14 +3,16 @@
 Where a function has a bound of distinct values (max_unique, a preset's), it also bounds what reaches the driver: the values with
 their counts. The leader rule is greedy and so depends on order; it runs there, with scores from the functions below. Token sets,
 the majority, names and phones have no bound: all their distinct values are scored, in distributed passes, and the driver gets those
-that are mapped.
+that are mapped; of token sets only the leaders and the values among which it finds them.
 """
 
 from __future__ import annotations
 
 import difflib
+import itertools
+import math
 from collections import Counter
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Callable, Iterable, Iterator, Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -129,34 +131,266 @@ def spellings(df: DataFrame, columns: Sequence[str], normalise: Callable | None
 
 @any_header
 def token_set_mapping(df: DataFrame, columns: Sequence[str], threshold: float = 90, max_unique: int | None = None, normalise: Callable | None = None) -> list[tuple]:
-    """Rows of MAPPING: leaders by the frequency of forms; the canonical value is the most frequent spelling of its cluster (ties: the smallest).
+    """token_set_found as rows on the driver."""
+    return sorted(tuple(r) for r in token_set_found(df, columns, threshold, max_unique, normalise).collect())
+
+
+@any_header
+def token_set_found(df: DataFrame, columns: Sequence[str], threshold: float = 90, max_unique: int | None = None, normalise: Callable | None = None) -> DataFrame:
+    """A table of MAPPING: leaders by the frequency of forms; the canonical value is the most frequent spelling of its cluster (ties: the smallest).
 
     All columns go through the same few jobs. With max_unique, only so many spellings of each, the most frequent, take part.
     """
     if not columns:
-        return []
+        return mapping_frame(df, [])
     spelt = spellings(df, columns, normalise)
     if max_unique:
         spelt = rows.union_all([spelt.where(F.col("column") == c).orderBy(F.desc("n"), "value").limit(max_unique) for c in columns])
     spelt = tables.written(spelt, "spellings")
-    forms = spelt.groupBy("column", F.col("form").alias("value")).agg(F.sum("n").alias("n"))
-    clusters = greedy_columns(forms, lambda a, b: s if (s := token_set_ratio(a, b)) >= threshold else None)
-    led = df.sparkSession.createDataFrame([(k, v, c[0][0], s) for k, own in clusters.items() for c in own for v, s in c], "column string, form string, leader string, score double")
-    led = spelt.join(led, ["column", "form"], "left").withColumn("leader", F.coalesce("leader", "form"))
+    forms = tables.written(spelt.groupBy("column", F.col("form").alias("value")).agg(F.sum("n").alias("n")), "forms")
+    led = tables.written(_led(forms, token_set_leaders(forms, threshold), threshold), "led")
+    led = spelt.join(led, ["column", "form"])
     master = led.groupBy("column", "leader").agg(F.min_by("value", F.struct(-F.col("n"), F.col("value"))).alias("master"), F.count(F.lit(1)).alias("__n")).where("__n > 1")
-    found = led.join(master, ["column", "leader"]).where("value <> master").select("column", "value", "master", F.coalesce("score", F.lit(100.0)).alias("score"))
-    return sorted((r["column"], r["value"], r["master"], "token_set", r["score"]) for r in found.collect())
+    found = led.join(master, ["column", "leader"]).where("value <> master")
+    return tables.written(found.select("column", F.col("value").alias("old_value"), F.col("master").alias("new_value"), F.lit("token_set").alias("method"), "score"), "spellings-found")
+
 
+def _without(s: str, k: int) -> set[str]:
+    """What can be left of s when k of its letters are deleted."""
+    if k == 1:
+        return {s[:i] + s[i + 1 :] for i in range(len(s))}
+    return set(map("".join, itertools.combinations(s, len(s) - k))) if k else {s}
 
-def greedy_columns(values: DataFrame, alike: Callable[[str, str], float | None]) -> dict[str, list[list[tuple[str, float | None]]]]:
-    """The clusters of each column of values (column, value, n). Columns of at most LEADERS values come to the driver together."""
-    values = tables.written(values, "forms")
+
+class TokenSetLeaders:
+    """Leaders in their order, and the first that a value is alike to: the one that scoring all in turn would find.
+
+    Only those are scored that can reach the threshold. Of two alike values, either the tokens that they share are nearly all of one
+    of them, and one of its rarest tokens is shared; or their tokens in the score's order have a common subsequence of known length,
+    and deleting as many letters as may differ leaves something equal: of single tokens the text, of others their letters in
+    alphabetical order. Where that makes too many texts, letters are counted: the common subsequence can't be longer than the letters
+    in common.
+    """
+
+    #: Texts of one value, and of all leaders of one length, up to which they are looked up.
+    MOST, MOST_IN_ALL = 500, 2_000_000
+
+    def __init__(self, threshold: float, near: Iterable[str] = ()) -> None:
+        """near: values whose tokens tell which are rare. That is for speed alone."""
+        self.threshold, self.values = threshold, []
+        self.share = 1.0 if threshold >= 100 else threshold / (200 - threshold)
+        self.frequency = Counter(w for v in near for w in set(v.split()))
+        self.by_rare: dict[str, list[int]] = {}
+        self.by_other: dict[str, list[int]] = {}
+        self.lengths: dict[tuple[bool, int], list[int]] = {}
+        self.texts: dict[tuple[bool, int], dict[tuple[bool, int], dict | None]] = {}
+        self.counts: dict[tuple[bool, int], list] = {}
+        self.least: dict[int, int] = {}
+
+    def add(self, value: str) -> None:
+        rank, tokens = len(self.values), set(value.split())
+        self.values.append(value)
+        if not tokens:
+            return
+        whole = " ".join(sorted(tokens))
+        kind = len(tokens) == 1, len(whole)
+        rare = self._rarest(tokens, len(whole))
+        for w in rare:
+            self.by_rare.setdefault(w, []).append(rank)
+        for w in tokens.difference(rare):
+            self.by_other.setdefault(w, []).append(rank)
+        self.lengths.setdefault(kind, []).append(rank)
+        for own, known in self.texts.get(kind, {}).items():
+            if known is not None:
+                self._enter(kind, own, rank, whole)
+        if kind in self.counts:
+            self._count(kind, whole)
+
+    def first(self, value: str) -> tuple[int, float] | None:
+        """Rank and score of the first leader."""
+        ranks = self._possible(set(value.split())) if self.threshold > 0 else range(len(self.values))
+        for r in sorted(ranks):
+            score = token_set_ratio(self.values[r], value)
+            if score >= self.threshold:
+                return r, score
+        return None
+
+    def _possible(self, tokens: set[str]) -> set[int]:
+        ranks: set[int] = set()
+        if not tokens:
+            return ranks
+        whole = " ".join(sorted(tokens))
+        size, single = len(whole), len(tokens) == 1
+        for w in tokens:
+            ranks.update(self.by_rare.get(w, ()))
+        for w in self._rarest(tokens, size):
+            ranks.update(self.by_other.get(w, ()))
+        for kind in self.lengths:
+            least = self._least(size + kind[1])
+            mine, others = size - least, kind[1] - least
+            if mine < 0 or others < 0:
+                continue
+            known, plain = None, single and kind[0]
+            if math.comb(size, mine) <= self.MOST and math.comb(kind[1], others) <= self.MOST:
+                known = self._texts(kind, (plain, others))
+            if known is None:
+                ranks.update(self._by_counts(kind, whole, least))
+            elif plain:  # surely alike, so only the first counts
+                ranks.update(known[t] for t in _without(whole, mine) if t in known)
+            else:
+                for t in _without("".join(sorted(whole)), mine):
+                    ranks.update(known.get(t, ()))
+        return ranks
+
+    def _rarest(self, tokens: set[str], size: int) -> list[str]:
+        """So many of the rarest tokens that without any of them the rest is too little of the whole."""
+        if len(tokens) == 1:
+            return [*tokens]
+        out, left = [], (1 - self.share) * size + 1e-6
+        for w in sorted(tokens, key=lambda w: (self.frequency[w], -len(w), w)):
+            out.append(w)
+            left -= len(w) + 1
+            if left < 0:
+                break
+        return out
+
+    def _least(self, total: int) -> int:
+        """The shortest common subsequence whose ratio reaches the threshold."""
+        if total not in self.least:
+            c = max(0, math.ceil(self.threshold * total / 200) - 2)
+            while 200.0 * c / total < self.threshold:
+                c += 1
+            self.least[total] = c
+        return self.least[total]
+
+    def _whole(self, rank: int) -> str:
+        return " ".join(sorted(set(self.values[rank].split())))
+
+    def _texts(self, kind: tuple[bool, int], own: tuple[bool, int]) -> dict | None:
+        mine = self.texts.setdefault(kind, {})
+        if own not in mine:
+            mine[own] = {}
+            for r in self.lengths[kind]:
+                if mine[own] is not None:
+                    self._enter(kind, own, r, self._whole(r))
+        return mine[own]
+
+    def _enter(self, kind: tuple[bool, int], own: tuple[bool, int], rank: int, whole: str) -> None:
+        plain, others = own
+        known = self.texts[kind][own]
+        for t in _without(whole if plain else "".join(sorted(whole)), others):
+            if plain:
+                known.setdefault(t, rank)
+            else:
+                known.setdefault(t, []).append(rank)
+        if len(known) > self.MOST_IN_ALL:
+            self.texts[kind][own] = None
+
+    @staticmethod
+    def _letters(whole: str, kind: tuple[bool, int]):
+        """Counts of letters by the last bits of their codes. Leaders' counts are at most their length, so greater ones needn't be told apart."""
+        import numpy as np
+
+        counts = np.bincount(np.frombuffer(whole.encode("utf-32-le", "surrogatepass"), dtype="<u4") & 63, minlength=64)
+        return np.minimum(counts, 255).astype("uint8") if kind[1] <= 255 else counts.astype("uint32")
+
+    def _count(self, kind: tuple[bool, int], whole: str) -> None:
+        import numpy as np
+
+        table, n = self.counts[kind]
+        row = self._letters(whole, kind)
+        if n == len(table):
+            table = np.concatenate([table, np.zeros((max(64, n), 64), dtype=row.dtype)])
+        table[n] = row
+        self.counts[kind] = [table, n + 1]
+
+    def _by_counts(self, kind: tuple[bool, int], whole: str, least: int) -> list[int]:
+        import numpy as np
+
+        if kind not in self.counts:
+            self.counts[kind] = [self._letters("", kind)[None, :].repeat(64, 0), 0]
+            for r in self.lengths[kind]:
+                self._count(kind, self._whole(r))
+        table, n = self.counts[kind]
+        common = np.minimum(table[:n], self._letters(whole, kind)).sum(1, dtype="int64")
+        ranks = self.lengths[kind]
+        return [ranks[i] for i in np.flatnonzero(common >= least)]
+
+
+#: Values that the driver takes at a time to find leaders of token sets among.
+TAKEN = 100_000
+
+
+def token_set_leaders(values: DataFrame, threshold: float) -> dict[str, list[str]]:
+    """Each column's leaders, in order, of a written table (column, value, n): by falling n, then value, each value that is alike to no leader before it.
+
+    The driver takes the next TAKEN values in order; of the others those that are alike to one of these leaders leave, in a distributed pass.
+    """
     size = {r["column"]: r["__n"] for r in values.groupBy("column").agg(F.count(F.lit(1)).alias("__n")).collect()}
     small: dict[str, list] = {c: [] for c, n in size.items() if n <= LEADERS}
     for r in values.where(F.col("column").isin(*small)).collect() if small else []:
         small[r["column"]].append((-r["n"], r["value"]))
-    out = {c: [x for x in greedy([v for _, v in sorted(own)], alike) if len(x) > 1] for c, own in small.items()}
-    return out | {c: greedy_all(values.where(F.col("column") == c).select("value", "n"), alike) for c in size if c not in small}
+    out = {c: _leaders([v for _, v in sorted(own)], threshold) for c, own in small.items()}
+    for c in [c for c in size if c not in small]:
+        rest, out[c] = values.where(F.col("column") == c).select("value", "n"), []
+        while True:
+            some = rest.orderBy(F.desc("n"), "value").limit(TAKEN).collect()
+            found = _leaders([r["value"] for r in some], threshold)
+            out[c] += found
+            if len(some) < TAKEN:
+                break
+            last = some[-1]
+            later = rest.where((F.col("n") < last["n"]) | ((F.col("n") == last["n"]) & (F.col("value") > last["value"])))
+            rest = tables.written(_unled(later, found, threshold), "values")
+    return out
+
+
+def _leaders(values: Sequence[str], threshold: float) -> list[str]:
+    known = TokenSetLeaders(threshold, values)
+    for v in values:
+        if known.first(v) is None:
+            known.add(v)
+    return known.values
+
+
+def _known(leaders: Sequence[str], threshold: float) -> TokenSetLeaders:
+    known = TokenSetLeaders(threshold, leaders)
+    for v in leaders:
+        known.add(v)
+    return known
+
+
+def _unled(values: DataFrame, leaders: Sequence[str], threshold: float) -> DataFrame:
+    """The values (value, n) that are alike to none of the leaders."""
+
+    def run(batches: Iterator) -> Iterator:
+        import pandas as pd
+
+        known = _known(leaders, threshold)
+        for pdf in batches:
+            yield pdf[pd.Series([known.first(v) is None for v in pdf["value"]], dtype="bool", index=pdf.index)]
+
+    return values.mapInPandas(run, "value string, n bigint")
+
+
+def _led(values: DataFrame, leaders: dict[str, list[str]], threshold: float) -> DataFrame:
+    """column, form, leader, score of all values (column, value): the first of its column's leaders that each is alike to; leaders lead themselves."""
+
+    def run(batches: Iterator) -> Iterator:
+        import pandas as pd
+
+        known: dict[str, TokenSetLeaders] = {}
+        for pdf in batches:
+            found = []
+            for c, v in zip(pdf["column"], pdf["value"], strict=True):
+                if c not in known:
+                    known[c] = _known(leaders[c], threshold)
+                got = known[c].first(v)
+                leader = v if got is None else known[c].values[got[0]]
+                found.append((leader, 100.0 if leader == v else got[1]))
+            yield pd.DataFrame({"column": pdf["column"], "form": pdf["value"], "leader": [x[0] for x in found], "score": pd.Series([x[1] for x in found], dtype="float64")})
+
+    return values.select("column", "value").mapInPandas(run, "column string, form string, leader string, score double")
 
 
 #: Values that the driver takes at a time to find leaders among.
@@ -326,11 +560,12 @@ def mapping_frame(df: DataFrame, mapping: Sequence[tuple]) -> DataFrame:
     return df.sparkSession.createDataFrame(list(mapping), MAPPING)
 
 
-@any_header
-def apply_mapping(df: DataFrame, mapping: Sequence[tuple]) -> DataFrame:
-    """Replaces the mapped values; outer blanks of a cell and of a mapped value don't count. Rows are neither lost nor repeated."""
-    for c in dict.fromkeys(m[0] for m in mapping):
-        small = mapping_frame(df, [m for m in mapping if m[0] == c])
+def apply_mapping(df: DataFrame, mapping: Sequence[tuple] | DataFrame) -> DataFrame:
+    """Replaces the mapped values; outer blanks of a cell and of a mapped value don't count. Rows are neither lost nor repeated. mapping: rows of MAPPING, or a written table of them."""
+    table = isinstance(mapping, DataFrame)
+    mapped = {r["column"] for r in mapping.select("column").distinct().collect()} if table else {m[0] for m in mapping}
+    for c in [c for c in df.columns if c in mapped]:
+        small = mapping.where(F.col("column") == c) if table else mapping_frame(df, [m for m in mapping if m[0] == c])
         small = small.groupBy(T.strip(F.col("old_value")).alias("__old")).agg(F.min("new_value").alias("__new"))
         df = df.join(small, T.strip(F.col(quoted(c))) == F.col("__old"), "left").select(*(F.coalesce("__new", quoted(x)).alias(x) if x == c else F.col(quoted(x)) for x in df.columns))
     return df
@@ -346,8 +581,8 @@ def harmonise(df: DataFrame, columns: Sequence[str] | None = None, config: V.Clu
 @any_header
 def token_set_harmonise(df: DataFrame, columns: Sequence[str] | None = None, threshold: float = 90, max_unique: int | None = None, normalise: Callable | None = T.squeeze) -> tuple[DataFrame, DataFrame]:
     columns = list(columns) if columns is not None else [c for c in rows.text_columns(df) if not detect.header_has(c, V.PHONE_HEADERS)]
-    found = token_set_mapping(df, columns, threshold, max_unique, normalise)
-    return apply_mapping(df, found), mapping_frame(df, found)
+    found = token_set_found(df, columns, threshold, max_unique, normalise)
+    return apply_mapping(df, found), found
 
 
 @any_header

@@ -162,6 +162,36 @@ def test_outer_blanks_and_row_counts(spark):
     assert fuzzy.apply_mapping(df, [("v", " furnitur", "a", "m", 1.0), ("v", "furnitur ", "a", "m", 1.0)]).count() == 10
 
 
+def _in_turn(values, threshold):
+    """Leader and score of each value by the plain rule: all leaders before it are scored in turn."""
+    out = {}
+    for v in values:
+        got = ((a, fuzzy.token_set_ratio(a, v)) for a, (b, _) in list(out.items()) if a == b)
+        out[v] = next((x for x in got if x[1] >= threshold), (v, 100.0))
+    return out
+
+
+def test_token_sets_score_few_and_miss_none(spark, monkeypatch):
+    codes = [f"Customer#{i:09d}" for i in range(0, 40_000, 13)]
+    df = spark.createDataFrame([(c,) for c in codes], "v string")
+    scored, plain = [], fuzzy.token_set_ratio
+    monkeypatch.setattr(fuzzy, "token_set_ratio", lambda a, b: scored.append(1) or plain(a, b))
+    found = fuzzy.token_set_mapping(df, ["v"])
+    assert len(scored) < 3 * len(codes)
+    monkeypatch.undo()
+    led = _in_turn(codes, 90)
+    assert [(m[1], m[2], m[4]) for m in found] == [(v, a, s) for v, (a, s) in led.items() if v != a]
+    # Whatever may be looked up, and whatever must be counted.
+    words = ["red car", "car red", "red", "red cars", "green boat of wood", "green boat of woods", "boat of wood", "wooden", "wodden", "Ａé😀 x", "Ａé x", "x", "a" * 300, "a" * 299 + "b", "ab " * 3 + "abc", "abcd", "bacd", "new york mets", "mets new york", " "]
+    for threshold in (50, 80, 90, 99, 100, 101, 0):
+        for most, in_all in ((500, 2_000_000), (0, 10), (500, 3)):
+            monkeypatch.setattr(fuzzy.TokenSetLeaders, "MOST", most)
+            monkeypatch.setattr(fuzzy.TokenSetLeaders, "MOST_IN_ALL", in_all)
+            assert fuzzy._leaders(words, threshold) == [v for v, (a, _) in _in_turn(words, threshold).items() if v == a]
+            known, led = fuzzy._known(fuzzy._leaders(words, threshold), threshold), _in_turn(words, threshold)
+            assert all((known.values[f[0]] if (f := known.first(w)) else w) == led[w][0] for w in words)
+
+
 def test_no_bound_on_distinct_values(spark):
     rare = spark.createDataFrame([("acceptable",)] * 3 + [(f"a{i:05d}",) for i in range(10_050)] * 2 + [("zcceptable",)], "v string")
     assert ("v", "zcceptable", "acceptable") in [m[:3] for m in fuzzy.majority_mapping(rare, ["v"])]
