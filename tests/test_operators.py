@@ -192,6 +192,21 @@ def test_token_sets_score_few_and_miss_none(spark, monkeypatch):
             assert all((known.values[f[0]] if (f := known.first(w)) else w) == led[w][0] for w in words)
 
 
+def test_clean_of_many_spellings(spark, monkeypatch):
+    """As many jobs whatever the number of spellings is, in rounds as at once; the audit tells each that the plain rule unifies."""
+    labels = [f"Consignment {i * 7919 % 10**5:05d}" for i in range(1600)]
+    df = spark.createDataFrame(list(enumerate(labels)), "n long, label string")  # equal rows would go
+    told, plain = [], fuzzy.tables.written
+    monkeypatch.setattr(fuzzy.tables, "written", lambda df, name, *a: told.append(name) or plain(df, name, *a))
+    audit_of = lambda: pipelines.clean(df, pipelines.CleanOptions(normalise=False, impute=False, impute_text=False)).audit
+    expected = sorted((v, a) for v, (a, _) in _in_turn(sorted(labels), 90).items() if v != a)
+    assert expected and sorted((r["old_value"], r["new_value"]) for r in audit_of().collect()) == expected
+    assert "values" not in told
+    monkeypatch.setattr(fuzzy, "TAKEN", 700)
+    assert sorted((r["old_value"], r["new_value"]) for r in audit_of().collect()) == expected
+    assert 1 <= told.count("values") <= 2
+
+
 def test_no_bound_on_distinct_values(spark):
     rare = spark.createDataFrame([("acceptable",)] * 3 + [(f"a{i:05d}",) for i in range(10_050)] * 2 + [("zcceptable",)], "v string")
     assert ("v", "zcceptable", "acceptable") in [m[:3] for m in fuzzy.majority_mapping(rare, ["v"])]
