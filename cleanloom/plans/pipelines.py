@@ -81,15 +81,16 @@ def clean(df: DataFrame, options: CleanOptions = CleanOptions()) -> CleanResult:
     kinds = detect.types(df)
     when = [c for c, k in kinds.items() if k["date"] and c in rows.text_columns(df)]
     plain = [c for c in rows.text_columns(df) if c not in when and kinds[c]["pii"] is None]
+    spelt = [c for c in plain if not detect.header_has(c, V.ID_HEADERS)]  # codes that differ in a character are different ones
     if options.fuzzy:
-        df, mapping = fuzzy.token_set_harmonise(df, plain, options.threshold)
+        df, mapping = fuzzy.token_set_harmonise(df, spelt, options.threshold)
         log["spellings"] = mapping.count()
     if options.dates:
         df = audit.fixed_dates(df, when)
     if options.normalise:
         mail = [c for c, k in kinds.items() if k["pii"] == "Email"]
         df = df.select(*(F.lower(T.strip(F.col(c))).alias(c) if c in mail else T.normalised(F.col(c)).alias(c) if c in plain else c for c in df.columns))
-        df, mapping = fuzzy.majority_words(df, plain)
+        df, mapping = fuzzy.majority_words(df, spelt)
     # The text is read again and again from here on.
     df, log["types"] = schema.standard_types(tables.written(df, "clean-text"), when)
     df = outliers.flag(df, options.outlier_columns)

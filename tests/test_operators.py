@@ -207,6 +207,14 @@ def test_clean_of_many_spellings(spark, monkeypatch):
     assert 1 <= told.count("values") <= 2
 
 
+def test_clean_leaves_codes_apart(spark):
+    """Codes C10006 and C1000 are alike as spellings, but identifiers are none; names beside them are unified."""
+    df = spark.createDataFrame([("C1000", "red lorry"), ("C10006", "lorry red"), ("C10009", "red lorry"), ("C1000", "blue boat")], "code string, goods string")
+    r = pipelines.clean(df)
+    assert sorted(tuple(x) for x in r.data.select("code", "goods").collect()) == [("C1000", "Blue Boat"), ("C1000", "Red Lorry"), ("C10006", "Red Lorry"), ("C10009", "Red Lorry")]
+    assert "code" not in {x["column"] for x in r.audit.collect()}
+
+
 def test_no_bound_on_distinct_values(spark):
     rare = spark.createDataFrame([("acceptable",)] * 3 + [(f"a{i:05d}",) for i in range(10_050)] * 2 + [("zcceptable",)], "v string")
     assert ("v", "zcceptable", "acceptable") in [m[:3] for m in fuzzy.majority_mapping(rare, ["v"])]
