@@ -150,8 +150,9 @@ def normalised(c: Column, personal: bool = False) -> Column:
     v = c if personal else F.translate(c, "@#_?", "    ")
     word = lambda w: F.when(F.rlike(w, F.lit(V.ARABIC)), arabic(w)).when(F.rlike(w, F.lit(V.ENGLISH)), english(w)).otherwise(w)
     mixed = F.array_join(F.transform(F.split(squeeze(v), " "), word), " ")
-    kind = language(v)
-    return squeeze(F.when(kind == "ar", arabic(v)).when(kind == "en", english(v)).when(kind == "mixed", mixed).otherwise(v))
+    ar, en = F.rlike(v, F.lit(V.ARABIC)), F.rlike(v, F.lit(V.ENGLISH))
+    # Each pattern is looked for when its turn comes; what english() gives is squeezed.
+    return F.when(en & ~ar, english(v)).when(ar & en, squeeze(mixed)).when(ar, squeeze(arabic(v))).otherwise(squeeze(v))
 
 
 def imputation_text(c: Column) -> Column:

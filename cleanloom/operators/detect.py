@@ -58,8 +58,11 @@ def imputation_guides(df: DataFrame) -> tuple[str | None, str | None]:
 
 
 @any_header
-def evidence(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
-    """A row a column: what its cells look like. One pass over the table counts its values; patterns look at distinct values only."""
+def evidence(df: DataFrame, columns: Sequence[str] | None = None, only: Sequence[str] | None = None, dated: Sequence[str] | None = None) -> DataFrame:
+    """A row a column: what its cells look like. One pass over the table counts its values; patterns look at distinct values only.
+
+    only: the facts that are wanted, as their patterns take most of the time. dated: the columns whose cells are read as dates; others have a share of 0.
+    """
     columns = list(columns or rows.visible(df))
     n, v = F.col("n"), F.col("value")
     counts = rows.cells(df, [], columns).groupBy("column", "value").agg(F.count(F.lit(1)).alias("n"))
@@ -70,16 +73,18 @@ def evidence(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     filled = F.sum(F.when(there, n))
     part = lambda hit: F.try_divide(F.sum(F.when(there, F.when(F.coalesce(hit, F.lit(False)), n).otherwise(0))), filled)
     mean = lambda size: F.try_divide(F.sum(F.when(there, size * n)), filled)
-    return counts.unionByName(every).groupBy("column").agg(
-        F.sum("n").alias("total"), F.coalesce(filled, F.lit(0)).alias("filled"), F.count(F.when(there, 1)).alias("distinct_values"),
-        part(dates.parse(s).isNotNull() & ~F.rlike(s, F.lit(V.NUMBER))).alias("dates"),  # a number may be a serial, which doesn't make a column of dates
-        part(F.rlike(s, F.lit(V.NUMBER))).alias("numbers"), part(numeric.plain_double(F.regexp_replace(s, "[, ]", "")).isNotNull()).alias("castable"),
-        part(low.isin(*V.BOOLEANS)).alias("booleans"), mean(F.length(s)).alias("mean_length"), mean(F.size(F.regexp_extract_all(s, F.lit(r"(?U)\w+"), F.lit(0)))).alias("mean_words"),
-        part(F.rlike(s, F.lit(V.EMAIL))).alias("emails"), part(F.rlike(s, F.lit(V.PHONE)) & (F.length(F.regexp_replace(s, r"\D", "")) >= 7)).alias("phones"),
-        part(T.language(s) == "ar").alias("arabic"), part(T.language(s) == "en").alias("english"), part(T.language(s) == "mixed").alias("mixed"),
-        part(F.rlike(s, F.lit(r"\d")) & F.rlike(s, F.lit(r"\p{L}"))).alias("digits_and_letters"), part(numeric.mixed_number(s).isNotNull()).alias("mixed_numbers"),
-        part(F.contains(s, F.lit("@")) & F.contains(s, F.lit("."))).alias("at_signs"),
-    )
+    asked = F.lit(True) if dated is None else F.col("column").isin(*dated)
+    told = {
+        "total": lambda: F.sum("n"), "filled": lambda: F.coalesce(filled, F.lit(0)), "distinct_values": lambda: F.count(F.when(there, 1)),
+        "dates": lambda: part(F.when(asked, dates.parse(s).isNotNull() & ~F.rlike(s, F.lit(V.NUMBER)))),  # a number may be a serial, which doesn't make a column of dates
+        "numbers": lambda: part(F.rlike(s, F.lit(V.NUMBER))), "castable": lambda: part(numeric.plain_double(F.regexp_replace(s, "[, ]", "")).isNotNull()),
+        "booleans": lambda: part(low.isin(*V.BOOLEANS)), "mean_length": lambda: mean(F.length(s)), "mean_words": lambda: mean(F.size(F.regexp_extract_all(s, F.lit(r"(?U)\w+"), F.lit(0)))),
+        "emails": lambda: part(F.rlike(s, F.lit(V.EMAIL))), "phones": lambda: part(F.rlike(s, F.lit(V.PHONE)) & (F.length(F.regexp_replace(s, r"\D", "")) >= 7)),
+        "arabic": lambda: part(T.language(s) == "ar"), "english": lambda: part(T.language(s) == "en"), "mixed": lambda: part(T.language(s) == "mixed"),
+        "digits_and_letters": lambda: part(F.rlike(s, F.lit(r"\d")) & F.rlike(s, F.lit(r"\p{L}"))), "mixed_numbers": lambda: part(numeric.mixed_number(s).isNotNull()),
+        "at_signs": lambda: part(F.contains(s, F.lit("@")) & F.contains(s, F.lit("."))),
+    }
+    return counts.unionByName(every).groupBy("column").agg(*(told[name]().alias(name) for name in (only or told)))
 
 
 def _language(e) -> str:
@@ -127,9 +132,22 @@ def personal_data(e) -> str | None:
 
 
 @any_header
-def facts(df: DataFrame, columns: Sequence[str] | None = None) -> dict[str, dict]:
+def facts(df: DataFrame, columns: Sequence[str] | None = None, only: Sequence[str] | None = None, dated: Sequence[str] | None = None) -> dict[str, dict]:
     """The rows of evidence by their columns, for the functions below that take them."""
-    return {r["column"]: r.asDict() for r in evidence(df, columns).collect()} if columns is None or columns else {}
+    return {r["column"]: r.asDict() for r in evidence(df, columns, only, dated).collect()} if columns is None or columns else {}
+
+
+#: What categorical_columns and context_columns look at.
+CONTEXT_FACTS = ("total", "filled", "distinct_values", "phones", "at_signs")
+
+
+@any_header
+def dates_and_personal(df: DataFrame) -> tuple[list[str], dict[str, str | None]]:
+    """The text columns that hold dates, and the personal data of each text column, as types tells them. Cells are read as dates only where the header leaves it open."""
+    text = rows.text_columns(df)
+    dated = [c for c in text if not header_has(c, V.DATE_HEADERS) and not header_has(c, V.ID_HEADERS)]
+    found = facts(df, text, ("filled", "emails", "phones") + (("mean_length", "dates") if dated else ()), dated)
+    return [c for c in text if is_date(c, "string", found[c])], {c: personal_data(found[c]) for c in text}
 
 
 @any_header

@@ -148,7 +148,11 @@ def token_set_found(df: DataFrame, columns: Sequence[str], threshold: float = 90
         spelt = rows.union_all([spelt.where(F.col("column") == c).orderBy(F.desc("n"), "value").limit(max_unique) for c in columns])
     spelt = tables.written(spelt, "spellings")
     forms = tables.written(spelt.groupBy("column", F.col("form").alias("value")).agg(F.sum("n").alias("n")), "forms")
-    led = tables.written(_led(forms, token_set_leaders(forms, threshold), threshold), "led")
+    few = _few(forms)
+    if few is None:
+        led = tables.written(_led(forms, token_set_leaders(forms, threshold), threshold), "led")
+    else:
+        led = F.broadcast(tables.local(df.sparkSession, _led_rows(((r["column"], r["value"]) for r in few), _few_leaders(few, threshold), threshold), LED))
     led = spelt.join(led, ["column", "form"])
     master = led.groupBy("column", "leader").agg(F.min_by("value", F.struct(-F.col("n"), F.col("value"))).alias("master"), F.count(F.lit(1)).alias("__n")).where("__n > 1")
     found = led.join(master, ["column", "leader"]).where("value <> master")
@@ -327,10 +331,8 @@ def token_set_leaders(values: DataFrame, threshold: float) -> dict[str, list[str
     The driver takes the next TAKEN values in order; of the others those that are alike to one of these leaders leave, in a distributed pass.
     """
     size = {r["column"]: r["__n"] for r in values.groupBy("column").agg(F.count(F.lit(1)).alias("__n")).collect()}
-    small: dict[str, list] = {c: [] for c, n in size.items() if n <= LEADERS}
-    for r in values.where(F.col("column").isin(*small)).collect() if small else []:
-        small[r["column"]].append((-r["n"], r["value"]))
-    out = {c: _leaders([v for _, v in sorted(own)], threshold) for c, own in small.items()}
+    small = [c for c, n in size.items() if n <= LEADERS]
+    out = _few_leaders(values.where(F.col("column").isin(*small)).collect() if small else [], threshold)
     for c in [c for c in size if c not in small]:
         rest, out[c] = values.where(F.col("column") == c).select("value", "n"), []
         while True:
@@ -345,6 +347,20 @@ def token_set_leaders(values: DataFrame, threshold: float) -> dict[str, list[str
     return out
 
 
+def _few(values: DataFrame) -> list | None:
+    """All rows of a table of at most LEADERS; the driver is done with those before workers would have started. Of larger tables None."""
+    some = values.limit(LEADERS + 1).collect()
+    return some if len(some) <= LEADERS else None
+
+
+def _few_leaders(values: Iterable, threshold: float) -> dict[str, list[str]]:
+    """token_set_leaders of rows (column, value, n) on the driver."""
+    own: dict[str, list] = {}
+    for r in values:
+        own.setdefault(r["column"], []).append((-r["n"], r["value"]))
+    return {c: _leaders([v for _, v in sorted(found)], threshold) for c, found in own.items()}
+
+
 def _leaders(values: Sequence[str], threshold: float) -> list[str]:
     known = TokenSetLeaders(threshold, values)
     for v in values:
@@ -373,6 +389,21 @@ def _unled(values: DataFrame, leaders: Sequence[str], threshold: float) -> DataF
     return values.mapInPandas(run, "value string, n bigint")
 
 
+LED = "column string, form string, leader string, score double"
+
+
+def _led_rows(values: Iterable[tuple[str, str]], leaders: dict[str, list[str]], threshold: float, known: dict | None = None) -> list[tuple]:
+    """Rows of LED. known: what has been made of the leaders of each column so far."""
+    known, out = {} if known is None else known, []
+    for c, v in values:
+        if c not in known:
+            known[c] = _known(leaders[c], threshold)
+        got = known[c].first(v)
+        leader = v if got is None else known[c].values[got[0]]
+        out.append((c, v, leader, 100.0 if leader == v else got[1]))
+    return out
+
+
 def _led(values: DataFrame, leaders: dict[str, list[str]], threshold: float) -> DataFrame:
     """column, form, leader, score of all values (column, value): the first of its column's leaders that each is alike to; leaders lead themselves."""
 
@@ -381,16 +412,10 @@ def _led(values: DataFrame, leaders: dict[str, list[str]], threshold: float) ->
 
         known: dict[str, TokenSetLeaders] = {}
         for pdf in batches:
-            found = []
-            for c, v in zip(pdf["column"], pdf["value"], strict=True):
-                if c not in known:
-                    known[c] = _known(leaders[c], threshold)
-                got = known[c].first(v)
-                leader = v if got is None else known[c].values[got[0]]
-                found.append((leader, 100.0 if leader == v else got[1]))
-            yield pd.DataFrame({"column": pdf["column"], "form": pdf["value"], "leader": [x[0] for x in found], "score": pd.Series([x[1] for x in found], dtype="float64")})
+            found = _led_rows(zip(pdf["column"], pdf["value"], strict=True), leaders, threshold, known)
+            yield pd.DataFrame({"column": pdf["column"], "form": pdf["value"], "leader": [x[2] for x in found], "score": pd.Series([x[3] for x in found], dtype="float64")})
 
-    return values.select("column", "value").mapInPandas(run, "column string, form string, leader string, score double")
+    return values.select("column", "value").mapInPandas(run, LED)
 
 
 #: Values that the driver takes at a time to find leaders among.
@@ -455,14 +480,24 @@ def majority_mapping(df: DataFrame, columns: Sequence[str], threshold: float = 8
         return []
     values = rows.cells(df, [], columns).select("column", T.strip(F.col("value")).alias("value")).where((F.col("value") != "") & ~F.lower("value").isin(*V.MISSING_VALUES))
     values = tables.written(values.groupBy("column", "value").agg(F.count(F.lit(1)).alias("n")), "values")
-    mode = {r["column"]: r["mode"] for r in values.groupBy("column").agg(F.min_by("value", F.struct(-F.col("n"), F.col("value"))).alias("mode")).collect()}
+    few = _few(values)
+    if few is None:
+        mode = {r["column"]: r["mode"] for r in values.groupBy("column").agg(F.min_by("value", F.struct(-F.col("n"), F.col("value"))).alias("mode")).collect()}
+    else:
+        mode = {r["column"]: r["value"] for r in sorted(few, key=lambda r: (-r["n"], r["value"]), reverse=True)}
+
+    def scored(c: str, v: str) -> float | None:
+        # The score's sides are the other way round than among leaders.
+        return alike_ratio(v, mode[c], threshold) if v != mode[c] else None
+
+    if few is not None:
+        return sorted((r["column"], r["value"], mode[r["column"]], "sequence", s) for r in few if (s := scored(r["column"], r["value"])) is not None)
 
     def run(batches: Iterator) -> Iterator:
         import pandas as pd
 
         for pdf in batches:
-            # The score's sides are the other way round than among leaders.
-            score = [alike_ratio(v, mode[c], threshold) if v != mode[c] else None for c, v in zip(pdf["column"], pdf["value"], strict=True)]
+            score = [scored(c, v) for c, v in zip(pdf["column"], pdf["value"], strict=True)]
             yield pdf[["column", "value"]].assign(score=pd.Series(score, dtype="float64", index=pdf.index))
 
     found = values.select("column", "value").mapInPandas(run, "column string, value string, score double").where("score IS NOT NULL AND NOT isnan(score)")
@@ -557,7 +592,7 @@ def weighted_harmonise(df: DataFrame, columns: Sequence[str] | None = None, thre
 
 
 def mapping_frame(df: DataFrame, mapping: Sequence[tuple]) -> DataFrame:
-    return df.sparkSession.createDataFrame(list(mapping), MAPPING)
+    return tables.local(df.sparkSession, mapping, MAPPING)
 
 
 def apply_mapping(df: DataFrame, mapping: Sequence[tuple] | DataFrame) -> DataFrame:

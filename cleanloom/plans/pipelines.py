@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import time
 from collections.abc import Sequence
 from dataclasses import dataclass, field
@@ -40,12 +41,21 @@ class CleanOptions:
 
 @dataclass(frozen=True)
 class CleanResult:
+    """data, audit and, worked out when they are asked for, quality_before and quality_after."""
+
     data: DataFrame
     audit: DataFrame
-    quality_before: DataFrame
-    quality_after: DataFrame
+    before: DataFrame
     log: dict = field(default_factory=dict)
 
+    @functools.cached_property
+    def quality_before(self) -> DataFrame:
+        return profile.quality(self.before.drop(rows.ROW_ID))
+
+    @functools.cached_property
+    def quality_after(self) -> DataFrame:
+        return profile.quality(self.data.drop(rows.ROW_ID))
+
 
 def _phones(df: DataFrame, log: dict) -> DataFrame:
     column = detect.phone_column(df)
@@ -65,7 +75,7 @@ def clean_phones(df: DataFrame, column: str) -> tuple[DataFrame, DataFrame]:
 @any_header
 def clean(df: DataFrame, options: CleanOptions = CleanOptions()) -> CleanResult:
     """The app's order: strict numbers, duplicate and useless columns, white space, phones, spellings, dates, text, majority words, types, outliers, duplicates, imputation."""
-    df = before = tables.written(rows.with_row_id(df), "clean-input")
+    df = before = tables.written(tables.spread(rows.with_row_id(df), rows.ROW_ID), "clean-input")
     log: dict = {}
     df = schema.strict_numeric(df)
     twins = schema.duplicate_columns(df)
@@ -78,9 +88,9 @@ def clean(df: DataFrame, options: CleanOptions = CleanOptions()) -> CleanResult:
     df = df.select(*(T.strip(F.col(c)).alias(c) if c in text else c for c in df.columns))
     if options.phones:
         df = _phones(df, log)
-    kinds = detect.types(df)
-    when = [c for c, k in kinds.items() if k["date"] and c in rows.text_columns(df)]
-    plain = [c for c in rows.text_columns(df) if c not in when and kinds[c]["pii"] is None]
+    df = tables.written(df, "clean-stripped")
+    when, personal = detect.dates_and_personal(df)
+    plain = [c for c in rows.text_columns(df) if c not in when and personal[c] is None]
     spelt = [c for c in plain if not detect.header_has(c, V.ID_HEADERS)]  # codes that differ in a character are different ones
     if options.fuzzy:
         df, mapping = fuzzy.token_set_harmonise(df, spelt, options.threshold)
@@ -88,9 +98,9 @@ def clean(df: DataFrame, options: CleanOptions = CleanOptions()) -> CleanResult:
     if options.dates:
         df = audit.fixed_dates(df, when)
     if options.normalise:
-        mail = [c for c, k in kinds.items() if k["pii"] == "Email"]
+        mail = [c for c, k in personal.items() if k == "Email"]
         df = df.select(*(F.lower(T.strip(F.col(c))).alias(c) if c in mail else T.normalised(F.col(c)).alias(c) if c in plain else c for c in df.columns))
-        df, mapping = fuzzy.majority_words(df, spelt)
+        df, mapping = fuzzy.majority_words(tables.written(df, "clean-forms"), spelt)
     # The text is read again and again from here on.
     df, log["types"] = schema.standard_types(tables.written(df, "clean-text"), when)
     df = outliers.flag(df, options.outlier_columns)
@@ -104,7 +114,7 @@ def clean(df: DataFrame, options: CleanOptions = CleanOptions()) -> CleanResult:
         df = impute.fill_missing(df, numbers, [])
     if options.impute_text:
         df = tables.written(df, "clean-numbers")
-        found = detect.facts(df, rows.text_columns(df))
+        found = detect.facts(df, rows.text_columns(df), detect.CONTEXT_FACTS)
         for c in detect.categorical_columns(df, found):
             df = impute.text_by_siblings(df, c, detect.context_columns(df, c, found=found), detect.descriptive_columns(df)).drop(f"{c}_predicted")
         df = impute.sentinel_text(df, rows.text_columns(df))
@@ -112,7 +122,7 @@ def clean(df: DataFrame, options: CleanOptions = CleanOptions()) -> CleanResult:
         df = schema.downcast(df)
     out = tables.written(df.drop(*(c for c in df.columns if c.startswith("__") and c not in (outliers.FLAG,))), "clean-output")
     shared = [c for c in rows.visible(before) if c in out.columns]
-    return CleanResult(out, rows.changed_cells(before, out, [rows.ROW_ID], shared), profile.quality(before.drop(rows.ROW_ID)), profile.quality(out.drop(rows.ROW_ID)), log)
+    return CleanResult(out, rows.changed_cells(before, out, [rows.ROW_ID], shared), before, log)
 
 
 @any_header
@@ -141,7 +151,7 @@ def clean_library(df: DataFrame, options: CleanOptions = CleanOptions()) -> Clea
         df = schema.downcast(df)
     df = tables.written(df, "clean-output")
     shared = [c for c in rows.visible(before) if c in df.columns]
-    return CleanResult(df, rows.changed_cells(before, df, [rows.ROW_ID], shared), profile.quality(before.drop(rows.ROW_ID)), profile.quality(df.drop(rows.ROW_ID)), log)
+    return CleanResult(df, rows.changed_cells(before, df, [rows.ROW_ID], shared), before, log)
 
 
 @any_header

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -31,6 +33,26 @@ def written(df: DataFrame, name: str, folder: str | None = None) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Bytes of files for each task that runs at once, up to which spread() takes no more partitions than such tasks.
+SPREAD_BYTES = 64 << 20
+
+
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """The rows dealt by keys to as many partitions as tasks run at once; larger tables, and those of unknown size, to Spark's number of them. A table of one file would else stay in one task, as would what is written from it."""
+    leaves, tasks = df._jdf.queryExecution().optimizedPlan().collectLeaves(), df.sparkSession.sparkContext.defaultParallelism
+    few = sum(leaves.apply(i).stats().sizeInBytes() for i in range(leaves.size())) <= tasks * SPREAD_BYTES
+    return df.repartition(tasks, *keys) if few else df.repartition(*keys)
+
+
+def local(spark: SparkSession, rows: Iterable[tuple], schema: str) -> DataFrame:
+    """A table of rows that the driver has. It goes to the JVM as Arrow's, where lists of rows would take a job of Python workers."""
+    import pyarrow as pa
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    kinds = to_arrow_schema(StructType.fromDDL(schema))
+    return spark.createDataFrame(pa.Table.from_pylist([dict(zip(kinds.names, r, strict=True)) for r in rows], schema=kinds), StructType.fromDDL(schema))
+
+
 def removed(spark: SparkSession, path: str) -> None:
     """Deletes a folder of tables that no plan reads any more."""
     there = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)

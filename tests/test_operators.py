@@ -207,6 +207,44 @@ def test_clean_of_many_spellings(spark, monkeypatch):
     assert 1 <= told.count("values") <= 2
 
 
+def test_clean_of_one_file_takes_all_tasks(spark, tmp_path, monkeypatch):
+    """A table of one file is dealt out, only open headers are read as dates, few spellings need no Python worker, and quality waits until asked for; results are as ever."""
+    days = ("2024-02-03", "15/03/2020", "soon")
+    df = spark.createDataFrame([(i, f"C{i}", ("red car", "car red", " red car", "blue bike")[i % 4], days[i % 3], days[i % 2], f"m{i % 2}@x.org") for i in range(40)], "n long, code string, goods string, order_date string, moment string, mail string")
+    df.coalesce(1).write.parquet(str(tmp_path / "one"))
+    df = spark.read.parquet(str(tmp_path / "one"))
+    assert df.rdd.getNumPartitions() == 1
+    kinds, (when, personal) = detect.types(df), detect.dates_and_personal(df)
+    assert when == [c for c in df.columns if kinds[c]["date"]] == ["order_date", "moment"] and personal == {c: kinds[c]["pii"] for c in rows.text_columns(df)}
+    parts, plain = {}, fuzzy.tables.written
+
+    def written(frame, name, *a):
+        out = plain(frame, name, *a)
+        parts[name] = out.rdd.getNumPartitions()
+        return out
+
+    monkeypatch.setattr(fuzzy.tables, "written", written)
+    asked, quality = [], profile.quality
+    monkeypatch.setattr(profile, "quality", lambda d: asked.append(1) or quality(d))
+    workers = []
+    monkeypatch.setattr(fuzzy, "_led", lambda *a: workers.append(1))
+    r = pipelines.clean(df)
+    assert parts["clean-input"] == spark.sparkContext.defaultParallelism > 1 and not workers and not asked
+    assert values(r.audit.where("column = 'goods'").groupBy("old_value", "new_value").count(), "old_value", "new_value", "count") == [(" red car", "Red Car", 10), ("blue bike", "Blue Bike", 10), ("car red", "Red Car", 10), ("red car", "Red Car", 10)]
+    assert r.data.count() == 40 and r.data.where("moment NOT IN ('2024-02-03', '2020-03-15')").isEmpty()
+    assert r.quality_after.first()["score"] >= r.quality_before.first()["score"] and len(asked) == 2
+
+
+def test_few_spellings_as_many(spark, monkeypatch):
+    """The driver's way with few values and the workers' way give the same mappings."""
+    names = ["furniture"] * 3 + ["furnitur", " furniture", "chair oak", "oak chair", "oak chairs", "machinery", "machinary", "Nan"]
+    df = spark.createDataFrame([(v, v.upper() if i % 3 else None) for i, v in enumerate(names)], "a string, b string")
+    both = lambda: (fuzzy.token_set_mapping(df, ["a", "b"]), fuzzy.majority_mapping(df, ["a", "b"]))
+    few = both()
+    monkeypatch.setattr(fuzzy, "_few", lambda values: None)
+    assert few == both() and all(few)
+
+
 def test_clean_leaves_codes_apart(spark):
     """Codes C10006 and C1000 are alike as spellings, but identifiers are none; names beside them are unified."""
     df = spark.createDataFrame([("C1000", "red lorry"), ("C10006", "lorry red"), ("C10009", "red lorry"), ("C1000", "blue boat")], "code string, goods string")
